@@ -21,7 +21,7 @@ from opinara.llm._shared import kept, q
 WORD_SLOTS = 1 << 14
 #: Bytes whose share of a text is a statistic each.
 _MARKS = b"\n.,;:!?#$%&*|<>{}[]()/\\-_'\"=@~^`+"
-STATS = 16 + len(_MARKS)
+STATS = 17 + len(_MARKS)
 SLOTS = WORD_SLOTS + STATS
 RANK = 8
 
@@ -38,7 +38,7 @@ def structure(text: bytes, words: list[bytes], counts: Counter) -> list[float]:
     alpha = sum(map(bytes.isalpha, words))
     return [
         np.log1p(len(text)), np.log1p(len(words)), np.log1p(len(lines)), bytes_[65:91].sum() / size, bytes_[97:123].sum() / size, bytes_[48:58].sum() / size, bytes_[128:].sum() / size, bytes_[32] / size,
-        len(counts) / n, top / n, len(set(lines)) / len(lines), upper / n, alpha / n, np.log1p(lengths.mean()), np.log1p(lengths.std()), np.log1p(len(words) / len(lines)),
+        len(counts) / n, top / n, sum(map(bytes.__eq__, words, words[1:])) / n, len(set(lines)) / len(lines), upper / n, alpha / n, np.log1p(lengths.mean()), np.log1p(lengths.std()), np.log1p(len(words) / len(lines)),
         *(bytes_[list(_MARKS)] / size),
     ]
 

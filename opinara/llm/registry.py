@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from opinara.llm import chat, decontam, embedding_dedup, line_dedup, mixing, quality, simhash, substring_dedup, token_records, url_filter
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
