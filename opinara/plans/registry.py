@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from opinara.plans import reviews
+
+_ALL = [reviews.C]
+QUERIES = {k: f for c in _ALL for k, f in c.queries.items()}
+ORACLES = {k: s for c in _ALL for k, s in c.oracles.items()}
