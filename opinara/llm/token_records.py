@@ -3,9 +3,10 @@
 A folder holds one pair of files for each shard, shards in ascending order of id:
 
 * shard-N-*.bin: records one after the other. A record is the payload's length (8 bytes), the length's masked
-  checksum (4), the payload, the payload's masked checksum (4). The payload is a flag (1 byte: the id isn't null),
-  the id (8, signed) and the token ids (4 each, unsigned). All integers are little-endian. A masked checksum is CRC-32
-  rotated right by 15 bits plus the constant below, as a checksum of data that holds checksums is weak.
+  checksum (4), the payload, the payload's masked checksum (4). The payload is a byte of flags (1: the id isn't null, 2: token ids
+  have 2 bytes each and not 4, 4: they are compressed by Zstandard), the id (8, signed) and the token ids (unsigned). All integers
+  are little-endian. A masked checksum is CRC-32 rotated right by 15 bits plus the constant below, as a
+  checksum of data that holds checksums is weak.
 * shard-N-*.idx: for each record its offset in the file and the number of ids before it in the shard (8 bytes each).
 * _manifest: a Parquet table, a row per shard: which files count, and their records, ids and bytes.
 """
@@ -18,9 +19,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +34,11 @@ from opinara.llm._shared import in_process, q, shared_dir
 MASK_DELTA = 0xA282EAD8
 _MANIFEST = "shard long, bin string, idx string, records long, ids long, bytes long"
 #: The Unicode white space that the tokenizer's pattern calls \s.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
-_UNEVEN = re.compile(f"[{_SPACE}]{{2}}|\0")
+#: Where none of these is in a text, white space is single spaces and newlines.
+_UNEVEN = ["\0", "  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+_HAS_ID, _SHORT, _PACKED = 1, 2, 4
 
 
 def masked_crc(data: bytes) -> int:
@@ -46,38 +51,66 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit integers.
+    """Token ids of whole texts, as little-endian unsigned integers of `width` bytes.
 
     The byte-level pattern cuts a text before a single space, and around other white space, whatever stands beside
     it. So the library encodes each distinct piece once, and a text's ids are its pieces' ids in a row. Texts that
-    hold one of the vocabulary's special tokens go to the library whole. At most `most` pieces are remembered.
+    hold one of the vocabulary's special tokens go to the library whole. About `most` pieces are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.newline = self.library.encode("\n", add_special_tokens=False).ids
         self.pieces: dict[str, bytes] = {}
         self.most = most
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._whole([text])[0]
-        units = _UNITS.findall(text) if _UNEVEN.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        if new := set(units).difference(self.pieces):
-            if len(self.pieces) + len(new) > self.most:
-                self.pieces = {}
-                new = set(units)
-            new = list(new)
-            self.pieces.update(zip(new, self._whole(new), strict=True))
-        return b"".join(map(self.pieces.__getitem__, units))
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [self._packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Pieces without white space but for one leading space: many in one text, a newline between them."""
+        out: list[bytes] = []
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for group, encoded in zip(groups, self.library.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, f"<u{self.width}")
+            cuts = np.flatnonzero(ids == self.newline[0])
+            if len(self.newline) != 1 or len(cuts) != len(group) - 1:
+                out += self._each(group)
+                continue
+            data, w = ids.tobytes(), self.width
+            out += [data[a:b] for a, b in zip([0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(data)], strict=True)]
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut: list[list[str] | None] = []
+        words: set[str] = set()
+        others = {"", " ", "\n"}
+        for text in texts:
+            if not text or any(s in text for s in self.special):
+                cut.append(None)
+                continue
+            uneven = any(c in text for c in _UNEVEN)
+            units = _UNITS.findall(text) if uneven else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            (others if uneven else words).update(units)
+            cut.append(units)
+        if len(self.pieces) + len(words) + len(others) > self.most:  # the older half goes, but not what is needed now
+            older = [k for k in islice(self.pieces, len(self.pieces) // 2) if k not in words and k not in others]
+            for k in older:
+                del self.pieces[k]
+        new = list(others.difference(self.pieces))
+        self.pieces.update(zip(new, self._each(new), strict=True))
+        new = list(words.difference(self.pieces))
+        self.pieces.update(zip(new, self._words(new), strict=True))
+        whole = iter(self._each([t for t, units in zip(texts, cut, strict=True) if units is None and t]))
+        return [b"".join(map(self.pieces.__getitem__, units)) if units is not None else next(whole) if text else b"" for text, units in zip(texts, cut, strict=True)]
 
 
 def write_token_records(docs: DataFrame, path: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shards: int | None = None) -> DataFrame:
@@ -94,7 +127,8 @@ def write_token_records(docs: DataFrame, path: str, *, tokenizer: str, id_col: s
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = in_process(f"encoder:{tokenizer}", lambda: Encoder(tokenizer))
-        shard, end = TaskContext.get().partitionId(), struct.pack("<I", end_id)
+        shard, end = TaskContext.get().partitionId(), struct.pack("<H" if encoder.width == 2 else "<I", end_id)
+        short, pack = _SHORT * (encoder.width == 2), zstandard.ZstdCompressor(level=1).compress
         system, folder = _place(path)
         system.create_dir(folder, recursive=True)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
@@ -103,14 +137,16 @@ def write_token_records(docs: DataFrame, path: str, *, tokenizer: str, id_col: s
             for batch in batches:
                 for i in range(0, batch.num_rows, 64):  # few at a time: texts can be long
                     part = batch.slice(i, 64)
-                    for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        tokens = encoder.encode(text) + end
-                        payload = struct.pack("<Bq", key is not None, key or 0) + tokens
+                    for key, tokens in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                        tokens += end
+                        packed = pack(tokens)
+                        fewer = len(packed) < len(tokens)
+                        payload = struct.pack("<Bq", _HAS_ID * (key is not None) | short | _PACKED * fewer, key or 0) + (packed if fewer else tokens)
                         length = struct.pack("<Q", len(payload))
                         out.write(b"".join((length, struct.pack("<I", masked_crc(length)), payload, struct.pack("<I", masked_crc(payload)))))
                         index.write(struct.pack("<QQ", offset, ids))
                         offset += len(payload) + 16
-                        records, ids = records + 1, ids + len(tokens) // 4
+                        records, ids = records + 1, ids + len(tokens) // encoder.width
         if records:
             yield pa.RecordBatch.from_pylist([{"shard": shard, "bin": f"{name}.bin", "idx": f"{name}.idx", "records": records, "ids": ids, "bytes": offset}], pa.schema([(c, pa.string() if k == "string" else pa.int64()) for c, k in (x.split() for x in _MANIFEST.split(", "))]))
 
@@ -120,7 +156,7 @@ def write_token_records(docs: DataFrame, path: str, *, tokenizer: str, id_col: s
 
 
 def read_token_records(spark: SparkSession, path: str, *, part_records: int = 4096) -> DataFrame:
-    """(doc_id, start, ids) of every record: ids as bytes, start the number of ids before it in the whole folder.
+    """(doc_id, start, ids) of every record: ids as bytes (4 each), start the number of ids before it in the whole folder.
 
     Tasks read stretches of up to `part_records` records, found through the index; both checksums are checked and
     a wrong one is an error.
@@ -136,6 +172,7 @@ def read_token_records(spark: SparkSession, path: str, *, part_records: int = 40
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _place(path)
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for p in batch.to_pylist():
                 with system.open_input_file(f"{folder}/{p['idx']}") as index:
@@ -151,10 +188,11 @@ def read_token_records(spark: SparkSession, path: str, *, part_records: int = 40
                             payload = record[12:-4]
                             if struct.unpack("<QI", record[:12]) != (len(payload), masked_crc(record[:8])) or struct.unpack("<I", record[-4:])[0] != masked_crc(payload):
                                 raise ValueError(f"{p['bin']}: the record at {rows[lo, 0] + a} is damaged")
-                            has, key = struct.unpack("<Bq", payload[:9])
-                            out["doc_id"].append(key if has else None)
+                            flags, key = struct.unpack("<Bq", payload[:9])
+                            ids = unpack(payload[9:]) if flags & _PACKED else payload[9:]
+                            out["doc_id"].append(key if flags & _HAS_ID else None)
                             out["start"].append(int(start) + p["before"])
-                            out["ids"].append(payload[9:])
+                            out["ids"].append(np.frombuffer(ids, "<u2").astype("<u4").tobytes() if flags & _SHORT else ids)
                         yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["ids"], pa.binary())], ["doc_id", "start", "ids"])
 
     table = spark.createDataFrame(parts, "bin string, idx string, first long, n long, before long, records long, bytes long")

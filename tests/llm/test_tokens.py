@@ -35,8 +35,10 @@ def test_tables(documents, odd_documents, no_documents):
 @pytest.mark.parametrize("text", ["", " ", "  a", "a  ", "a\n\nb", "a \n b", "\ta\tb ", "it's we'll  don't", "x<|endoftext|>y", "\0a b\0", "a b  c", "a\x1cb \x85 c", "日本語 テキスト", "ab\r\n\r\ncd", "  \n", "a ,b .c 12a3 $%^"])
 def test_pieces_are_the_librarys(text):
     ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
-    assert token_records.Encoder(PATH).encode(text) == struct.pack(f"<{len(ids)}I", *ids)
-    assert token_records.Encoder(PATH, most=1).encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+    want = struct.pack(f"<{len(ids)}H", *ids)
+    assert token_records.Encoder(PATH).encode([text]) == [want]
+    small = token_records.Encoder(PATH, most=4)
+    assert [small.encode([text, "other words here", None]) for _ in range(3)][2][0] == want
 
 
 def test_a_damaged_record_is_an_error(spark, documents):
