@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,11 +142,27 @@ def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
     return order, ids[order], [np.frombuffer(texts[i] or b"", np.uint8) for i in order]
 
 
+def _pack(rows: np.ndarray) -> bytes:
+    """Structured rows column by column, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names), 1)
+
+
+def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
+    data = zstandard.decompress(data)
+    n, at = len(data) // kind.itemsize, 0
+    rows = np.empty(n, kind)
+    for c in kind.names:
+        part = kind[c]
+        rows[c] = np.frombuffer(data, part.base, n * int(np.prod(part.shape, dtype=int)), at).reshape(n, *part.shape)
+        at += n * part.itemsize
+    return rows
+
+
 def _blob(**columns) -> pa.Table:
     return pa.table(columns)
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, batch_rows: int = 512, range_bytes: int = 8 << 20, hot_batches: int = 32, keep: list[str] | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, batch_rows: int = 512, range_bytes: int = 8 << 20, hot_batches: int = 1024, keep: list[str] | None = None) -> DataFrame:
     """Every document with n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes.
 
     Strings are judged on the input; those of equal ids don't remove each other, so two rows of one id both stay.
@@ -168,6 +185,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches))).repartition(parts, "batch")
     left = length - GRAM
     entry = _entry(length)
+    single = np.dtype([("around", "u1", (length,)), ("id", "<i8"), ("doc", "<u4"), ("base", "<i8")])
     splitters = spark.sparkContext.broadcast(_splitters(rows, total["rows"], ranges, length))  # one for each range: 1 MB at most
 
     def bucket_of(hashes: np.ndarray) -> np.ndarray:
@@ -261,18 +279,24 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             local["as_doc"], local["as_base"], local["kind"] = first["doc"][rest], first["base"][rest], kind
             out["range"].append(-1)
             out["kind"].append(kind)
-            out["data"].append(local.tobytes())
-            sent = all_[np.sort(index)]
+            out["data"].append(_pack(local))
+            sent = all_[index]
             where = left if kind == 0 else 0
             keys = np.ascontiguousarray(sent["around"][:, where : where + GRAM]).view(f"V{GRAM}")[:, 0]
-            to = _range_of(keys, splitters.value)
-            by = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, to[by][1:] != to[by][:-1]])
+            to, halves = _range_of(keys, splitters.value), _halves(keys)
+            by = np.lexsort((halves[:, 1], halves[:, 0], to))
+            sent, to = sent[by], to[by]
+            cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
             for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True):
-                out["range"].append(int(to[by[a]]))
+                out["range"].append(int(to[a]))
                 out["kind"].append(kind)
-                part = sent[by[a:b]]
-                out["data"].append(part.tobytes() if kind == 0 else np.concatenate([part["around"][:, :length].reshape(-1), part[["id", "doc", "base"]].astype(_ALONE).view(np.uint8)]).tobytes())
+                part = sent[a:b]
+                if kind:
+                    part = np.empty(b - a, single)
+                    part["around"] = sent["around"][a:b, :length]
+                    for c in ("id", "doc", "base"):
+                        part[c] = sent[c][a:b]
+                out["data"].append(_pack(part))
         return _blob(range=pa.array(out["range"], pa.int64()), batch=pa.array([batch] * len(out["range"]), pa.int64()), kind=pa.array(out["kind"], pa.int64()), data=pa.array(out["data"], pa.binary()))
 
     def judge(table: pa.Table) -> pa.Table:
@@ -282,14 +306,13 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if not mine:
                 continue
             if kind == 0:
-                parts_ = [np.frombuffer(d, entry) for _, d in mine]
+                parts_ = [_unpack(d, entry) for _, d in mine]
                 all_ = np.concatenate(parts_)
                 masks = least_ids(all_["around"], all_["lo"].astype(np.int64), all_["hi"].astype(np.int64), all_["id"], length)
             else:
-                sizes = [len(d) // (length + _ALONE.itemsize) for _, d in mine]
-                strings = np.concatenate([np.frombuffer(d, np.uint8, n * length).reshape(n, length) for (_, d), n in zip(mine, sizes, strict=True)])
-                parts_ = [np.frombuffer(d, _ALONE, n, n * length) for (_, d), n in zip(mine, sizes, strict=True)]
+                parts_ = [_unpack(d, single) for _, d in mine]
                 all_ = np.concatenate(parts_)
+                strings = all_["around"]
                 order, common = multikey_order(strings)
                 run = np.cumsum(common < length) - 1
                 least = np.full(run[-1] + 1, _LAST)
@@ -304,12 +327,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     reply["doc"], reply["base"], reply["mask"], reply["kind"] = all_["doc"][hit], all_["base"][hit], masks[hit], 2 + kind
                     out["batch"].append(batch)
                     out["kind"].append(2 + kind)
-                    out["data"].append(reply.tobytes())
+                    out["data"].append(_pack(reply))
         return _blob(range=pa.array([-1] * len(out["batch"]), pa.int64()), batch=pa.array(out["batch"], pa.int64()), kind=pa.array(out["kind"], pa.int64()), data=pa.array(out["data"], pa.binary()))
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         order, _, texts = _documents(table)
-        said = [np.frombuffer(d, _LOCAL) for d in answers.column("data").to_pylist()]
+        said = [_unpack(d, _LOCAL) for d in answers.column("data").to_pylist()]
         said = np.concatenate(said) if said else np.zeros(0, _LOCAL)
         judged = said[said["kind"] >= 2]
         fate = {(int(k) - 2, int(d), int(b)): int(m) for k, d, b, m in zip(judged["kind"], judged["doc"], judged["base"], judged["mask"], strict=True)}
@@ -351,7 +374,6 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 #: What a batch keeps for itself or gets back: the document, the place of start 0, the starts that go; or whose fate it shares.
 _LOCAL = np.dtype([("doc", "<u4"), ("base", "<i8"), ("mask", "<u8"), ("as_doc", "<u4"), ("as_base", "<i8"), ("kind", "u1")])
-_ALONE = np.dtype([("id", "<i8"), ("doc", "<u4"), ("base", "<i8")])
 
 
 def _halves(keys: np.ndarray) -> np.ndarray:
