@@ -110,14 +110,13 @@ def build_prompt(title: Column, content: Column) -> Column:
     return F.concat(F.lit("Title: "), title, F.lit("\nReview: "), content)
 
 
-def _gram(tokens: Column, n: int):
-    return lambda i: F.array_join(F.slice(tokens, i, n), " ")
-
-
 def ngrams(tokens: Column, most: int = 2) -> Column:
-    """1-grams to `most`-grams, joined by a space."""
-    size = F.size(tokens)
-    parts = [tokens] + [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), _gram(tokens, n))).otherwise(F.array().cast("array<string>")) for n in range(2, most + 1)]
+    """1-grams to `most`-grams, joined by a space; longer ones grow from shorter ones, side by side."""
+    parts, grams = [tokens], tokens
+    for n in range(2, most + 1):
+        left = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        grams = F.zip_with(F.slice(grams, 1, left), F.slice(tokens, n, left), lambda a, b: F.concat_ws(" ", a, b))
+        parts.append(grams)
     return F.concat(*parts)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from opinara.plans import labels, reviews
+from opinara.plans import flows, labels, reviews, texts
 
-_ALL = [reviews.C, labels.C]
+_ALL = [reviews.C, labels.C, texts.C, flows.C]
 QUERIES = {k: f for c in _ALL for k, f in c.queries.items()}
 ORACLES = {k: s for c in _ALL for k, s in c.oracles.items()}
