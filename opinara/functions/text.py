@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from opinara.functions.vocab import ASPECTS, ASPECT_NAMES, LABEL_IDS, POLARITIES
 
@@ -38,7 +39,7 @@ def sanitize_search(c: Column, length: int = 200) -> Column:
     return collapse_whitespace(F.left(F.translate(c, "%_\\", ""), F.lit(length)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode NFC, for which Spark has no function."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

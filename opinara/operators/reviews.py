@@ -64,15 +64,16 @@ def delete_reviews(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.join(keys.select("id", "user_id"), ["id", "user_id"], "left_anti")
 
 
-_SUMMARY = {
-    "total_reviews": F.count(F.lit(1)),
-    "average_rating": F.round(F.coalesce(F.avg("rating"), F.lit(0.0)), 6),
-    "average_score": F.round(F.coalesce(F.avg("sentiment_score"), F.lit(0.0)), 6),
-    **{p: F.count_if(F.col("sentiment_label") == p) for p in POLARITIES},
-    **{f"rating_{i}": F.count_if(F.col("rating") == i) for i in range(1, 6)},
-    "first_date": F.min("review_date"),
-    "last_date": F.max("review_date"),
-}
+def _summary() -> dict[str, Column]:
+    return {
+        "total_reviews": F.count(F.lit(1)),
+        "average_rating": F.round(F.coalesce(F.avg("rating"), F.lit(0.0)), 6),
+        "average_score": F.round(F.coalesce(F.avg("sentiment_score"), F.lit(0.0)), 6),
+        **{p: F.count_if(F.col("sentiment_label") == p) for p in POLARITIES},
+        **{f"rating_{i}": F.count_if(F.col("rating") == i) for i in range(1, 6)},
+        "first_date": F.min("review_date"),
+        "last_date": F.max("review_date"),
+    }
 
 
 def product_analytics(df: DataFrame, product: str, user_id=None) -> DataFrame:
@@ -81,7 +82,7 @@ def product_analytics(df: DataFrame, product: str, user_id=None) -> DataFrame:
 
 
 def product_analytics_all(df: DataFrame) -> DataFrame:
-    return df.groupBy("product_name").agg(*(c.alias(n) for n, c in _SUMMARY.items()))
+    return df.groupBy("product_name").agg(*(c.alias(n) for n, c in _summary().items()))
 
 
 def sentiment_distribution(df: DataFrame, *keys: str) -> DataFrame:

@@ -16,7 +16,6 @@ from opinara.streaming import jobs as J
 
 C = Catalog()
 RV, JU = f"WITH {A.REVIEWS}", f"WITH {A.JOB_UPDATES}"
-_NOW = F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
 ORDER = "event_id"
 
 
@@ -75,7 +74,7 @@ def _(spark, sf):
 
 @C.query("src5_extract_reviews")
 def _(spark, sf):
-    return H.extract_reviews(A.table(spark, sf, "pages"), _NOW, blocks=[("below_tag", "article")])
+    return H.extract_reviews(A.table(spark, sf, "pages"), F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'"), blocks=[("below_tag", "article")])
 
 
 @C.query("src6_detect_site", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'emag' WHEN page_id % 5 = 1 THEN 'cel' WHEN page_id % 5 = 2 THEN 'emag' ELSE 'generic' END AS site FROM pages")

@@ -10,13 +10,16 @@ from opinara.sources import adapters as A
 
 C = Catalog()
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
-_NOW = F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
 RV, RA = f"WITH {A.REVIEWS}", f"WITH {A.REVIEW_ASPECTS}"
 COUNTS = "count(*) FILTER (WHERE sentiment_label = 'positive') AS positive, count(*) FILTER (WHERE sentiment_label = 'negative') AS negative, count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral"
 STARS = ", ".join(f"count(*) FILTER (WHERE rating = {i}) AS rating_{i}" for i in range(1, 6))
 SUMMARY = f"count(*) AS total_reviews, round(coalesce(avg(rating), 0), 6) AS average_rating, round(coalesce(avg(sentiment_score), 0), 6) AS average_score, {COUNTS}, {STARS}, min(review_date) AS first_date, max(review_date) AS last_date"
 
 
+def _now():
+    return F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
+
+
 def rv(spark, sf):
     return A.reviews(spark, sf)
 
@@ -55,7 +58,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = with_text(spark, sf).withColumn("updated_at", F.col("created_at")).select("id", "rating", "review_text", "updated_at", "model_used")
     updates = df.where("id % 10 = 3").select("id", F.lit(5).alias("rating"), F.when(F.col("id") % 20 == 3, F.concat(F.lit("new text "), "id")).alias("review_text"))
-    return R.update_reviews(df, updates, _NOW, lambda d: d.withColumn("model_used", F.lit("rescored")))
+    return R.update_reviews(df, updates, _now(), lambda d: d.withColumn("model_used", F.lit("rescored")))
 
 
 @C.query("flt9_delete_product", f"{RV} SELECT id, user_id, product_name FROM reviews WHERE NOT coalesce(user_id = 42 AND product_name = 'product-5', false)")
@@ -165,22 +168,22 @@ FROM reviews WHERE {w} review_date BETWEEN TIMESTAMP '2024-01-31 00:00:00' - INT
 
 @C.query("ts1_product_trend", f"{RV} {TREND.format(p='day', w='', d=30)}")
 def _(spark, sf):
-    return R.product_trend(rv(spark, sf), None, _NOW)
+    return R.product_trend(rv(spark, sf), None, _now())
 
 
 @C.query("ts1_product_trend_one", f"{RV} {TREND.format(p='day', w=chr(112) + 'roduct_name = ' + chr(39) + 'product-7' + chr(39) + ' AND', d=14)}")
 def _(spark, sf):
-    return R.product_trend(rv(spark, sf), "product-7", _NOW, days=14)
+    return R.product_trend(rv(spark, sf), "product-7", _now(), days=14)
 
 
 @C.query("ts2_product_trend_week", f"{RV} {TREND.format(p='week', w='', d=60)}")
 def _(spark, sf):
-    return R.product_trend(rv(spark, sf), None, _NOW, period="week", days=60)
+    return R.product_trend(rv(spark, sf), None, _now(), period="week", days=60)
 
 
 @C.query("ts2_product_trend_month", f"{RV} {TREND.format(p='month', w='', d=90)}")
 def _(spark, sf):
-    return R.product_trend(rv(spark, sf), None, _NOW, period="month", days=90)
+    return R.product_trend(rv(spark, sf), None, _now(), period="month", days=90)
 
 
 @C.query("srt1_sort_reviews", f"{RV} SELECT id, sentiment_score FROM reviews WHERE product_name = 'product-7' ORDER BY sentiment_score DESC NULLS FIRST, id LIMIT 60")

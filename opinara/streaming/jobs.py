@@ -34,7 +34,8 @@ def run_available(stream: DataFrame, mode: str, *, keys: list[str] | None = None
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+    """A folder of Parquet files, or one file: a stream's source takes that only as a pattern."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def ingest_stream(stream: DataFrame, store: str, *, order: str, score: Callable[[DataFrame], DataFrame] | None = None, state: str | None = None) -> list[dict]:
