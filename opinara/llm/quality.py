@@ -109,6 +109,13 @@ def fit(slots: list, values: list, stats: np.ndarray, y: np.ndarray, *, epochs:
     return Machine(mean, scale, bias, linear.astype(np.float32), factors.astype(np.float32))
 
 
+def _lists(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """A column of lists as views of one array, without an object per number."""
+    whole = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    flat, lengths = np.asarray(whole.flatten(), kind), whole.value_lengths().to_numpy(zero_copy_only=False)
+    return np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
+
+
 def held_out(id_col: Column) -> Column:
     """Rows from which no label may be learnt."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -134,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # broadcast: max_rows ids and labels at most
     texts = docs.select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).cast("string").alias("text")).join(F.broadcast(sample), "id")
     got = texts.select(F.col("id").cast("string"), "y", "text").mapInArrow(describe, schema).limit(max_rows).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    stats = np.array(got["stats"].to_pylist(), np.float64).reshape(-1, STATS)
-    return fit(got["slots"].to_pylist(), got["amounts"].to_pylist(), stats, np.array(got["y"].to_pylist(), np.float64))
+    stats = np.asarray(got["stats"].combine_chunks().flatten(), np.float64).reshape(-1, STATS)
+    return fit(_lists(got["slots"], np.int32), _lists(got["amounts"], np.float32), stats, np.asarray(got["y"].combine_chunks(), np.float64))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8192, keep: list[str] | None = None) -> DataFrame:
