@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from opinara.llm._shared import kept, q, written
 #: characters stay, so words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F].
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+#: What a document holds before any search.
+_NOTHING = {"spans": "cast(array() as array<bigint>)", "items": "cast(array() as array<string>)"}
 _ADDED = ("n_words", "n_hit", "n_items", "items", "contaminated")
 
 
@@ -85,27 +88,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     named as an added one is replaced. With no benchmark, or an empty table, nothing is contaminated.
 
     The windows' words go to the executors in blocks of at most about `block_bytes` of text, so what is broadcast
-    doesn't grow with the benchmark: a larger one only means more passes over the documents. A document's
-    hits are merged over the blocks.
+    doesn't grow with the benchmark: a larger one only means more passes over the documents. Each block is a pass of
+    its own, so no task holds two blocks; only the rows that it hits leave it, and are merged by row.
     """
     columns = kept(docs, keep, _ADDED)
     windows = written(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
     text = windows.agg(F.sum(F.length("win") + F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x) + 8)).alias("n")).first().n or 0
     blocks = max(1, math.ceil(text / block_bytes))
     carried = [f for f in docs.schema.fields if f.name in columns]
-    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(carried)), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
-    out = docs.select(*(F.col(q(f.name)).alias(f"c{i}") for i, f in enumerate(carried)), F.col(q(text_col)).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for block in range(blocks):
+    rows = docs.select(*(F.col(q(f.name)).alias(f"c{i}") for i, f in enumerate(carried)), F.col(q(text_col)).cast("string").alias("text"))
+    nothing = [F.expr(e).alias(c) for c, e in _NOTHING.items()]
+
+    def index_of(block: int) -> dict:
         mine = windows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == block).collect()  # bounded: one block
         cut = [(r.win.encode().split(b" "), list(r["items"])) for r in mine]
-        index = _prefix_index(cut, _rarity(docs, text_col, {w for words, _ in cut for w in words}) if cut else Counter())
-        out = out.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(index)), schema)
+        return _prefix_index(cut, _rarity(docs, text_col, {w for words, _ in cut for w in words}) if cut else Counter())
+
+    if blocks == 1:
+        out = _search(rows.select("*", *nothing), index_of(0))
+    else:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
+        hits = [_search(rows.select("row", "text", *nothing), index_of(b)).where("size(spans) > 0").select("row", "spans", "items") for b in range(blocks)]
+        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        merged = reduce(DataFrame.union, hits).groupBy("row").agg(flat("spans"), flat("items"))
+        found = rows.join(merged, "row", "left").select(*(f"c{i}" for i in range(len(carried))), "text", *(F.coalesce(c, F.expr(e)).alias(c) for c, e in _NOTHING.items()))
+        out = _search(found, {})
     # spans holds starts at even places and ends at odd ones
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda n, x: n + x)
     out = out.withColumn("n_hit", hit)
     return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(carried)), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
 
 
+def _search(rows: DataFrame, index: dict) -> DataFrame:
+    """The rows without their text, with n_words, and with spans and items merged with what the index finds."""
+    schema = T.StructType([f for f in rows.schema if f.name not in ("text", "n_words")] + [T.StructField("n_words", T.LongType())])
+    return rows.mapInArrow(_finder(rows.sparkSession.sparkContext.broadcast(index)), schema)
+
+
 def _finder(shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -115,7 +134,7 @@ def _finder(shared):
             for row, text in enumerate(_texts(batch, "text")):
                 words = words_of(text)
                 counts.append(len(words))
-                found, whose = [], set()
+                found, whose = list(zip(spans[row][::2], spans[row][1::2], strict=True)), set(items[row])
                 for i, word in enumerate(words):
                     if word in index:
                         for place, wanted, ids in index[word]:
@@ -124,12 +143,10 @@ def _finder(shared):
                             if start >= 0 and end <= len(words) and words[start:end] == wanted:
                                 found.append((start, end))
                                 whose.update(ids)
-                if found:
-                    before = spans[row]
-                    spans[row] = _merged(found + list(zip(before[::2], before[1::2], strict=True)))
-                    items[row] = sorted(whose.union(items[row]))
-            new = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], [f.name for f in batch.schema])
+                spans[row], items[row] = _merged(found), sorted(whose)
+            new = {"spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
+            out = {f.name: new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != "text"} | {"n_words": pa.array(counts, pa.int64())}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return find
 
