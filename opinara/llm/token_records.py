@@ -13,6 +13,7 @@ A folder holds one pair of files for each shard, shards in ascending order of id
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import struct
@@ -162,12 +163,12 @@ def read_token_records(spark: SparkSession, path: str, *, part_records: int = 40
     a wrong one is an error.
     """
     shards = spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest").orderBy("shard").collect()  # a row per shard
-    parts, before = [], 0
+    files, before, parts = [], 0, 0
     for s in shards:
-        parts += [(s["bin"], s.idx, first, min(part_records, s.records - first), before, s.records, s.bytes) for first in range(0, s.records, part_records)]
-        before += s.ids
+        files.append((s["bin"], s.idx, before, s.records, s.bytes))
+        before, parts = before + s.ids, parts + math.ceil(s.records / part_records)
     schema = "doc_id long, start long, ids binary"
-    if not parts:
+    if not files:
         return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +196,11 @@ def read_token_records(spark: SparkSession, path: str, *, part_records: int = 40
                             out["ids"].append(np.frombuffer(ids, "<u2").astype("<u4").tobytes() if flags & _SHORT else ids)
                         yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["ids"], pa.binary())], ["doc_id", "start", "ids"])
 
-    table = spark.createDataFrame(parts, "bin string, idx string, first long, n long, before long, records long, bytes long")
-    return table.repartition(min(len(parts), 4096)).mapInArrow(read, schema)
+    # executors cut the shards into stretches: the driver holds no row for each of them
+    table = spark.createDataFrame(files, "bin string, idx string, before long, records long, bytes long")
+    table = table.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(part_records).cast("long"))))
+    table = table.withColumn("n", F.least(F.lit(part_records).cast("long"), F.col("records") - F.col("first")))
+    return table.repartition(min(parts, 4096)).mapInArrow(read, schema)
 
 
 def token_digest(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
