@@ -74,6 +74,39 @@ def test_an_inserted_line_moves_no_far_border(spark):
     assert out[1].n_removed_lines == 0 and out[2].n_removed_lines > 30 and "inserted" in out[2].kept_text
 
 
+def brute_passages(rows, least=2):
+    first, out = {}, []
+    for n in sorted(range(len(rows)), key=lambda n: (rows[n][0] is not None, rows[n][0] or 0, n)):
+        lines, gone = (rows[n][1] or "").split("\n"), set()
+        for i in range(len(lines) - least + 1):
+            m, j = first.setdefault(tuple(lines[i : i + least]), (n, i))
+            gone |= {x for x in range(i, i + least) if (m, j) != (n, i) and (m != n or x >= j + least)}
+        out.append((rows[n][0], len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_passages_brute_force(spark, documents, odd_documents, no_documents):
+    chance = random.Random(3)
+    lines = [f"line {i}" for i in range(25)] + [""]
+    texts = ["\n".join(x for _ in range(chance.randint(1, 12)) for x in [chance.choice(lines)] * chance.choice([1, 1, 1, 2, 9])) for _ in range(80)]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for df in (documents, own, odd_documents.select("doc_id", "text").coalesce(1), no_documents):
+        for least in (1, 2, 3):
+            got = sorted(((r.doc_id, r.n_removed_lines, r.kept_text) for r in line_dedup.dedup_passages(df, keep=["doc_id"], least_lines=least).collect()), key=repr)
+            assert got == brute_passages([(r.doc_id, r.text) for r in df.collect()], least)
+    assert set(line_dedup.dedup_passages(odd_documents).columns) >= set(odd_documents.columns)
+
+
+def test_op3_shrinks_a_line_repeated_many_times(spark, tmp_path):
+    run = ["the same line"] * 90
+    texts = ["\n".join(["a", *run, "b"]), "\n".join(["c", *run]), "alone"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in registry.QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert [out[i].n_removed_lines for i in range(3)] == [88, 90, 0]
+    assert out[1].kept_sha256 == hashlib.sha256(b"c").hexdigest()
+    assert all(r.n_removed_chunks <= r.n_chunks for r in out.values())
+
+
 def test_url_rules_in_force(spark):
     day = lambda m, d=1: datetime(2024, m, d)
     changes = [("d:example.com", day(1), "add"), ("d:example.com", day(3), "remove"), ("d:example.com", day(5), "add"), ("p:a.org/x", day(2), "add"), ("p:a.org/x", day(2), "remove"), ("d:bad", day(1), "other"), (None, day(1), "add"), ("d:b.org", None, "add"), ("d:late.org", day(12), "add"), ("d:example.com", day(1), "add")]
