@@ -107,6 +107,17 @@ def test_op3_shrinks_a_line_repeated_many_times(spark, tmp_path):
     assert all(r.n_removed_chunks <= r.n_chunks for r in out.values())
 
 
+def test_op3_removes_short_passages_among_foreign_lines(spark, tmp_path):
+    texts = ["\n".join(f"line {n} {k}" for k in range(12)) for n in range(40)]
+    for n in range(40):
+        texts += ["\n".join([f"new {n}", *(f"line {n} {k}" for k in range(3, 5 + n % 5)), f"other {n}"])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in registry.QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    for n in range(40):
+        assert out[n].n_removed_lines == 0 and 2 * out[n].n_chunks <= out[n].n_lines
+        assert out[40 + n].n_removed_lines == 2 + n % 5 and out[40 + n].kept_sha256 == hashlib.sha256(f"new {n}\nother {n}".encode()).hexdigest()
+
+
 def test_url_rules_in_force(spark):
     day = lambda m, d=1: datetime(2024, m, d)
     changes = [("d:example.com", day(1), "add"), ("d:example.com", day(3), "remove"), ("d:example.com", day(5), "add"), ("p:a.org/x", day(2), "add"), ("p:a.org/x", day(2), "remove"), ("d:bad", day(1), "other"), (None, day(1), "add"), ("d:b.org", None, "add"), ("d:late.org", day(12), "add"), ("d:example.com", day(1), "add")]
