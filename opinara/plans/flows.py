@@ -153,7 +153,7 @@ def _(spark, sf):
 
 
 def pair_rows(spark, sf):
-    pairs = N.to_sentence_pairs(A.annotations(spark, sf), "a0", A.aspects(spark)).where(F.col("aspect").isin(ASPECT_NAMES[:3]))
+    pairs = N.to_sentence_pairs(A.annotations(spark, sf), "a0", A.aspects(spark))
     texts = M.with_grams(A.table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "grams")
     return pairs.join(texts, "doc_id")
 
@@ -161,7 +161,7 @@ def pair_rows(spark, sf):
 @C.query("mdl4_aspect_baselines")
 def _(spark, sf):
     rows = pair_rows(spark, sf)
-    models = M.aspect_baselines(rows, ASPECT_NAMES[:3], features=M.text_features(128), iterations=5)
+    models = M.aspect_baselines(rows, ASPECT_NAMES)
     return M.score_aspects(models, rows.select("doc_id", "grams").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", F.map_entries("aspects").alias("aspects"), "overall.label", "overall.score")
 
 

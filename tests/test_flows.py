@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from opinara.functions.vocab import ASPECT_NAMES
 from opinara.operators import ingest as I
 from opinara.operators import models as M
 from opinara.plans import registry
@@ -96,3 +97,7 @@ def test_a_job_that_has_ended_stays_ended(spark):
     assert {(r.job_id, r.status, r.updates) for r in J.latest_status(df).collect()} == {(7, "failed", 3), (8, "pending", 1)}
     allowed = {r.event_id: r.allowed for r in J.job_transitions(df).collect()}
     assert allowed == {1: True, 2: True, 3: True, 4: False, 5: True}
+
+def test_aspect_baselines_cover_every_aspect(spark):
+    rows = registry.QUERIES["mdl4_aspect_baselines"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(sorted(e["key"] for e in r.aspects) == sorted(ASPECT_NAMES) for r in rows)
