@@ -32,7 +32,7 @@ def with_text(spark, sf):
 TEXT = f"{RV}, texts AS (SELECT *, concat_ws(' ', product_name, sentiment_label, model_used) AS review_text FROM reviews)"
 
 
-@C.query("flt1_list_reviews", f"{TEXT} SELECT id, product_name, rating, sentiment_label FROM texts WHERE user_id < 100 AND product_name ILIKE '%PRODUCT_1%' AND sentiment_label = 'positive' AND rating >= 2 AND rating <= 4 AND review_text ILIKE '%positive abs%'")
+@C.query("flt1_list_reviews", f"{TEXT} SELECT id, product_name, rating, sentiment_label FROM texts WHERE product_name ILIKE '%PRODUCT_1%' AND sentiment_label = 'positive' AND rating >= 2 AND rating <= 4 AND review_text ILIKE '%positive abs%'")
 def _(spark, sf):
     return R.list_reviews(with_text(spark, sf), product_name="PRODUCT_1", sentiment="positive", min_rating=2, max_rating=4, search="  positive  ab%s_").select("id", "product_name", "rating", "sentiment_label")
 
@@ -44,7 +44,7 @@ def _(spark, sf):
     return df.join(owner, "user_id", "left_semi").where("id = 1234").limit(1).select("id", "user_id", "product_name", "rating")
 
 
-@C.query("flt3_by_product", f"{RV} SELECT id, user_id, rating FROM reviews WHERE product_name = 'product-7' AND user_id % 2 = 0")
+@C.query("flt3_by_product", f"{RV} SELECT id, user_id, rating FROM reviews WHERE product_name = 'product-7'")
 def _(spark, sf):
     return R.by_product(rv(spark, sf), "product-7").select("id", "user_id", "rating")
 
@@ -72,7 +72,7 @@ def _(spark, sf):
     return R.delete_reviews(df, df.where("id % 100 = 7")).select("id", "user_id")
 
 
-@C.query("flt11_list_jobs", f"WITH {A.JOB_UPDATES} SELECT event_id, job_id, status FROM job_updates WHERE status = 'failed' AND job_id < 250")
+@C.query("flt11_list_jobs", f"WITH {A.JOB_UPDATES} SELECT event_id, job_id, status FROM job_updates WHERE status = 'failed'")
 def _(spark, sf):
     return A.job_updates(spark, sf).where("status = 'failed'").select("event_id", "job_id", "status")
 
@@ -186,12 +186,12 @@ def _(spark, sf):
     return R.product_trend(rv(spark, sf), None, _now(), period="month", days=90)
 
 
-@C.query("srt1_sort_reviews", f"{RV} SELECT id, sentiment_score FROM reviews WHERE product_name = 'product-7' ORDER BY sentiment_score DESC NULLS FIRST, id LIMIT 60")
+@C.query("srt1_sort_reviews", f"{RV} SELECT id, sentiment_score FROM reviews WHERE product_name = 'product-7' ORDER BY sentiment_score DESC NULLS FIRST, id")
 def _(spark, sf):
     return R.sort_reviews(R.by_product(rv(spark, sf), "product-7"), "sentiment_score").select("id", "sentiment_score")
 
 
-@C.query("srt2_sort_products", f"{RV} SELECT product_name, total FROM (SELECT product_name, count(*) AS total FROM reviews WHERE user_id = 42 GROUP BY product_name) ORDER BY total DESC, product_name LIMIT 20")
+@C.query("srt2_sort_products", f"{RV} SELECT product_name, total FROM (SELECT product_name, count(*) AS total FROM reviews WHERE user_id = 42 GROUP BY product_name) ORDER BY total DESC, product_name")
 def _(spark, sf):
     return R.sort_products(R.product_list(rv(spark, sf), 42), "total").select("product_name", "total")
 
@@ -201,7 +201,7 @@ def _(spark, sf):
     return R.page(R.sort_reviews(rv(spark, sf), "review_date", descending=False), 80, 20).select("id", "review_date", "page")
 
 
-@C.query("srt4_jobs_by_time", f"WITH {A.JOB_UPDATES} SELECT event_id, job_id, ts FROM job_updates ORDER BY ts DESC, event_id LIMIT 50")
+@C.query("srt4_jobs_by_time", f"WITH {A.JOB_UPDATES} SELECT event_id, job_id, ts FROM job_updates ORDER BY ts DESC, event_id")
 def _(spark, sf):
     return A.job_updates(spark, sf).orderBy(F.desc("ts"), "event_id").select("event_id", "job_id", "ts")
 
