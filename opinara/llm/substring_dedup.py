@@ -5,17 +5,17 @@ every byte would move each byte fifty times over. So suffixes are taken at ancho
 `length` bytes the 16 bytes with the least hash (the leftmost of equals). Equal strings have equal anchors at equal places,
 so comparing what surrounds equal anchors finds every repeat and loses none.
 
-1. Documents lie in batches. Each batch names the hashes of its anchors; those that one batch only and one document
-   only has are done with. What comes back to a batch are the hashes that repeat.
+1. Documents lie in batches of some bytes. Each batch names the hashes of its anchors, in the task that reads it; those
+   that one batch only and one document only has are done with. What comes back to a batch are the hashes that repeat.
 2. Batches send the repeated anchors' suffixes, with the bytes before them that a string may need, to ranges of
    leading bytes whose splitters were sampled. Equal ones of a batch are sent once, for the document with the least id.
 3. Each range is sorted by multikey quicksort over words of eight bytes. Neighbours with enough leading bytes in common
-   and the same bytes before them are equal strings; the least id of each string comes out.
-   A splitter has all 16 leading bytes, so equal anchors never lie on both sides of a boundary.
+   and the same bytes before them are equal strings; the least id of each string comes out. A splitter has all 16
+   leading bytes, so equal anchors never lie on both sides of a boundary and there is nothing to compare across it.
 4. Batches get back which strings go, and cut them out.
 
-An anchor that very many batches hold (a passage that a third of the documents share) would bring all its
-surroundings to one range. Its strings are sent each for itself, by their own leading bytes; equal ones combine in the batches.
+An anchor that occurs very often (a passage that a third of the documents share) would bring all its surroundings to
+one range. Its strings are rows of their own: a minimum by string, combined before the shuffle, and a join that Spark can split.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.llm._shared import kept, q
+from opinara.llm._shared import kept, q, written
 
 GRAM = 16
 _WORDS = np.random.default_rng(42).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -131,9 +132,16 @@ def least_ids(around: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarra
 
 
 def _entry(length: int) -> np.dtype:
+    """An anchor's surroundings, the first and last start in them, and whose they are: id, document of the batch, place of start 0."""
     return np.dtype([("around", "u1", (2 * length - GRAM,)), ("lo", "u1"), ("hi", "u1"), ("id", "<i8"), ("doc", "<u4"), ("base", "<i8")])
 
 
+#: What a batch keeps for itself or gets back: document, place of start 0, the starts that go; or (said 0) whose fate it shares.
+_LOCAL = np.dtype([("doc", "<u4"), ("base", "<i8"), ("mask", "<u8"), ("as_doc", "<u4"), ("as_base", "<i8"), ("said", "u1")])
+_TRAFFIC = "range long, batch long, data binary"
+_STRINGS = "string binary, id long, batch long, doc long, base long, start int"
+
+
 def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """A batch's rows in order of id (null last) and row: their places in the table, ids and bytes."""
     ids = table.column("id").fill_null(_LAST).to_numpy().astype(np.int64)
@@ -147,22 +155,51 @@ def _pack(rows: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names), 1)
 
 
-def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
-    data = zstandard.decompress(data)
-    n, at = len(data) // kind.itemsize, 0
-    rows = np.empty(n, kind)
-    for c in kind.names:
-        part = kind[c]
-        rows[c] = np.frombuffer(data, part.base, n * int(np.prod(part.shape, dtype=int)), at).reshape(n, *part.shape)
-        at += n * part.itemsize
-    return rows
-
-
-def _blob(**columns) -> pa.Table:
-    return pa.table(columns)
-
-
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, batch_rows: int = 512, range_bytes: int = 8 << 20, hot_batches: int = 1024, keep: list[str] | None = None) -> DataFrame:
+def _unpack(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of several packed blobs in one array, and where each blob's begin; one blob is open at a time."""
+    sizes = [zstandard.frame_content_size(b) // kind.itemsize for b in blobs]
+    ends = np.cumsum([0, *sizes])
+    rows = np.empty(ends[-1], kind)
+    for blob, n, lo in zip(blobs, sizes, ends[:-1], strict=True):
+        data, at = zstandard.decompress(blob), 0
+        for c in kind.names:
+            part = kind[c]
+            rows[c][lo : lo + n] = np.frombuffer(data, part.base, n * int(np.prod(part.shape, dtype=int)), at).reshape(n, *part.shape)
+            at += n * part.itemsize
+    return rows, ends
+
+
+def _batched(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """A partition's rows in runs: a run ends with the row whose text takes it to `most` bytes. Its batch is its first row's number."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        lengths = pc.add(pc.fill_null(pc.binary_length(batch.column("text")), 0), 256).to_numpy(zero_copy_only=False)
+        lo = 0
+        while lo < len(lengths):
+            reach = np.cumsum(lengths[lo:])
+            n = int(np.searchsorted(reach, most - size)) + 1
+            held.append(batch.slice(lo, n))
+            size += int(reach[min(n, len(reach)) - 1])
+            lo += n
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=False))
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, batch_bytes: int = 1 << 20, bucket_rows: int = 1 << 18, range_rows: int = 1 << 17, hot_rows: int = 1 << 16, max_splitters: int = 1 << 14, keep: list[str] | None = None) -> DataFrame:
     """Every document with n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes.
 
     Strings are judged on the input; those of equal ids don't remove each other, so two rows of one id both stay.
@@ -170,8 +207,11 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     none. kept_bytes need not be valid UTF-8. Matches never cross documents. Other columns are carried along
     (`keep`: only these); input columns named as an added one are replaced. An empty table gives an empty result.
 
-    Documents are dealt to batches by their place in the input, which has to be the same each time it is read, as a
-    table's is. length: 17 to 79.
+    Documents are dealt to batches of `batch_bytes` of text by their place in the input, which has to be the same each
+    time it is read, as a table's is. length: 17 to 79. What a task holds is set by rows that were counted, at every size
+    of input: a bucket of hashes has about `bucket_rows`, a range of suffixes about `range_rows`, and an anchor of
+    over `hot_rows` occurrences goes the other way. At most `max_splitters` splitters reach the executors; where that
+    many ranges are too few, each is parted once more by a hash of its leading bytes.
     """
     if not GRAM < length <= 79:
         raise ValueError("length must be 17 to 79")
@@ -179,179 +219,168 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     carried = [docs.schema[c] for c in kept(docs, keep, ("n_bytes", "n_removed", "n_spans", "kept_bytes"))]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(q(id_col)).cast("long").alias("id"), F.col(q(text_col)).cast("string").cast("binary").alias("text"), *(F.col(q(f.name)).alias(f"c{i}") for i, f in enumerate(carried)))
     total = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    batches = max(1, math.ceil(total["rows"] / batch_rows))
-    ranges = min(1 << 16, max(1, math.ceil((total["bytes"] or 0) / range_bytes)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches))).repartition(parts, "batch")
-    left = length - GRAM
-    entry = _entry(length)
-    single = np.dtype([("around", "u1", (length,)), ("id", "<i8"), ("doc", "<u4"), ("base", "<i8")])
-    splitters = spark.sparkContext.broadcast(_splitters(rows, total["rows"], ranges, length))  # one for each range: 1 MB at most
-
-    def bucket_of(hashes: np.ndarray) -> np.ndarray:
-        return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-    def name_anchors(table: pa.Table) -> pa.Table:
-        _, _, texts = _documents(table)
-        found = [np.unique(anchors(t, length)[1]) for t in texts]
-        hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-        hashes, several = hashes, (counts > 1).astype(np.uint8)
-        cuts = np.searchsorted(bucket_of(hashes), np.arange(ranges + 1))
-        batch = table.column("batch")[0].as_py()
-        some = np.flatnonzero(np.diff(cuts))
-        low = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
-        spans = [(cuts[b], cuts[b + 1]) for b in some]
-        # sorted by the whole hash; the low halves alone are sent, with the bit for several documents
-        return _blob(bucket=pa.array(some, pa.int64()), batch=pa.array([batch] * len(some), pa.int64()), low=pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), several=pa.array([np.packbits(several[a:b]).tobytes() for a, b in spans], pa.binary()))
+    left, width, entry = length - GRAM, 2 * length - GRAM, _entry(length)
+    buckets = max(1, math.ceil((total["bytes"] or 0) / (bucket_rows * left / 2)))
+
+    def name_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _batched(batches, batch_bytes):
+            found = [np.unique(anchors(np.frombuffer(t or b"", np.uint8), length)[1], return_counts=True) for t in table.column("text").to_pylist()]
+            hashes, which = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+            times = np.bincount(which, np.concatenate([n for _, n in found]), len(hashes)).astype(np.int64)
+            # how often, 2^14 at most, and a bit for several documents
+            code = (np.minimum(times, 1 << 14) | (np.bincount(which, minlength=len(hashes)) > 1).astype(np.int64) << 15).astype("<u2")
+            of = _bucket(hashes, buckets)
+            spans = [(of[x], x, y) for x, y in _runs(of)]
+            low = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
+            # sorted by the whole hash; the low halves alone are sent
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in spans], pa.int64()), pa.array([table.column("row")[0].as_py()] * len(spans), pa.int64()), pa.array([low[x:y].tobytes() for _, x, y in spans], pa.binary()), pa.array([code[x:y].tobytes() for _, x, y in spans], pa.binary())], ["bucket", "batch", "low", "code"])
 
     def find_repeats(table: pa.Table) -> pa.Table:
         lows = [np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)) for x, n in zip(table.column("several").to_pylist(), lows, strict=True)]
-        sizes = [len(x) for x in lows]
-        low = np.concatenate(lows)
+        ends = np.cumsum([0, *map(len, lows)])
+        low, code = np.concatenate(lows), np.frombuffer(b"".join(table.column("code").to_pylist()), "<u2").astype(np.int64)
         order = np.argsort(low, kind="stable")
         first = np.flatnonzero(np.r_[True, low[order][1:] != low[order][:-1]])
-        count = np.diff(np.r_[first, len(low)])
         group = np.empty(len(low), np.int64)
-        group[order] = np.repeat(np.arange(len(first)), count)
-        repeats = (count > 1) | (np.maximum.reduceat(np.concatenate(several)[order], first) > 0)
-        again, hot, ends = repeats[group], (count > hot_batches)[group], np.cumsum([0, *sizes])
-        spans = [(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        out = [(low[a:b][again[a:b]], hot[a:b][again[a:b]]) for a, b in spans]
-        # which of a batch's hashes: the low half, and a bit for those that very many batches have
-        return _blob(batch=table.column("batch"), bucket=table.column("bucket"), low=pa.array([x.tobytes() for x, _ in out], pa.binary()), hot=pa.array([np.packbits(h).tobytes() for _, h in out], pa.binary()))
-
-    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
+        group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(low)]))
+        again = (np.diff(np.r_[first, len(low)]) > 1) | (np.maximum.reduceat(code[order], first) >> 15 > 0)
+        again, hot = again[group], (np.add.reduceat(code[order] & 0x7FFF, first) > hot_rows)[group]
+        out = [(low[a:b][again[a:b]], np.packbits(hot[a:b][again[a:b]])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        # which of a batch's hashes: the low half, and a bit for those that occur very often
+        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "low": pa.array([x.tobytes() for x, _ in out], pa.binary()), "hot": pa.array([h.tobytes() for _, h in out], pa.binary())})
+
+    # the anchors are named where the texts are read: no text moves for it. Written, so the rest needn't do it again
+    named = rows.select("row", "text").mapInArrow(name_anchors, "bucket long, batch long, low binary, code binary")
+    repeats = written(named.groupBy("bucket").applyInArrow(find_repeats, "batch long, bucket long, low binary, hot binary").where(F.length("low") > 0), "repeats")
+    anchors_ = repeats.agg(F.sum(F.length("low") / 4).alias("n")).first().n or 0
+    ranges = max(1, math.ceil(anchors_ / range_rows))
+    finer = math.ceil(ranges / max_splitters)
+    splitters = spark.sparkContext.broadcast(_splitters(rows, total["rows"], math.ceil(ranges / finer), length))  # 16 bytes each
+
+    def range_of(keys: np.ndarray) -> np.ndarray:
+        to = _range_of(keys, splitters.value)
+        return to if finer == 1 else to * finer + ((_halves(keys) @ _WORDS[:2] >> np.uint64(32)) % np.uint64(finer)).astype(np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _batched(batches, batch_bytes):
+            yield from table.add_column(0, "batch", pa.array([table.column("row")[0].as_py()] * table.num_rows, pa.int64())).combine_chunks().to_batches()
+
+    def entries_of(text: np.ndarray, wanted: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A text's wanted anchors with their surroundings, without owner, and which of them are hot."""
+        at, hashes, first, last = anchors(text, length)
+        key = (_bucket(hashes, buckets).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+        place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+        known = np.flatnonzero(wanted[place] == key)
+        out = np.zeros(len(known), entry)
+        base = at[known] - left
+        padded = np.concatenate((np.zeros(left, np.uint8), text, np.zeros(length, np.uint8)))
+        around, lo, hi = padded[at[known][:, None] + np.arange(width)], first[known] - base, last[known] - base
+        column = np.arange(width)
+        around[(column < lo[:, None]) | (column >= hi[:, None] + length)] = 0
+        out["around"], out["lo"], out["hi"], out["base"] = around, lo, hi, base
+        return out, hot[place[known]]
+
+    def prepare(table: pa.Table, answers: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray] | None:
+        """The batch, its distinct entries (the least id's stands for equal ones), which of them are hot, and what the others do."""
         if not table.num_rows or not answers.num_rows:
-            return _blob(range=pa.array([], pa.int64()), batch=pa.array([], pa.int64()), kind=pa.array([], pa.int64()), data=pa.array([], pa.binary()))
+            return None
         _, ids, texts = _documents(table)
-        wanted, hot = [], []
-        for bucket, low, bits in zip(*(answers.column(c).to_pylist() for c in ("bucket", "low", "hot")), strict=True):
-            x = np.frombuffer(low, "<u4").astype(np.uint64)
-            wanted.append(np.uint64(bucket << 32) | x)
-            hot.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(x)).astype(bool))
-        wanted, hot = np.concatenate(wanted), np.concatenate(hot)
+        lows = [np.frombuffer(x, "<u4").astype(np.uint64) for x in answers.column("low").to_pylist()]
+        wanted = np.concatenate([np.uint64(b << 32) | x for b, x in zip(answers.column("bucket").to_pylist(), lows, strict=True)])
+        hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=len(x)) for h, x in zip(answers.column("hot").to_pylist(), lows, strict=True)]).astype(bool)
         by = np.argsort(wanted)
         wanted, hot = wanted[by], hot[by]
-        plain, alone = [], []
+        found, flags = [], []
         for doc, text in enumerate(texts):
-            at, hashes, first, last = anchors(text, length)
-            if not len(at) or not len(wanted):
-                continue
-            key = (bucket_of(hashes).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
-            place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            known = wanted[place] == key
-            very = known & hot[place]
-            known &= ~very
-            if known.any():
-                rows_ = np.zeros(int(known.sum()), entry)
-                padded = np.concatenate((np.zeros(left, np.uint8), text, np.zeros(length, np.uint8)))
-                at, lo, hi = at[known], first[known], last[known]
-                around = padded[at[:, None] + np.arange(2 * length - GRAM)]
-                base = at - left
-                lo, hi = lo - base, hi - base
-                column = np.arange(2 * length - GRAM)
-                around[(column < lo[:, None]) | (column >= hi[:, None] + length)] = 0
-                rows_["around"], rows_["lo"], rows_["hi"], rows_["id"], rows_["doc"], rows_["base"] = around, lo, hi, ids[doc], doc, base
-                plain.append(rows_)
-            if very.any():
-                starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[very], last[very], strict=True)])
-                rows_ = np.zeros(len(starts), entry)
-                rows_["around"][:, :length] = text[starts[:, None] + np.arange(length)]
-                rows_["id"], rows_["doc"], rows_["base"] = ids[doc], doc, starts
-                alone.append(rows_)
-        out: dict[str, list] = {"range": [], "kind": [], "data": []}
-        batch = table.column("batch")[0].as_py()
-        for kind, some in ((0, plain), (1, alone)):
-            if not some:
-                continue
-            all_ = np.concatenate(some)
-            look = np.ascontiguousarray(np.concatenate((all_["around"], all_["lo"][:, None], all_["hi"][:, None]), axis=1)).view(f"V{all_['around'].shape[1] + 2}")[:, 0]
-            _, index, inverse = np.unique(look, return_index=True, return_inverse=True)
-            first = all_[index[inverse]]
-            rest = np.flatnonzero(index[inverse] != np.arange(len(all_)))
-            # of equal ones the first has the least id: later ids lose these strings, the same id shares the first's fate
-            local = np.zeros(len(rest), _LOCAL)
-            local["doc"], local["base"] = all_["doc"][rest], all_["base"][rest]
-            loses = all_["id"][rest] > first["id"][rest]
-            lo, hi = all_["lo"][rest].astype(np.uint64), all_["hi"][rest].astype(np.uint64)
-            local["mask"] = np.where(loses, ((np.uint64(1) << (hi - lo + np.uint64(1))) - np.uint64(1)) << lo, 0)
-            local["as_doc"], local["as_base"], local["kind"] = first["doc"][rest], first["base"][rest], kind
-            out["range"].append(-1)
-            out["kind"].append(kind)
-            out["data"].append(_pack(local))
-            sent = all_[index]
-            where = left if kind == 0 else 0
-            keys = np.ascontiguousarray(sent["around"][:, where : where + GRAM]).view(f"V{GRAM}")[:, 0]
-            to, halves = _range_of(keys, splitters.value), _halves(keys)
-            by = np.lexsort((halves[:, 1], halves[:, 0], to))
+            if len(text) >= length:
+                some, very = entries_of(text, wanted, hot)
+                some["id"], some["doc"] = ids[doc], doc
+                found.append(some)
+                flags.append(very)
+        if not sum(map(len, found)):
+            return None
+        every, hot = np.concatenate(found), np.concatenate(flags)
+        found.clear()
+        look = np.ascontiguousarray(np.concatenate((every["around"], every["lo"][:, None], every["hi"][:, None]), axis=1)).view(f"V{width + 2}")[:, 0]
+        _, index, inverse = np.unique(look, return_index=True, return_inverse=True)
+        source = index[inverse]
+        rest = np.flatnonzero(source != np.arange(len(every)))
+        # later ids lose the strings of the first, the same id shares the first's fate
+        local, mine, whose = np.zeros(len(rest), _LOCAL), every[rest], every[source[rest]]
+        lo, hi = mine["lo"].astype(np.uint64), mine["hi"].astype(np.uint64)
+        local["doc"], local["base"], local["as_doc"], local["as_base"] = mine["doc"], mine["base"], whose["doc"], whose["base"]
+        local["mask"] = np.where(mine["id"] > whose["id"], ((np.uint64(1) << (hi - lo + np.uint64(1))) - np.uint64(1)) << lo, 0)
+        return table.column("batch")[0].as_py(), every[index], hot[index], local
+
+    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"range": [], "data": []}
+        batch = None
+        if ready := prepare(table, answers):
+            batch, sent, hot, local = ready
+            if len(local):
+                out["range"].append(-1 - batch)
+                out["data"].append(_pack(local))
+            sent = sent[~hot]
+            keys = np.ascontiguousarray(sent["around"][:, left : left + GRAM]).view(f"V{GRAM}")[:, 0]
+            to = range_of(keys)
+            by = np.argsort(to, kind="stable")
             sent, to = sent[by], to[by]
-            cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True):
+            for a, b in _runs(to):
                 out["range"].append(int(to[a]))
-                out["kind"].append(kind)
-                part = sent[a:b]
-                if kind:
-                    part = np.empty(b - a, single)
-                    part["around"] = sent["around"][a:b, :length]
-                    for c in ("id", "doc", "base"):
-                        part[c] = sent[c][a:b]
-                out["data"].append(_pack(part))
-        return _blob(range=pa.array(out["range"], pa.int64()), batch=pa.array([batch] * len(out["range"]), pa.int64()), kind=pa.array(out["kind"], pa.int64()), data=pa.array(out["data"], pa.binary()))
+                out["data"].append(_pack(sent[a:b]))
+        return pa.table({"range": pa.array(out["range"], pa.int64()), "batch": pa.array([batch] * len(out["range"]), pa.int64()), "data": pa.array(out["data"], pa.binary())})
+
+    def spell(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """The strings of hot anchors, each for itself and once in a batch."""
+        columns: list[list] = [[] for _ in range(6)]
+        if ready := prepare(table, answers):
+            batch, sent, hot, _ = ready
+            for e in sent[hot]:
+                for o in range(int(e["lo"]), int(e["hi"]) + 1):
+                    for column, x in zip(columns, (e["around"][o : o + length].tobytes(), int(e["id"]), batch, int(e["doc"]), int(e["base"]), o), strict=True):
+                        column.append(x)
+        return pa.table({n: pa.array(x, k) for n, x, k in zip(("string", "id", "batch", "doc", "base", "start"), columns, (pa.binary(), *[pa.int64()] * 4, pa.int32()), strict=True)})
 
     def judge(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"batch": [], "kind": [], "data": []}
-        for kind in (0, 1):
-            mine = [(b, d) for b, k, d in zip(*(table.column(c).to_pylist() for c in ("batch", "kind", "data")), strict=True) if k == kind]
-            if not mine:
-                continue
-            if kind == 0:
-                parts_ = [_unpack(d, entry) for _, d in mine]
-                all_ = np.concatenate(parts_)
-                masks = least_ids(all_["around"], all_["lo"].astype(np.int64), all_["hi"].astype(np.int64), all_["id"], length)
-            else:
-                parts_ = [_unpack(d, single) for _, d in mine]
-                all_ = np.concatenate(parts_)
-                strings = all_["around"]
-                order, common = multikey_order(strings)
-                run = np.cumsum(common < length) - 1
-                least = np.full(run[-1] + 1, _LAST)
-                np.minimum.at(least, run, all_["id"][order])
-                masks = np.zeros(len(all_), np.uint64)
-                masks[order] = least[run] < all_["id"][order]
-            ends = np.cumsum([0, *map(len, parts_)])
-            for (batch, _), a, b in zip(mine, ends[:-1], ends[1:], strict=True):
-                hit = a + np.flatnonzero(masks[a:b])
-                if len(hit):
-                    reply = np.zeros(len(hit), _LOCAL)
-                    reply["doc"], reply["base"], reply["mask"], reply["kind"] = all_["doc"][hit], all_["base"][hit], masks[hit], 2 + kind
-                    out["batch"].append(batch)
-                    out["kind"].append(2 + kind)
-                    out["data"].append(_pack(reply))
-        return _blob(range=pa.array([-1] * len(out["batch"]), pa.int64()), batch=pa.array(out["batch"], pa.int64()), kind=pa.array(out["kind"], pa.int64()), data=pa.array(out["data"], pa.binary()))
+        if table.column("range")[0].as_py() < 0:  # what a batch has decided for itself passes through
+            return table.select(["batch", "data"])
+        out: dict[str, list] = {"batch": [], "data": []}
+        every, ends = _unpack(table.column("data").to_pylist(), entry)
+        masks = least_ids(every["around"], every["lo"].astype(np.int64), every["hi"].astype(np.int64), every["id"], length)
+        for batch, a, b in zip(table.column("batch").to_pylist(), ends[:-1], ends[1:], strict=True):
+            hit = a + np.flatnonzero(masks[a:b])
+            if len(hit):
+                reply = np.zeros(len(hit), _LOCAL)
+                reply["doc"], reply["base"], reply["mask"], reply["said"] = every["doc"][hit], every["base"][hit], masks[hit], 1
+                out["batch"].append(batch)
+                out["data"].append(_pack(reply))
+        return pa.table({"batch": pa.array(out["batch"], pa.int64()), "data": pa.array(out["data"], pa.binary())})
+
+    def reply_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            batch, doc, base, start = (part.column(c).to_numpy(zero_copy_only=False) for c in ("batch", "doc", "base", "start"))
+            by = np.argsort(batch, kind="stable")
+            batches_, blobs = [], []
+            for a, b in _runs(batch[by]):
+                mine = by[a:b]
+                batches_.append(batch[mine[0]])
+                reply = np.zeros(len(mine), _LOCAL)
+                reply["doc"], reply["base"], reply["mask"], reply["said"] = doc[mine], base[mine], np.uint64(1) << start[mine].astype(np.uint64), 1
+                blobs.append(_pack(reply))
+            yield pa.RecordBatch.from_arrays([pa.array(batches_, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "data"])
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         order, _, texts = _documents(table)
-        said = [_unpack(d, _LOCAL) for d in answers.column("data").to_pylist()]
-        said = np.concatenate(said) if said else np.zeros(0, _LOCAL)
-        judged = said[said["kind"] >= 2]
-        fate = {(int(k) - 2, int(d), int(b)): int(m) for k, d, b, m in zip(judged["kind"], judged["doc"], judged["base"], judged["mask"], strict=True)}
-        ours = said[said["kind"] < 2].copy()
-        for i in np.flatnonzero(ours["mask"] == 0) if fate else ():
-            x = ours[i]
-            ours["mask"][i] = fate.get((int(x["kind"]), int(x["as_doc"]), int(x["as_base"])), 0)
-        gone = np.concatenate((judged, ours[ours["mask"] != 0]))
-        gone = gone[np.argsort(gone["doc"], kind="stable")]
+        gone = _gone(_unpack(answers.column("data").to_pylist(), _LOCAL)[0])
         cuts = np.searchsorted(gone["doc"], np.arange(len(texts) + 1))
-        n_bytes, n_removed, n_spans, left_over = (np.zeros(len(texts), np.int64) for _ in range(3)), None, None, [b""] * len(texts)
-        n_bytes, n_removed, n_spans = n_bytes
+        (n_bytes, n_removed, n_spans), left_over = (np.zeros(len(texts), np.int64) for _ in range(3)), [b""] * len(texts)
         for doc, text in enumerate(texts):
             mine = gone[cuts[doc] : cuts[doc + 1]]
             keep_ = np.ones(len(text), bool)
             if len(mine):
                 edge = np.zeros(len(text) + 1, np.int64)
-                bits = (mine["mask"][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-                entry_, offset = np.nonzero(bits)
+                entry_, offset = np.nonzero((mine["mask"][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
                 starts = mine["base"][entry_] + offset
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + length, -1)
@@ -361,19 +390,33 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             left_over[at] = text[keep_].tobytes()
         return pa.table([*(table.column(f"c{i}") for i in range(len(carried))), pa.array(n_bytes), pa.array(n_removed), pa.array(n_spans), pa.array(left_over, pa.binary())], names=[*(f"c{i}" for i in range(len(carried))), "n_bytes", "n_removed", "n_spans", "kept_bytes"])
 
-    named = dealt.groupBy("batch").applyInArrow(name_anchors, "bucket long, batch long, low binary, several binary")
-    repeats = named.groupBy("bucket").applyInArrow(find_repeats, "batch long, bucket long, low binary, hot binary")
-    traffic = "range long, batch long, kind long, data binary"
-    sent = dealt.groupBy("batch").cogroup(repeats.groupBy("batch")).applyInArrow(send, traffic)
-    judged = sent.where("range >= 0").groupBy("range").applyInArrow(judge, traffic)
-    answers = judged.union(sent.where("range < 0"))
+    dealt = rows.mapInArrow(deal, T.StructType([T.StructField("batch", T.LongType()), *rows.schema])).repartition(parts, "batch")
+    asked = repeats.groupBy("batch")
+    judged = dealt.groupBy("batch").cogroup(asked).applyInArrow(send, _TRAFFIC).groupBy("range").applyInArrow(judge, "batch long, data binary")
+    if not repeats.where(F.expr("exists(transform(sequence(1, length(hot)), i -> substring(hot, i, 1)), b -> b != x'00')")).isEmpty():
+        # minima combine before the shuffle, and Spark splits a hot string's side of the join
+        strings = written(dealt.groupBy("batch").cogroup(asked).applyInArrow(spell, _STRINGS), "strings")
+        least = strings.groupBy("string").agg(F.min("id").alias("least"))
+        judged = judged.union(strings.join(least, "string").where("id > least").select("batch", "doc", "base", "start").mapInArrow(reply_hot, "batch long, data binary"))
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(carried)), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_bytes", T.BinaryType())])
-    out = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, schema)
+    out = dealt.groupBy("batch").cogroup(judged.groupBy("batch")).applyInArrow(cut, schema)
     return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(carried)), "n_bytes", "n_removed", "n_spans", "kept_bytes")
 
 
-#: What a batch keeps for itself or gets back: the document, the place of start 0, the starts that go; or whose fate it shares.
-_LOCAL = np.dtype([("doc", "<u4"), ("base", "<i8"), ("mask", "<u8"), ("as_doc", "<u4"), ("as_base", "<i8"), ("kind", "u1")])
+def _gone(said: np.ndarray) -> np.ndarray:
+    """What goes, in order of document: the judged entries, and those that share their fate."""
+    judged, ours = said[said["said"] == 1], said[said["said"] == 0].copy()
+    key = lambda doc, base: doc.astype(np.int64) << 36 | (base + 128)  # noqa: E731  documents are under 2^31 bytes, base is -63 at least
+    fates, which = np.unique(key(judged["doc"], judged["base"]), return_inverse=True)
+    masks = np.zeros(len(fates) + 1, np.uint64)
+    np.bitwise_or.at(masks, which, judged["mask"])
+    shares = np.flatnonzero(ours["mask"] == 0)
+    asked = key(ours["as_doc"][shares], ours["as_base"][shares])
+    place = np.searchsorted(fates, asked)
+    known = (place < len(fates)) & (fates[np.minimum(place, max(0, len(fates) - 1))] == asked) if len(fates) else np.zeros(len(asked), bool)
+    ours["mask"][shares] = np.where(known, masks[np.where(known, place, len(fates))], 0)
+    gone = np.concatenate((judged, ours[ours["mask"] != 0]))
+    return gone[np.argsort(gone["doc"], kind="stable")]
 
 
 def _halves(keys: np.ndarray) -> np.ndarray:
@@ -382,7 +425,7 @@ def _halves(keys: np.ndarray) -> np.ndarray:
 
 def _range_of(keys: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     """The number of splitters at or below each key, by all of its bytes."""
-    if not len(splitters):
+    if not len(splitters) or not len(keys):
         return np.zeros(len(keys), np.int64)
     both = np.concatenate((_halves(splitters), _halves(keys)))
     is_key = np.r_[np.zeros(len(splitters), np.int8), np.ones(len(keys), np.int8)]
@@ -393,8 +436,8 @@ def _range_of(keys: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     return out[len(splitters) :]
 
 
-def _splitters(rows: DataFrame, n_rows: int, ranges: int, length: int, sample_rows: int = 4096) -> np.ndarray:
-    """Leading bytes that part the anchors of a sample of at most about `sample_rows` documents evenly."""
+def _splitters(rows: DataFrame, n_rows: int, ranges: int, length: int, per_range: int = 64) -> np.ndarray:
+    """Leading bytes that part the anchors of a sample evenly: at least `per_range` of them for a range, from 4096 documents or more."""
     if ranges < 2:
         return np.empty(0, f"V{GRAM}")
 
@@ -407,6 +450,7 @@ def _splitters(rows: DataFrame, n_rows: int, ranges: int, length: int, sample_ro
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array([data[at[:, None] + np.arange(GRAM)].tobytes()], pa.binary())], ["keys"])
 
+    sample_rows = max(4096, ranges * per_range // 32)
     share = min(1 << 20, max(1, (sample_rows << 20) // max(1, n_rows)))
     got = rows.where(F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 20)) < share).select("text").mapInArrow(lead, "keys binary").toArrow()
     keys = np.frombuffer(b"".join(got["keys"].to_pylist()), f"V{GRAM}")

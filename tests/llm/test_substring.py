@@ -34,7 +34,7 @@ def check(df, **options):
 
 def test_tables(documents, no_documents):
     check(documents)
-    check(documents, batch_rows=16, range_bytes=1 << 14, hot_batches=1)
+    check(documents, batch_bytes=1 << 14, bucket_rows=1 << 9, range_rows=1 << 9, hot_rows=40, max_splitters=8)
     check(no_documents)
 
 
@@ -42,13 +42,13 @@ def test_odd_rows(odd_documents):
     check(odd_documents)
 
 
-@pytest.mark.parametrize("hot", [1, 32])
+@pytest.mark.parametrize("hot", [1, 8, 1000])
 def test_random_passages(spark, hot):
     chance = random.Random(hot)
     alphabet = ["ab", "a", "b", "é", " "]
     passages = ["".join(chance.choice(alphabet) for _ in range(chance.randint(20, 120))) for _ in range(12)]
     rows = [(chance.randint(1, 60), "".join(chance.choice([*passages, "".join(chance.choice(alphabet) for _ in range(30))]) for _ in range(chance.randint(0, 6)))) for _ in range(80)]
-    check(spark.createDataFrame(rows, "doc_id long, text string"), batch_rows=8, range_bytes=1 << 10, hot_batches=hot)
+    check(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=1 << 11, bucket_rows=64, range_rows=32, hot_rows=hot, max_splitters=4)
 
 
 def test_another_length_and_columns(spark, odd_documents):
@@ -56,3 +56,20 @@ def test_another_length_and_columns(spark, odd_documents):
     check(spark.createDataFrame(rows, "doc_id long, text string"), length=20)
     out = substring_dedup.dedup_substrings(odd_documents)
     assert set(out.columns) == set(odd_documents.columns) | {"n_removed", "n_spans", "kept_bytes"} and out.count() == odd_documents.count()
+
+
+def test_one_lead_in_every_document(spark):
+    lead = "-" * 60 + "\n"
+    rows = [(i, "".join(f"{lead}chapter {i % 7} {k * i % 5} of the same book\n" for k in range(6))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1, 100, 1 << 16):
+        check(df, batch_bytes=1 << 12, range_rows=64, hot_rows=hot)
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    sizes = [10, 5000, 10, 10, 9000, 0, 700, 700, 700]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(9)), "text": [b"x" * n if n else None for n in sizes]})
+    runs = [t.column("row").to_pylist() for t in substring_dedup._batched(iter([batch.slice(0, 4), batch.slice(4, 5)]), 2000)]
+    assert runs == [[0, 1], [2, 3, 4], [5, 6, 7], [8]]
