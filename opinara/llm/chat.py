@@ -23,18 +23,16 @@ _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 #: Layouts: where a list of turns is and what its fields are called, or fields that are turns themselves. `also`: paths
 #: that a record of the layout may have besides and that aren't turns. A turn of several fields joins those that
-#: are not empty by a blank line.
+#: are not empty by a blank line. `roles`: names of the layout's own that stand for others; elsewhere roles stay as they are.
 LAYOUTS: list[dict] = [
     {"name": "messages_text", "list": "messages", "role": "role", "text": "text"},
     {"name": "messages_content", "list": "messages", "role": "role", "text": "content", "also": ["id", "source"]},
-    {"name": "conversations", "list": "conversations", "role": "from", "text": "value", "also": ["id", "source", "system"], "before": [["system", ["system"]]]},
+    {"name": "conversations", "list": "conversations", "role": "from", "text": "value", "roles": {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}, "also": ["id", "source", "system"], "before": [["system", ["system"]]]},
     {"name": "instruction", "turns": [["user", ["instruction", "input"]], ["assistant", ["output"]]], "optional": ["input"], "also": ["id", "source", "system"], "before": [["system", ["system"]]]},
     {"name": "prompt_response", "turns": [["user", ["prompt"]], ["assistant", ["response"]]], "also": ["id", "source", "system"], "before": [["system", ["system"]]]},
     {"name": "prompt_completion", "turns": [["user", ["prompt"]], ["assistant", ["completion"]]], "also": ["id", "source", "system"], "before": [["system", ["system"]]]},
     {"name": "question_answer", "turns": [["user", ["context", "question"]], ["assistant", ["answer"]]], "optional": ["context"], "also": ["id", "source"]},
 ]
-#: Names of roles that stand for others.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def paths_of(value, at: str = "") -> set[str]:
@@ -76,7 +74,7 @@ def turns_of(record: dict, layout: dict) -> list[tuple[str, str]]:
 
     turns = fixed(layout.get("before", []))
     if "list" in layout:
-        names = layout.get("roles", ROLES)
+        names = layout.get("roles", {})
         return turns + [(names.get(r := text(t.get(layout["role"])), r), text(t.get(layout["text"]))) for t in record[layout["list"]]]
     return turns + fixed(layout["turns"])
 
@@ -152,17 +150,38 @@ def format_chat(records: DataFrame, *, record_col: str = "record", layouts: list
     return out.select(*(F.col(c).alias(f.name) for c, f in zip(cols, carried, strict=True)), "fingerprint", "layout", "formatted", "loss_mask")
 
 
-def records_of_turns(turns: DataFrame, *, id_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def records_of_turns(turns: DataFrame, *, id_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text", mixed: bool = False) -> DataFrame:
     """(id, record): rows by turn as JSON records with a list of messages.
 
     Turns stand in their order, null first; equal ones by role and text, and repeated rows stay. A null id is a
     conversation of its own. Null roles and texts are empty. A conversation becomes one text, so its turns meet in
     one row: no conversation may be over 2 GB.
+
+    mixed: records take turns, by a hash of the id, in all layouts of LAYOUTS that can hold them.
     """
     empty = lambda c: F.coalesce(F.col(q(c)).cast("string"), F.lit(""))
     rows = turns.select(F.col(q(id_col)).alias("id"), F.struct(F.col(q(order_col)).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text")).alias("m"))
     grouped = rows.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    return grouped.select(F.col("id").alias(id_col), F.to_json(F.struct(F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))).alias("record"))
+    return grouped.select(F.col("id").alias(id_col), (_mixed() if mixed else _messages("messages", "role", "text")).alias("record"))
+
+
+def _messages(name: str, role: str, text: str, names: dict[str, str] | None = None) -> Column:
+    """The turns `m` as the JSON of an object with one list; names: what the layout calls roles."""
+    called = lambda m: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), m["role"]), m["role"]) if names else m["role"]
+    return F.to_json(F.struct(F.transform("m", lambda m: F.struct(called(m).alias(role), m["text"].alias(text))).alias(name)))
+
+
+def _mixed() -> Column:
+    """The turns `m` in one of the layouts that can hold them: prompts and answers if there is one of each, with or without a system text."""
+    roles, text = F.transform("m", lambda m: m["role"]), lambda i: F.element_at("m", i)["text"]
+    pick = lambda *layouts: F.element_at(F.array(*layouts), (F.pmod(F.xxhash64("id"), F.lit(len(layouts))) + 1).cast("int"))
+    record = lambda **fields: F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
+    lists = [_messages("messages", "role", "text"), _messages("messages", "role", "content")]
+    own = F.forall(roles, lambda r: r.isin("user", "assistant", "system"))  # any other role has to stay as it is
+    pair = [record(instruction=text(1), input=F.lit(""), output=text(2)), record(prompt=text(1), response=text(2)), record(completion=text(2), prompt=text(1)), record(question=text(1), answer=text(2))]
+    system = [record(system=text(1), instruction=text(2), output=text(3)), record(system=text(1), prompt=text(2), response=text(3)), record(prompt=text(2), completion=text(3), system=text(1))]
+    is_ = lambda *names: roles == F.array(*map(F.lit, names))
+    return F.when(is_("user", "assistant"), pick(*lists, *pair)).when(is_("system", "user", "assistant"), pick(*lists, *system)).when(own, pick(*lists, _messages("conversations", "from", "value", {"user": "human", "assistant": "gpt"}))).otherwise(pick(*lists))
 
 
 def read_back(formatted: DataFrame, id_col: str) -> DataFrame:
@@ -194,7 +213,7 @@ def op4_chat(spark, sf_dir: str) -> DataFrame:
         columns: dict[str, Column] = {"conv_id": F.lit(-1), "turn": F.lit(turn), "role": F.lit(role), "text": F.lit(says)}
         return spark.range(1).select(*(c.cast(turns.schema[n].dataType).alias(n) for n, c in columns.items()))
 
-    records = records_of_turns(turns.union(row(0, "user")).union(row(1, "assistant")))
+    records = records_of_turns(turns.union(row(0, "user")).union(row(1, "assistant")), mixed=True)
     return read_back(format_chat(records, keep=["conv_id"]), "conv_id")
 
 

@@ -39,9 +39,9 @@ def test_odd_turns(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "x"), (None, 3, "assistant", "y" * 100_000), (None, 1, "assistant", ""), (2, 0, "bot", "é😀"), (2, -1, "assistant", "<|im_end|>")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     records = chat.records_of_turns(turns)
-    plain = [{**x, "name": "messages_text", "roles": {}} for x in chat.LAYOUTS[:1]]
-    got = chat.read_back(chat.format_chat(records, layouts=plain), "conv_id")
-    assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == [x for x in brute(rows) if x[0] != -1]
+    for some in (records, chat.records_of_turns(turns, mixed=True)):
+        got = chat.read_back(chat.format_chat(some), "conv_id")
+        assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == [x for x in brute(rows) if x[0] != -1]
     assert chat.format_chat(records.limit(0)).count() == 0
 
 
@@ -66,3 +66,24 @@ def test_layouts_become_the_same_turns(spark):
     assert chat.parse(out[len(records)].formatted) == [("system", "Be brief"), *hello]
     assert all(out[100 + i].formatted is None and out[100 + i].layout is None for i in range(len(odd)))
     assert out[100].fingerprint is None and out[105].fingerprint is not None
+
+
+def test_the_query_goes_through_many_layouts(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    out = chat.format_chat(chat.records_of_turns(turns, mixed=True), keep=["conv_id"])
+    assert out.where("layout is null").count() == 0
+    assert {r.layout for r in out.select("layout").distinct().collect()} >= {"messages_text", "messages_content", "conversations"}
+    pairs = turns.sparkSession.createDataFrame([(i, k, r, f"{r} {i}") for i in range(200) for k, r in enumerate(("system", "user", "assistant")[i % 2 :])], "conv_id long, turn long, role string, text string")
+    out = chat.format_chat(chat.records_of_turns(pairs, mixed=True))
+    assert {r.layout for r in out.select("layout").distinct().collect()} == {x["name"] for x in chat.LAYOUTS} - {"conversations"}
+    assert out.select("fingerprint").distinct().count() >= 8
+
+
+def test_roles_stay_as_they_stand(spark):
+    """human and model are no roles of the query's; no loss falls on them."""
+    rows = [(i, k, r, f"text {i} {k}") for i in range(30) for k, r in enumerate(("human", "model", "gpt", "assistant", "bot", "user")[: 1 + i % 6])]
+    rows += [(100 + i, k, r, None if i % 2 else "") for i in range(12) for k, r in enumerate(("user", "assistant"))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for mixed in (False, True):
+        got = chat.read_back(chat.format_chat(chat.records_of_turns(turns, mixed=mixed)), "conv_id")
+        assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == [x for x in brute(rows) if x[0] != -1]
