@@ -1,4 +1,4 @@
-"""Document quality by a factorisation machine over hashed words and structure statistics.
+"""Document quality by a factorisation machine over hashed words, structure statistics and hashed metadata.
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]): all pairwise interactions of
 low rank in time linear in a document's features.
@@ -43,15 +43,23 @@ def structure(text: bytes, words: list[bytes], counts: Counter) -> list[float]:
     ]
 
 
-def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Slots and values of a text's distinct words (of unit length together), and its statistics."""
+def features(text: bytes | None, metadata: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Slots and values of a text's distinct words (of unit length together) and of metadata, and the text's statistics."""
     text = text or b""
     words = text.split()
     counts = Counter(words)
-    slots = np.fromiter((zlib.crc32(w) % WORD_SLOTS for w in counts), np.int32, len(counts))
-    values = np.fromiter(counts.values(), np.float32, len(counts))
-    values = np.log1p(values)
-    return slots, values / max(1e-9, float(np.sqrt((values * values).sum()))), structure(text, words, counts)
+    slots = np.fromiter((zlib.crc32(w) % WORD_SLOTS for w in (*counts, *metadata)), np.int32, len(counts) + len(metadata))
+    values = np.log1p(np.fromiter(counts.values(), np.float32, len(counts)))
+    values /= max(1e-9, float(np.sqrt((values * values).sum())))
+    return slots, np.concatenate((values, np.ones(len(metadata), np.float32))), structure(text, words, counts)
+
+
+def _rows_features(batch: pa.RecordBatch, names: list[str]) -> list[tuple]:
+    """The features of a batch whose last columns are the metadata `names` (strings) and the text."""
+    texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+    first = batch.num_columns - 1 - len(names)
+    metadata = zip(*([b"%s=%s" % (n.encode(), b"" if v is None else v.encode()) for v in batch.column(first + i).to_pylist()] for i, n in enumerate(names)), strict=True) if names else [()] * len(texts)
+    return [features(t, m) for t, m in zip(texts, metadata, strict=True)]
 
 
 class Machine:
@@ -64,11 +72,14 @@ class Machine:
         slots, values, stats = features(text)
         return _row(slots, values, np.array(stats), self.mean, self.scale)
 
-    def score(self, text: bytes | None) -> float:
-        slots, values = self.row(text)
+    def score(self, rows: list[tuple]) -> np.ndarray:
+        """Of rows of slots and values: all at once, each row summed for itself."""
+        starts = np.cumsum([0, *(len(s) for s, _ in rows)])[:-1]
+        slots, values = np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows])
         products = self.factors[slots] * values[:, None]
-        total = self.bias + self.linear[slots] @ values + 0.5 * float((products.sum(0) ** 2 - (products * products).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+        pairs = np.add.reduceat(products, starts) ** 2 - np.add.reduceat(products * products, starts)
+        total = self.bias + np.add.reduceat(self.linear[slots] * values, starts) + 0.5 * pairs.sum(1)
+        return 1 / (1 + np.exp(-np.clip(total.astype(np.float64), -30, 30)))
 
 
 def _row(slots, values, stats, mean, scale):
@@ -121,49 +132,63 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8192) -> Machine:
-    """The machine of at most `max_rows` labelled documents, drawn by a hash of the id from those not held out.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = (), max_rows: int = 8192) -> Machine:
+    """The machine of at most `max_rows` labelled documents: those not held out whose ids have the least hashes.
 
     This documented bound is what reaches the driver: the sample's features, however many documents and labels there
-    are. Null labels, labels without a document and documents with a null id teach nothing.
+    are. The sample, and so the machine, is the same however the tables are partitioned, as long as ids differ. Null
+    labels, labels without a document and documents with a null id teach nothing.
     """
     usable = labels.where(F.col(q(label_col)).isNotNull() & F.col(q(id_col)).isNotNull() & ~held_out(F.col(q(id_col)))).select(F.col(q(id_col)).alias("id"), F.col(q(label_col)).cast("double").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
+    # hashes below this hold twice as many ids as are wanted; of these the least are taken, so no task sorts more
     rows = max(1, usable.count())
-    share = min(1 << 20, (max_rows << 20) // rows)
-    sample = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).limit(max_rows)
+    share = min(1 << 20, max(1, (2 * max_rows << 20) // rows))
+    hashed = F.xxhash64("id")
+    sample = usable.where(F.pmod(hashed, F.lit(1 << 20)) < share).orderBy(F.pmod(hashed, F.lit(1 << 20)), hashed, "id").limit(max_rows)
     schema = "id string, y double, slots array<int>, amounts array<float>, stats array<double>"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            rows = _rows_features(batch, list(metadata))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["id", "y", "slots", "amounts", "stats"])
 
     # broadcast: max_rows ids and labels at most
-    texts = docs.select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).cast("string").alias("text")).join(F.broadcast(sample), "id")
-    got = texts.select(F.col("id").cast("string"), "y", "text").mapInArrow(describe, schema).limit(max_rows).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    texts = docs.select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).cast("string").alias("text"), *_metadata(metadata)).join(F.broadcast(sample), "id")
+    got = texts.select(F.col("id").cast("string"), "y", *(f"m{i}" for i in range(len(metadata))), "text").mapInArrow(describe, schema)
+    # documents that share an id could be more than the ids: those with the least features' hashes stand for all
+    got = got.orderBy(F.xxhash64("id", "slots"), "id", "stats").limit(max_rows).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     stats = np.asarray(got["stats"].combine_chunks().flatten(), np.float64).reshape(-1, STATS)
     return fit(_lists(got["slots"], np.int32), _lists(got["amounts"], np.float32), stats, np.asarray(got["y"].combine_chunks(), np.float64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8192, keep: list[str] | None = None) -> DataFrame:
+def _metadata(names: tuple[str, ...]) -> list[Column]:
+    return [F.col(q(c)).cast("string").alias(f"m{i}") for i, c in enumerate(names)]
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = (), max_rows: int = 8192, keep: list[str] | None = None) -> DataFrame:
     """Every document with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5, else 0).
 
-    Only the whole text is an input. Null and empty texts are scored alike, by statistics of nothing. Repeated rows
-    get equal scores. Without usable labels the score is 0.5; with one class only it is near that class. Other
+    Inputs are the whole text and the columns named in `metadata`, each hashed as name=value (null: an empty value). Null
+    and empty texts are scored alike, by statistics of nothing. Repeated rows get equal scores. Without usable labels
+    the score is 0.5; with one class only it is near that class. An empty table gives an empty result. Other
     columns are carried along (`keep`: only these); input columns named as an added one are replaced.
     """
-    machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows))
+    m = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, metadata=metadata, max_rows=max_rows)
+    weights = docs.sparkSession.sparkContext.broadcast((m.mean, m.scale, m.bias, m.linear, m.factors))  # of a fixed size
     carried = [docs.schema[c] for c in kept(docs, keep, ("score", "predicted"))]
-    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(carried)), T.StructField("score", T.DoubleType())])
+    own = [f"c{i}" for i in range(len(carried))]
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(own, carried, strict=True)), T.StructField("score", T.DoubleType())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = machine.value.score
+        machine = Machine(*weights.value)
         for batch in batches:
-            scores = [score(t) for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*(f"c{i}" for i in range(len(carried))), "score"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                scores = machine.score([_row(s, v, np.array(x), machine.mean, machine.scale) for s, v, x in _rows_features(part, list(metadata))])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(scores, pa.float64())], [*own, "score"])
 
-    rows = docs.select(*(F.col(q(f.name)).alias(f"c{i}") for i, f in enumerate(carried)), F.col(q(text_col)).cast("string").alias("text")).mapInArrow(mark, schema)
-    return rows.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(carried)), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(*(F.col(q(f.name)).alias(c) for c, f in zip(own, carried, strict=True)), *_metadata(metadata), F.col(q(text_col)).cast("string").alias("text")).mapInArrow(mark, schema)
+    return rows.select(*(F.col(c).alias(f.name) for c, f in zip(own, carried, strict=True)), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,26 @@ def test_the_score_is_the_sum_over_all_pairs():
     slots, values = machine.row(b"some words and some more words")
     pairs = sum(float(machine.factors[slots[i]] @ machine.factors[slots[j]]) * values[i] * values[j] for i in range(len(slots)) for j in range(i))
     total = machine.bias + float(machine.linear[slots] @ values) + pairs
-    assert abs(machine.score(b"some words and some more words") - 1 / (1 + np.exp(-total))) < 1e-5
+    scores = machine.score([machine.row(b"other"), (slots, values), machine.row(None)])
+    assert abs(scores[1] - 1 / (1 + np.exp(-total))) < 1e-5 and len(scores) == 3
+
+
+def test_partitions_and_reruns_change_nothing(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat(if(id % 2 = 0, 'good words ', 'BAD !!! '), id % 97) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as quality")
+    got = []
+    for n in (3, 17):
+        out = quality.score_quality(docs.repartition(n), labels.repartition(n + 1), max_rows=300)
+        got.append(sorted((r.doc_id, r.score) for r in out.select("doc_id", "score").collect()))
+    assert got[0] == got[1]
+
+
+def test_metadata_is_an_input_where_asked_for(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "'the same text' as text", "if(id % 2 = 0, 'a', null) as site")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as quality")
+    out = quality.score_quality(docs, labels, metadata=("site",))
+    assert out.where("predicted = cast(doc_id % 2 = 0 as int)").count() == 400
+    assert quality.score_quality(docs, labels).select("score").distinct().count() == 1
 
 
 def test_odd_rows_and_labels(spark, odd_documents, no_documents):
