@@ -24,6 +24,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -56,10 +57,11 @@ class Encoder:
 
     The byte-level pattern cuts a text before a single space, and around other white space, whatever stands beside
     it. So the library encodes each distinct piece once, and a text's ids are its pieces' ids in a row. Texts that
-    hold one of the vocabulary's special tokens go to the library whole. About `most` pieces are remembered.
+    hold one of the vocabulary's special tokens go to the library whole. Pieces of up to 64 characters are remembered,
+    about `most` bytes of them in all; a longer one, as a text without any white space is, only while its texts are encoded.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -68,7 +70,15 @@ class Encoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
         self.pieces: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.held = most, 0
+
+    def _remember(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.pieces.update(zip(pieces, ids, strict=True))
+        self.held += sum(map(self._size, pieces, ids))
+
+    @staticmethod
+    def _size(piece: str, ids: bytes) -> int:
+        return 200 + len(piece) + len(ids)
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -102,29 +112,44 @@ class Encoder:
             units = _UNITS.findall(text) if uneven else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
             (others if uneven else words).update(units)
             cut.append(units)
-        if len(self.pieces) + len(words) + len(others) > self.most:  # the older half goes, but not what is needed now
-            older = [k for k in islice(self.pieces, len(self.pieces) // 2) if k not in words and k not in others]
-            for k in older:
-                del self.pieces[k]
+        if self.held > self.most:  # the older half goes, but not what is needed now
+            for k in [k for k in islice(self.pieces, len(self.pieces) // 2) if k not in words and k not in others]:
+                self.held -= self._size(k, self.pieces.pop(k))
         new = list(others.difference(self.pieces))
-        self.pieces.update(zip(new, self._each(new), strict=True))
+        self._remember(new, self._each(new))
         new = list(words.difference(self.pieces))
-        self.pieces.update(zip(new, self._words(new), strict=True))
+        self._remember(new, self._words(new))
         whole = iter(self._each([t for t, units in zip(texts, cut, strict=True) if units is None and t]))
-        return [b"".join(map(self.pieces.__getitem__, units)) if units is not None else next(whole) if text else b"" for text, units in zip(texts, cut, strict=True)]
+        out = [b"".join(map(self.pieces.__getitem__, units)) if units is not None else next(whole) if text else b"" for text, units in zip(texts, cut, strict=True)]
+        for k in [k for part in (words, others) for k in part if len(k) > 64]:
+            self.held -= self._size(k, self.pieces.pop(k))
+        return out
+
+
+def _few(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of up to `rows` rows that end where their texts reach `size` bytes."""
+    lengths, lo = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64), 0
+    while lo < batch.num_rows:
+        n = min(rows, int(np.searchsorted(np.cumsum(lengths[lo : lo + rows]), size)) + 1)
+        yield batch.slice(lo, n)
+        lo += n
 
 
-def write_token_records(docs: DataFrame, path: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shards: int | None = None) -> DataFrame:
+def write_token_records(docs: DataFrame, path: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shards: int | None = None, shard_bytes: int = 256 << 20) -> DataFrame:
     """Writes the folder described above and returns its manifest.
 
     Records stand in ascending order of id, null first; rows with equal ids keep the input's order and repeated rows
     are written each. A null or empty text is just the end id. Further columns are not written. Documents are range-partitioned by id and
-    the row's place in the input, so that many rows of one id can lie in several shards. A task writes
+    the row's place in the input, so that many rows of one id can lie in several shards; a shard for each `shard_bytes` of
+    text, but as many as the session has shuffle partitions at least. A task writes
     files of its own name and the manifest lists those of the tasks that counted, so a lost executor or a second attempt leaves nothing
     behind but unlisted files. An empty table writes no shards or empty ones.
     """
     rows = docs.select(F.col(q(id_col)).cast("long").alias("id"), F.col(q(text_col)).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = (rows.repartitionByRange(shards, "id", "row") if shards else rows.repartitionByRange("id", "row")).sortWithinPartitions("id", "row")
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+        shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / shard_bytes))
+    rows = rows.repartitionByRange(shards, "id", "row").sortWithinPartitions("id", "row")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = in_process(f"encoder:{tokenizer}", lambda: Encoder(tokenizer))
@@ -136,8 +161,7 @@ def write_token_records(docs: DataFrame, path: str, *, tokenizer: str, id_col: s
         records = ids = offset = 0
         with system.open_output_stream(f"{folder}/{name}.bin") as out, system.open_output_stream(f"{folder}/{name}.idx") as index:
             for batch in batches:
-                for i in range(0, batch.num_rows, 64):  # few at a time: texts can be long
-                    part = batch.slice(i, 64)
+                for part in _few(batch, 64, 1 << 20):  # texts can be long
                     for key, tokens in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                         tokens += end
                         packed = pack(tokens)

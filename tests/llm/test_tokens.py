@@ -37,7 +37,7 @@ def test_pieces_are_the_librarys(text):
     ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
     want = struct.pack(f"<{len(ids)}H", *ids)
     assert token_records.Encoder(PATH).encode([text]) == [want]
-    small = token_records.Encoder(PATH, most=4)
+    small = token_records.Encoder(PATH, most=900)
     assert [small.encode([text, "other words here", None]) for _ in range(3)][2][0] == want
 
 
@@ -53,3 +53,20 @@ def test_a_damaged_record_is_an_error(spark, documents):
         f.write(bytes([byte[0] ^ 1]))
     with pytest.raises(Exception, match="damaged"):
         token_records.read_token_records(spark, path).collect()
+
+
+def test_a_very_long_word_is_not_kept():
+    encoder = token_records.Encoder(PATH, most=1 << 20)
+    word = "abcdefgh" * (1 << 17)
+    assert len(encoder.encode([word, "short words", word + " and more"])) == 3
+    assert max(map(len, encoder.pieces)) <= 64
+    for i in range(50):
+        encoder.encode([" ".join(f"w{i}x{k}" for k in range(400))])
+    assert encoder.held < 2 << 20 and encoder.held == sum(encoder._size(k, v) for k, v in encoder.pieces.items())
+
+
+def test_shards_follow_bytes(spark, documents):
+    path = shared_dir(spark, "sized")
+    size = sum(len((r.text or "").encode()) for r in documents.select("text").collect())
+    manifest = token_records.write_token_records(documents, path, tokenizer=PATH, shard_bytes=size // 20)
+    assert manifest.count() > 12
