@@ -7,7 +7,9 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -41,6 +43,27 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Sets of hashes too large for a broadcast are tested by their upper bits in a bitmap of 2 MB, however many there are; the
+#: fuller it is, the more hashes pass that aren't in the set.
+SLOT_BITS = 24
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """The slots of a column `hash` of longs: built by Spark in pieces of 4 KB, of which there are 512 at most."""
+    slot = F.shiftrightunsigned("hash", 64 - SLOT_BITS)
+    pieces = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    bits = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    for r in pieces:
+        bits[r.piece << 12 : (r.piece + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The places of hashes (unsigned) whose slot is set."""
+    slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+
+
 def in_process(name: str, make):
     """What `make` returns, made once in each Python process and then kept under `name`."""
     store = sys.modules.setdefault("_opinara_in_process", types.ModuleType("_opinara_in_process"))

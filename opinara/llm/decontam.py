@@ -1,31 +1,29 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
-Benchmark items are cut into item-sized windows of words. Windows are ordered by how rare their words are in the
-corpus; exact containment needs every word, so the single rarest word of a window is the necessary prefix that a
-document has to hold before the window is looked at at all. Positional and length bounds (the window has to fit
-around that word) come next, then the words themselves are compared.
+Benchmark items are cut into item-sized windows of words, windows into shingles of two words, and these are ordered by how
+rare they are in the corpus. Exact containment needs every shingle, so a window's rarest one is its necessary prefix:
+documents send the places of prefix shingles, with the words around them, and these are joined with the windows on the
+shingle. Positional and length bounds (the window has to fit around that place) come next, then the words themselves are
+compared, inside the join. Hits are merged by document.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.llm._shared import kept, q, written
+from opinara.llm._shared import bitmap, kept, marked, q, written
 
 #: A-Z becomes a-z, every other ASCII byte that is neither a digit nor a letter becomes a space; bytes of other
 #: characters stay, so words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F].
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-#: What a document holds before any search.
-_NOTHING = {"spans": "cast(array() as array<bigint>)", "items": "cast(array() as array<string>)"}
 _ADDED = ("n_words", "n_hit", "n_items", "items", "contaminated")
 
 
@@ -38,7 +36,7 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """Distinct windows (words joined by a space) with the sorted ids of the items that hold them."""
+    """Distinct (item, win): each item's windows, words joined by a space."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,35 +47,57 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
                     yield pa.RecordBatch.from_arrays([pa.array([item] * len(out), pa.string()), pa.array(list(out), pa.string())], ["item", "win"])
 
     pairs = benchmark.select(F.coalesce(F.col(q(item_col)).cast("string"), F.lit("")).alias("item"), F.col(q(text_col)).cast("string").alias("text"))
-    return pairs.mapInArrow(cut, "item string, win string").groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return pairs.mapInArrow(cut, "item string, win string").distinct()
 
 
-def _rarity(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> Counter:
-    """How often each word of one block of windows occurs in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def _shingle_hash(first: Column, second: Column) -> Column:
+    """64 bits of two words in a row."""
+    h = F.xxhash64(first)
+    return F.shiftleft(h, 7).bitwiseOR(F.shiftrightunsigned(h, 57)).bitwiseXOR(F.xxhash64(second))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        has = shared.value.__contains__
-        for batch in batches:
-            for text in _texts(batch, "text"):
-                seen.update(filter(has, words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.select(F.col(q(text_col)).cast("string").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return Counter({bytes(r.word): r.n for r in rows})
+class _Codes(dict):
+    """XXH64 of words; short ones are remembered, up to a number."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= 32 and len(self) < 1 << 17:
+            self[word] = code
+        return code
+
+
+def _hashes(words: list[bytes], codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and of each with the next one."""
+    one = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    return one, ((one[:-1] << np.uint64(7)) | (one[:-1] >> np.uint64(57))) ^ one[1:]
+
 
+def _shingles(windows: DataFrame) -> DataFrame:
+    """(win, words, place, hash) of each two words in a row of a window; a window of one word has itself."""
+    cut = windows.select("win", F.split("win", " ").alias("words"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: _shingle_hash(F.element_at("words", i), F.element_at("words", i + 1)))
+    return cut.select("win", F.size("words").alias("n"), F.posexplode(F.when(F.size("words") == 1, F.array(F.xxhash64("win"))).otherwise(pairs)).alias("place", "hash"))
 
-def _prefix_index(windows: list[tuple[list[bytes], list[str]]], rarity: Counter) -> dict:
-    """prefix word -> [(its place in the window, the window's words, the items)]."""
-    index: dict[bytes, list] = {}
-    for words, items in windows:
-        at = min(range(len(words)), key=lambda i: (rarity[words[i]], words[i], i))
-        index.setdefault(words[at], []).append((at, words, items))
-    return index
 
+def _rarity(texts: DataFrame, bits: np.ndarray, single: bool) -> DataFrame:
+    """(hash, n): how often the benchmark's shingles occur in all documents (others that share a slot, too)."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, keep: list[str] | None = None, block_bytes: int = 16 << 20) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                found = [np.empty(0, np.uint64)]
+                for text in _texts(batch.slice(at, 512), "text"):
+                    one, two = _hashes(words_of(text), codes)
+                    found += [h[marked(h, shared.value)] for h in ((one, two) if single else (two,))]
+                hashes, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
+
+    return texts.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, keep: list[str] | None = None) -> DataFrame:
     """Every document with the words that benchmark windows cover.
 
     Adds n_words, n_hit (words inside any occurrence of a window), n_items, items (ids of items with an occurring
@@ -87,79 +107,53 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     judged row by row, ties cannot arise, and any other column is carried along (`keep`: only these); an input column
     named as an added one is replaced. With no benchmark, or an empty table, nothing is contaminated.
 
-    The windows' words go to the executors in blocks of at most about `block_bytes` of text, so what is broadcast
-    doesn't grow with the benchmark: a larger one only means more passes over the documents. Each block is a pass of
-    its own, so no task holds two blocks; only the rows that it hits leave it, and are merged by row.
+    The documents are read twice, however large the benchmark is: once to count its shingles, once to send the places
+    that may be a window's prefix to the join. What the driver and every executor hold of the benchmark is a bitmap of 2 MB;
+    the fuller it is, the more places go to the join in vain.
     """
-    columns = kept(docs, keep, _ADDED)
-    windows = written(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
-    text = windows.agg(F.sum(F.length("win") + F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x) + 8)).alias("n")).first().n or 0
-    blocks = max(1, math.ceil(text / block_bytes))
-    carried = [f for f in docs.schema.fields if f.name in columns]
-    rows = docs.select(*(F.col(q(f.name)).alias(f"c{i}") for i, f in enumerate(carried)), F.col(q(text_col)).cast("string").alias("text"))
-    nothing = [F.expr(e).alias(c) for c, e in _NOTHING.items()]
-
-    def index_of(block: int) -> dict:
-        mine = windows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == block).collect()  # bounded: one block
-        cut = [(r.win.encode().split(b" "), list(r["items"])) for r in mine]
-        return _prefix_index(cut, _rarity(docs, text_col, {w for words, _ in cut for w in words}) if cut else Counter())
-
-    if blocks == 1:
-        out = _search(rows.select("*", *nothing), index_of(0))
-    else:
-        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
-        hits = [_search(rows.select("row", "text", *nothing), index_of(b)).where("size(spans) > 0").select("row", "spans", "items") for b in range(blocks)]
-        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        merged = reduce(DataFrame.union, hits).groupBy("row").agg(flat("spans"), flat("items"))
-        found = rows.join(merged, "row", "left").select(*(f"c{i}" for i in range(len(carried))), "text", *(F.coalesce(c, F.expr(e)).alias(c) for c, e in _NOTHING.items()))
-        out = _search(found, {})
-    # spans holds starts at even places and ends at odd ones
-    hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda n, x: n + x)
-    out = out.withColumn("n_hit", hit)
-    return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(carried)), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
-
-
-def _search(rows: DataFrame, index: dict) -> DataFrame:
-    """The rows without their text, with n_words, and with spans and items merged with what the index finds."""
-    schema = T.StructType([f for f in rows.schema if f.name not in ("text", "n_words")] + [T.StructField("n_words", T.LongType())])
-    return rows.mapInArrow(_finder(rows.sparkSession.sparkContext.broadcast(index)), schema)
-
-
-def _finder(shared):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+    spark = docs.sparkSession
+    carried = [docs.schema[c] for c in kept(docs, keep, _ADDED)]
+    own = [f"c{i}" for i in range(len(carried))]
+    rows = docs.select(*(F.col(q(f.name)).alias(c) for c, f in zip(own, carried, strict=True)), F.monotonically_increasing_id().alias("row"), F.col(q(text_col)).cast("string").alias("text"))
+    pairs = written(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
+    shingles = written(_shingles(pairs.select("win").distinct()), "shingles")
+    single = not shingles.where("n = 1").isEmpty()
+    counts = _rarity(rows, bitmap(shingles), single)
+    rarest = shingles.join(counts, "hash", "left").groupBy("win").agg(F.min(F.struct(F.coalesce(counts["n"], F.lit(0)).alias("often"), "hash", "place", shingles["n"].alias("words"))).alias("p"))
+    cut = F.split("win", " ")
+    prefixes = written(rarest.select("win", "p.hash", "p.place", "p.words", F.concat(F.lit(" "), F.array_join(F.slice(cut, F.lit(1), F.col("p.place")), " ")).alias("pre"), F.concat(F.array_join(F.slice(cut, F.col("p.place") + 1, F.col("p.words")), " "), F.lit(" ")).alias("post")), "prefixes")
+    bits = spark.sparkContext.broadcast(bitmap(prefixes))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
         for batch in batches:
-            at = {f.name: i for i, f in enumerate(batch.schema)}
-            counts, spans, items = [], batch.column(at["spans"]).to_pylist(), batch.column(at["items"]).to_pylist()
-            for row, text in enumerate(_texts(batch, "text")):
-                words = words_of(text)
-                counts.append(len(words))
-                found, whose = list(zip(spans[row][::2], spans[row][1::2], strict=True)), set(items[row])
-                for i, word in enumerate(words):
-                    if word in index:
-                        for place, wanted, ids in index[word]:
-                            start = i - place
-                            end = start + len(wanted)
-                            if start >= 0 and end <= len(words) and words[start:end] == wanted:
-                                found.append((start, end))
-                                whose.update(ids)
-                spans[row], items[row] = _merged(found), sorted(whose)
-            new = {"spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
-            out = {f.name: new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != "text"} | {"n_words": pa.array(counts, pa.int64())}
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
-
-    return find
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[int]:
-    """Disjoint spans in order, flat: start, end, start, end."""
-    out: list[int] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1]:
-            out[-1] = max(out[-1], end)
-        else:
-            out += [start, end]
-    return out
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                counts, ends, at, hashes, before, after = [], [0], [], [], [], []
+                for text in _texts(part, "text"):
+                    words = words_of(text)
+                    for h in _hashes(words, codes)[0 if single else 1 :]:
+                        for i in marked(h, bits.value).tolist():
+                            at.append(i)
+                            hashes.append(h[i])
+                            before.append(b" " + b" ".join(words[max(0, i - window + 1) : i]))
+                            after.append(b" ".join(words[i : i + window]) + b" ")
+                    counts.append(len(words))
+                    ends.append(len(at))
+                of = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts, pa.int64()), of(pa.array(at, pa.int64())), of(pa.array(np.array(hashes, np.uint64).view(np.int64))), of(pa.array(before, pa.binary()).cast(pa.string())), of(pa.array(after, pa.binary()).cast(pa.string()))], [*own, "row", "n_words", "at", "hash", "before", "after"])
+
+    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("n_words", T.LongType()), *(T.StructField(n, T.ArrayType(k)) for n, k in (("at", T.LongType()), ("hash", T.LongType()), ("before", T.StringType()), ("after", T.StringType())))])
+    scanned = written(rows.mapInArrow(search, schema), "places")
+    places = scanned.where("size(at) > 0").select("row", "n_words", F.explode(F.arrays_zip("at", "hash", "before", "after")).alias("p")).select("row", "n_words", "p.*")
+    bounds = (F.col("at") >= F.col("place")) & (F.col("at") - F.col("place") + F.col("words") <= F.col("n_words"))
+    same = F.col("after").startswith(F.col("post")) & ((F.col("place") == 0) | F.col("before").endswith(F.col("pre")))
+    hits = places.join(prefixes, "hash").where(bounds & same).select("row", "win", F.struct((F.col("at") - F.col("place")).alias("start"), (F.col("at") - F.col("place") + F.col("words")).alias("end")).alias("span"))
+    merged = hits.join(pairs, "win").groupBy("row").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    zero = F.lit(0).cast("long")
+    cover = F.aggregate("spans", F.struct(zero.alias("n"), zero.alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(zero, s["end"] - F.greatest(a["end"], s["start"]))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")))["n"]
+    out = scanned.select(*own, "row", "n_words").join(merged.select("row", cover.alias("n_hit"), "items"), "row", "left").withColumns({"n_hit": F.coalesce("n_hit", zero), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return out.select(*(F.col(c).alias(f.name) for c, f in zip(own, carried, strict=True)), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

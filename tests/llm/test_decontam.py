@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from opinara.llm import decontam
@@ -30,16 +32,33 @@ def brute(docs, items, window=13):
 
 
 def check(docs, items, **options):
-    want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()])
+    want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()], options.get("window", 13))
     out = decontam.decontaminate(docs, items, keep=["doc_id"], **options)
     got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in out.collect()]
     assert sorted(got, key=repr) == want
 
 
-def test_tables_in_one_block_and_many(spark, documents):
+def test_tables_and_windows(spark, documents):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    check(documents, items)
+    for window in (1, 2, 3, 40):
+        check(documents.limit(60), items.limit(20), window=window)
+
+
+def test_a_full_bitmap_changes_nothing(spark, documents, monkeypatch):
+    """As with a benchmark of very many shingles: every place goes to the join."""
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    monkeypatch.setattr(decontam, "bitmap", lambda hashes: np.full(1 << 21, 255, np.uint8))
     check(documents, items)
-    check(documents, items, block_bytes=20_000)
+
+
+def test_the_documents_are_read_twice_whatever_the_benchmark(spark, documents, tmp_path):
+    """Ten times the items: the documents' words move in no exchange, and each row's search is one pass."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    more = items.selectExpr("explode(sequence(0, 9)) as k", "*").selectExpr("concat(item_id, '-', k) as item_id", "concat(text, ' ', k) as text")
+    check(documents, more)
+    plan = decontam.decontaminate(documents, more, keep=["doc_id"])._jdf.queryExecution().toString()
+    assert "documents.parquet" not in plan.split("== Physical Plan ==")[1]
 
 
 def test_odd_rows(spark, odd_documents, no_documents):
