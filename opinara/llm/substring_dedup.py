@@ -21,7 +21,7 @@ one range. Its strings are rows of their own: a minimum by string, combined befo
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.llm._shared import kept, q, written
+from opinara.llm._shared import bitmap, kept, marked, q, written
 
 GRAM = 16
 _WORDS = np.random.default_rng(42).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -139,7 +139,7 @@ def _entry(length: int) -> np.dtype:
 #: What a batch keeps for itself or gets back: document, place of start 0, the starts that go; or (said 0) whose fate it shares.
 _LOCAL = np.dtype([("doc", "<u4"), ("base", "<i8"), ("mask", "<u8"), ("as_doc", "<u4"), ("as_base", "<i8"), ("said", "u1")])
 _TRAFFIC = "range long, batch long, data binary"
-_STRINGS = "string binary, id long, batch long, doc long, base long, start int"
+_STRINGS = "string binary, id long, doc long, base long, batch long, start int"
 
 
 def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -266,12 +266,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for table in _batched(batches, batch_bytes):
             yield from table.add_column(0, "batch", pa.array([table.column("row")[0].as_py()] * table.num_rows, pa.int64())).combine_chunks().to_batches()
 
-    def entries_of(text: np.ndarray, wanted: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A text's wanted anchors with their surroundings, without owner, and which of them are hot."""
+    def entries_of(text: np.ndarray, pick: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The anchors of a text that `pick` takes by their hashes, with what surrounds them, without owner; and their places."""
         at, hashes, first, last = anchors(text, length)
-        key = (_bucket(hashes, buckets).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
-        place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-        known = np.flatnonzero(wanted[place] == key)
+        known = pick(hashes)
         out = np.zeros(len(known), entry)
         base = at[known] - left
         padded = np.concatenate((np.zeros(left, np.uint8), text, np.zeros(length, np.uint8)))
@@ -279,68 +277,83 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         column = np.arange(width)
         around[(column < lo[:, None]) | (column >= hi[:, None] + length)] = 0
         out["around"], out["lo"], out["hi"], out["base"] = around, lo, hi, base
-        return out, hot[place[known]]
+        return out, hashes[known]
 
-    def prepare(table: pa.Table, answers: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray] | None:
-        """The batch, its distinct entries (the least id's stands for equal ones), which of them are hot, and what the others do."""
-        if not table.num_rows or not answers.num_rows:
-            return None
+    def distinct(table: pa.Table, pick: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """A batch's entries, their hashes, the places of the distinct ones (the least id's stands for equal ones), and each one's source."""
         _, ids, texts = _documents(table)
-        lows = [np.frombuffer(x, "<u4").astype(np.uint64) for x in answers.column("low").to_pylist()]
-        wanted = np.concatenate([np.uint64(b << 32) | x for b, x in zip(answers.column("bucket").to_pylist(), lows, strict=True)])
-        hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=len(x)) for h, x in zip(answers.column("hot").to_pylist(), lows, strict=True)]).astype(bool)
-        by = np.argsort(wanted)
-        wanted, hot = wanted[by], hot[by]
-        found, flags = [], []
+        found, hashes = [], []
         for doc, text in enumerate(texts):
             if len(text) >= length:
-                some, very = entries_of(text, wanted, hot)
+                some, whose = entries_of(text, pick)
                 some["id"], some["doc"] = ids[doc], doc
                 found.append(some)
-                flags.append(very)
+                hashes.append(whose)
         if not sum(map(len, found)):
             return None
-        every, hot = np.concatenate(found), np.concatenate(flags)
+        every = np.concatenate(found)
         found.clear()
         look = np.ascontiguousarray(np.concatenate((every["around"], every["lo"][:, None], every["hi"][:, None]), axis=1)).view(f"V{width + 2}")[:, 0]
         _, index, inverse = np.unique(look, return_index=True, return_inverse=True)
-        source = index[inverse]
-        rest = np.flatnonzero(source != np.arange(len(every)))
-        # later ids lose the strings of the first, the same id shares the first's fate
-        local, mine, whose = np.zeros(len(rest), _LOCAL), every[rest], every[source[rest]]
-        lo, hi = mine["lo"].astype(np.uint64), mine["hi"].astype(np.uint64)
-        local["doc"], local["base"], local["as_doc"], local["as_base"] = mine["doc"], mine["base"], whose["doc"], whose["base"]
-        local["mask"] = np.where(mine["id"] > whose["id"], ((np.uint64(1) << (hi - lo + np.uint64(1))) - np.uint64(1)) << lo, 0)
-        return table.column("batch")[0].as_py(), every[index], hot[index], local
+        return every, np.concatenate(hashes), index, index[inverse]
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {"range": [], "data": []}
         batch = None
-        if ready := prepare(table, answers):
-            batch, sent, hot, local = ready
-            if len(local):
-                out["range"].append(-1 - batch)
-                out["data"].append(_pack(local))
-            sent = sent[~hot]
-            keys = np.ascontiguousarray(sent["around"][:, left : left + GRAM]).view(f"V{GRAM}")[:, 0]
-            to = range_of(keys)
-            by = np.argsort(to, kind="stable")
-            sent, to = sent[by], to[by]
-            for a, b in _runs(to):
-                out["range"].append(int(to[a]))
-                out["data"].append(_pack(sent[a:b]))
+        if table.num_rows and answers.num_rows:
+            batch = table.column("batch")[0].as_py()
+            lows = [np.frombuffer(x, "<u4").astype(np.uint64) for x in answers.column("low").to_pylist()]
+            wanted = np.concatenate([np.uint64(b << 32) | x for b, x in zip(answers.column("bucket").to_pylist(), lows, strict=True)])
+            hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=len(x)) for h, x in zip(answers.column("hot").to_pylist(), lows, strict=True)]).astype(bool)
+            by = np.argsort(wanted)
+            wanted, hot = wanted[by], hot[by]
+
+            def place_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                key = (_bucket(hashes, buckets).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+                place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                return place, wanted[place] == key
+
+            ready = distinct(table, lambda hashes: np.flatnonzero(place_of(hashes)[1]))
+            if ready:
+                every, hashes, index, source = ready
+                rest = np.flatnonzero(source != np.arange(len(every)))
+                if len(rest):
+                    # later ids lose the strings of the first, the same id shares the first's fate
+                    local, mine, whose = np.zeros(len(rest), _LOCAL), every[rest], every[source[rest]]
+                    lo, hi = mine["lo"].astype(np.uint64), mine["hi"].astype(np.uint64)
+                    local["doc"], local["base"], local["as_doc"], local["as_base"] = mine["doc"], mine["base"], whose["doc"], whose["base"]
+                    local["mask"] = np.where(mine["id"] > whose["id"], ((np.uint64(1) << (hi - lo + np.uint64(1))) - np.uint64(1)) << lo, 0)
+                    out["range"].append(-1 - batch)
+                    out["data"].append(_pack(local))
+                sent = every[index[~hot[place_of(hashes[index])[0]]]]
+                to = range_of(np.ascontiguousarray(sent["around"][:, left : left + GRAM]).view(f"V{GRAM}")[:, 0])
+                by = np.argsort(to, kind="stable")
+                sent, to = sent[by], to[by]
+                for a, b in _runs(to):
+                    out["range"].append(int(to[a]))
+                    out["data"].append(_pack(sent[a:b]))
         return pa.table({"range": pa.array(out["range"], pa.int64()), "batch": pa.array([batch] * len(out["range"]), pa.int64()), "data": pa.array(out["data"], pa.binary())})
 
-    def spell(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """The strings of hot anchors, each for itself and once in a batch."""
-        columns: list[list] = [[] for _ in range(6)]
-        if ready := prepare(table, answers):
-            batch, sent, hot, _ = ready
-            for e in sent[hot]:
-                for o in range(int(e["lo"]), int(e["hi"]) + 1):
-                    for column, x in zip(columns, (e["around"][o : o + length].tobytes(), int(e["id"]), batch, int(e["doc"]), int(e["base"]), o), strict=True):
-                        column.append(x)
-        return pa.table({n: pa.array(x, k) for n, x, k in zip(("string", "id", "batch", "doc", "base", "start"), columns, (pa.binary(), *[pa.int64()] * 4, pa.int32()), strict=True)})
+    def unpack_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            lows = [np.frombuffer(x, "<u4")[np.unpackbits(np.frombuffer(h, np.uint8), count=len(x) // 4).astype(bool)] for x, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(lows).astype(np.uint64) << np.uint64(32)).view(np.int64))], ["hash"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings of hot anchors, each for itself; equal surroundings once in a batch."""
+        for table in _batched(batches, batch_bytes):
+            ready = distinct(table, lambda hashes: marked(hashes << np.uint64(32), hot_bits.value))
+            if not ready:
+                continue
+            every, _, index, _ = ready
+            batch = table.column("row")[0].as_py()
+            for at in range(0, len(index), 1 << 12):
+                sent = every[index[at : at + (1 << 12)]]
+                n = sent["hi"].astype(np.int64) - sent["lo"] + 1
+                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(sent["lo"].astype(np.int64), n)
+                strings = np.repeat(sent["around"], n, axis=0)[np.arange(len(start))[:, None], start[:, None] + np.arange(length)]
+                strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(start), [None, pa.py_buffer(strings.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([strings, *(pa.array(np.repeat(sent[c], n), pa.int64()) for c in ("id", "doc", "base")), pa.array(np.full(len(start), batch)), pa.array(start, pa.int32())], ["string", "id", "doc", "base", "batch", "start"])
 
     def judge(table: pa.Table) -> pa.Table:
         if table.column("range")[0].as_py() < 0:  # what a batch has decided for itself passes through
@@ -393,9 +406,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = rows.mapInArrow(deal, T.StructType([T.StructField("batch", T.LongType()), *rows.schema])).repartition(parts, "batch")
     asked = repeats.groupBy("batch")
     judged = dealt.groupBy("batch").cogroup(asked).applyInArrow(send, _TRAFFIC).groupBy("range").applyInArrow(judge, "batch long, data binary")
-    if not repeats.where(F.expr("exists(transform(sequence(1, length(hot)), i -> substring(hot, i, 1)), b -> b != x'00')")).isEmpty():
-        # minima combine before the shuffle, and Spark splits a hot string's side of the join
-        strings = written(dealt.groupBy("batch").cogroup(asked).applyInArrow(spell, _STRINGS), "strings")
+    hot_bits = spark.sparkContext.broadcast(bitmap(repeats.select("low", "hot").mapInArrow(unpack_hot, "hash long")))  # 2 MB
+    if hot_bits.value.any():
+        # taken where the texts are read, too. Minima combine before the shuffle, and Spark splits a hot string's side of the join
+        strings = written(rows.select("row", "id", "text").mapInArrow(spell, _STRINGS), "strings")
         least = strings.groupBy("string").agg(F.min("id").alias("least"))
         judged = judged.union(strings.join(least, "string").where("id > least").select("batch", "doc", "base", "start").mapInArrow(reply_hot, "batch long, data binary"))
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(carried)), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_bytes", T.BinaryType())])
