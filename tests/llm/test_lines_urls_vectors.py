@@ -7,6 +7,7 @@ from datetime import datetime
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from opinara.llm import embedding_dedup, line_dedup, registry, url_filter
 from test_simhash import brute_components  # noqa: F401
@@ -32,46 +33,20 @@ def test_sql_agrees(spark, duck, name):
     assert tidy(tuple(r) for r in df.select(columns).collect()) == tidy(result.fetchall())
 
 
-def brute_lines(rows, divisor=4):
-    cut = []
-    for n, (key, text) in enumerate(rows):
-        lines = (text or "").split("\n")
-        marks = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        start = 0
-        for i in range(1, len(lines) + 1):
-            if i == len(lines) or (i > 1 and (marks[i - 1] * 31 + marks[i - 2] * 17) % divisor == 0):
-                cut.append((key is not None, key or 0, n, start, lines[start:i]))
-                start = i
-    seen, left, gone = set(), {}, {}
-    for _, _, n, _, lines in sorted(cut, key=lambda c: c[:4]):
-        if len(lines) > 1 and tuple(lines) in seen:
-            gone[n] = gone.get(n, 0) + len(lines)
-        else:
-            seen.add(tuple(lines))
-            left.setdefault(n, []).extend(lines)
-    return sorted(((rows[n][0], gone.get(n, 0), "\n".join(left.get(n, []))) for n in range(len(rows))), key=repr)
-
-
-def test_line_dedup_brute_force(spark, documents, odd_documents, no_documents):
-    chance = random.Random(3)
-    lines = [f"line {i}" for i in range(25)] + [""]
-    own = spark.createDataFrame([(chance.randint(1, 50), "\n".join(chance.choice(lines[k : k + 6]) for k in range(chance.randint(1, 20)))) for _ in range(80)], "doc_id long, text string").coalesce(1)
-    for df in (documents, own, odd_documents.select("doc_id", "text").coalesce(1), no_documents):
-        rows = [(r.doc_id, r.text) for r in df.collect()]
-        out = line_dedup.dedup_lines(df, keep=["doc_id"]).collect()
-        got = sorted(((r.doc_id, r.n_removed_lines, r.kept_text) for r in out), key=repr)
-        want = brute_lines(rows)
-        if df is odd_documents or len({r[0] for r in rows}) == len(rows):
-            assert got == want
-        assert sum(x[1] for x in got) == sum(x[1] for x in want)
-    assert set(line_dedup.dedup_lines(odd_documents).columns) >= set(odd_documents.columns)
-
-
 def test_an_inserted_line_moves_no_far_border(spark):
     body = [f"content line number {i}" for i in range(60)]
-    df = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join(["new"] + body[:30] + ["inserted"] + body[30:]))], "doc_id long, text string")
-    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
-    assert out[1].n_removed_lines == 0 and out[2].n_removed_lines > 30 and "inserted" in out[2].kept_text
+    df = spark.createDataFrame([(1, body), (2, ["new", *body[:30], "inserted", *body[30:]])], "doc_id long, lines array<string>")
+    digests = F.transform("lines", lambda x: F.substring(F.unhex(F.sha2(x, 256)), 1, 16))
+    ends = {r.doc_id: [r.lines[e - 1] for e in r.ends] for r in df.withColumn("ends", line_dedup.chunk_ends(digests, 4)).collect()}
+    assert len(ends[1]) > 8 and len(set(ends[1]) ^ set(ends[2])) <= 3
+
+
+def test_chunks_have_two_lines_or_more(spark, documents):
+    lines = line_dedup.lines_of(F.col("text"))
+    ends = documents.select(lines.alias("lines")).withColumn("ends", line_dedup.chunk_ends(F.transform("lines", lambda x: F.unhex(F.sha2(x, 256))), 4))
+    for r in ends.collect():
+        sizes = [b - a for a, b in zip([0, *r.ends], r.ends)]
+        assert sum(sizes) == len(r.lines) and (min(sizes) > 1 or len(r.lines) == 1)
 
 
 def brute_passages(rows, least=2):
@@ -92,9 +67,9 @@ def test_passages_brute_force(spark, documents, odd_documents, no_documents):
     own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for df in (documents, own, odd_documents.select("doc_id", "text").coalesce(1), no_documents):
         for least in (1, 2, 3):
-            got = sorted(((r.doc_id, r.n_removed_lines, r.kept_text) for r in line_dedup.dedup_passages(df, keep=["doc_id"], least_lines=least).collect()), key=repr)
+            got = sorted(((r.doc_id, r.n_removed_lines, r.kept_text) for r in line_dedup.dedup_lines(df, keep=["doc_id"], least_lines=least).collect()), key=repr)
             assert got == brute_passages([(r.doc_id, r.text) for r in df.collect()], least)
-    assert set(line_dedup.dedup_passages(odd_documents).columns) >= set(odd_documents.columns)
+    assert set(line_dedup.dedup_lines(odd_documents).columns) >= set(odd_documents.columns)
 
 
 def test_op3_shrinks_a_line_repeated_many_times(spark, tmp_path):
@@ -168,8 +143,18 @@ def test_vectors_brute_force(spark):
     rows += [(2000 + i, list(map(float, centre))) for i in range(20)] + [(3000, list(map(float, 7 * centre))), (3001, list(map(float, 1e200 * centre))), (3002, list(map(float, 1e-200 * centre)))]
     rows += [(4000, None), (4001, []), (4002, [0.0] * 12), (4003, [1.0, None] * 6), (4004, [float("nan")] * 12), (4005, [float("inf")] * 12), (4006, [1.0] * 5), (4007, [1.0] * 5), (None, [1.0] * 5), (None, list(map(float, centre))), (2000, list(map(float, centre)))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as cell", "2 as n_links")
-    for options in ({}, {"pivot_rows": 8, "block_rows": 16}, {"pivot_rows": 40, "max_pivots": 3}, {"threshold": 0.8, "pivot_rows": 20}):
+    for options in ({}, {"pivots": 40, "block_rows": 16}, {"pivots": 3}, {"threshold": 0.8, "pivots": 17}, {"max_pivots": 1}):
         got = embedding_dedup.embedding_groups(df, keep=["vec_id"], **options).collect()
         assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted(((a, b, c, a == c) for a, b, c, _ in brute_vectors(rows, options.get("threshold", 0.9))), key=repr)
     assert set(embedding_dedup.embedding_groups(df).columns) == {"vec_id", "embedding", "cell", "n_links", "component_id", "kept"}
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0 and embedding_dedup.embedding_groups(df.where("vec_id = 4000")).count() == 1
+
+
+def test_pivots_are_used_where_they_pay():
+    random_ = np.random.default_rng(7)
+    flat = embedding_dedup.unit(random_.normal(size=(4096, 64)))
+    centres = random_.normal(size=(64, 64))
+    clustered = embedding_dedup.unit(centres[random_.integers(0, 64, 4096)] + random_.normal(0, 0.02, (4096, 64)))
+    for vectors, many in ((flat, False), (clustered, True)):
+        costs = {k: embedding_dedup._cost(vectors[2048:], vectors[:k], math.sqrt(0.2), 10_000_000, 32768) for k in (1, 8, 256)}
+        assert (costs[256] < costs[1] / 8) == many
