@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.functions.vocab import ASPECT_NAMES, LABEL_IDS, POLARITIES, TOPIC_ASPECTS
+from opinara.functions.text import build_text
+from opinara.functions.vocab import ASPECTS, ASPECT_NAMES, LABEL_IDS, POLARITIES, TOPIC_ASPECTS
 
 PAIR = "array<struct<aspect:string,polarity:string>>"
 
@@ -38,12 +39,15 @@ def majority_vote(df: DataFrame, annotators: list[str], min_votes: int = 2) -> D
     every = F.array(*(F.struct(F.lit(a).alias("aspect"), F.lit(p).alias("polarity")) for a in ASPECT_NAMES for p in POLARITIES))
     sides = [F.coalesce(F.col(a), F.array().cast(PAIR)) for a in annotators]
     known = lambda p: p["aspect"].isin(ASPECT_NAMES) & p["polarity"].isin(POLARITIES)
-    agreed = F.filter(every, lambda p: sum((F.array_contains(s, p).cast("int") for s in sides), F.lit(0)) >= min_votes)
-    first = F.filter(sides[0], known)
     general = F.array(F.struct(F.lit("GENERAL").alias("aspect"), F.lit("neutral").alias("polarity")))
-    out = df.withColumn("final", agreed)
-    nobody = F.size("final") == 0
-    return out.withColumns({"disagreement": nobody, "llm_fallback": nobody}).withColumn("final", F.when(~nobody, F.col("final")).when(F.size(first) > 0, first).otherwise(general))
+    # a lambda over one element names a value: each annotator's expression stands in the plan once, not once for each use
+    named = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    agreed = lambda s: F.filter(every, lambda p: sum((F.array_contains(s[f"s{i}"], p).cast("int") for i in range(len(sides))), F.lit(0)) >= min_votes)
+    first = lambda s: F.filter(s["s0"], known)
+    both = named(F.struct(*(x.alias(f"s{i}") for i, x in enumerate(sides))), lambda s: F.struct(agreed(s).alias("agreed"), first(s).alias("first")))
+    vote = named(both, lambda v: F.struct(F.when(F.size(v["agreed"]) > 0, v["agreed"]).when(F.size(v["first"]) > 0, v["first"]).otherwise(general).alias("final"), (F.size(v["agreed"]) == 0).alias("nobody")))
+    out = df.withColumn("vote", vote)
+    return out.withColumns({"final": F.col("vote.final"), "disagreement": F.col("vote.nobody"), "llm_fallback": F.col("vote.nobody")}).drop("vote")
 
 
 def aspect_frequency(voted: DataFrame, dimension: DataFrame) -> DataFrame:
@@ -110,11 +114,11 @@ def kappa_of(agree: Column, n: Column, chance: Column) -> Column:
     return F.when((n > 0) & (F.abs(1 - expected) > 1e-12), F.round((observed - expected) / (1 - expected), 6))
 
 
-def rating_cells(df: DataFrame, human: str, auto: str, dimension: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, aspect, h, a): what each side says of each aspect, none if nothing; the last of repeated aspects."""
+def rating_cells(df: DataFrame, human: str, auto: str, dimension: DataFrame, key: str = "doc_id", *more: str) -> DataFrame:
+    """(key, aspect, h, a, more): what each side says of each aspect, none if nothing; the last of repeated aspects."""
     last = lambda c: F.element_at(F.filter(F.col(c), lambda p: p["aspect"] == F.col("aspect")), -1)["polarity"]
     safe = lambda c: F.when(F.exists(F.col(c), lambda p: p["aspect"] == F.col("aspect")), last(c)).otherwise(F.lit("none"))
-    return df.crossJoin(F.broadcast(dimension)).select(key, "aspect", "ord", safe(human).alias("h"), safe(auto).alias("a"))  # ten aspects
+    return df.crossJoin(F.broadcast(dimension)).select(key, "aspect", "ord", safe(human).alias("h"), safe(auto).alias("a"), *more)  # ten aspects
 
 
 def detection_kappa(cells: DataFrame, *keys: str) -> DataFrame:
@@ -148,11 +152,18 @@ def exact_match_rate(cells: DataFrame, key: str = "doc_id") -> DataFrame:
     return cells.groupBy(key).agg(F.bool_and(F.col("h") == F.col("a")).alias("same")).agg(F.count(F.lit(1)).alias("reviews"), F.round(F.avg(F.col("same").cast("int")), 6).alias("exact_match"))
 
 
-def to_sentence_pairs(df: DataFrame, aspects_col: str, dimension: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ten rows for a review: the text's key, the aspect, the label and its number."""
-    pairs = rating_cells(df, aspects_col, aspects_col, dimension, key)
+def to_sentence_pairs(df: DataFrame, aspects_col: str, dimension: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Ten rows for a review: its key, the aspect, the label and its number; with title and content in df, the pair of texts, too.
+
+    text_a is title and content, text_b the aspect's auxiliary sentence.
+    """
+    texts = {"title", "content"} <= set(df.columns)
+    if texts:
+        df = df.withColumn("text_a", build_text(F.col("title"), F.col("content")))
+    pairs = rating_cells(df, aspects_col, aspects_col, dimension, key, *(["text_a"] if texts else []))
     ids = F.create_map(*(F.lit(x) for kv in LABEL_IDS.items() for x in kv))
-    return pairs.select(key, "aspect", "ord", F.col("h").alias("label"), F.element_at(ids, F.col("h")).alias("label_id"))
+    sentences = F.create_map(*(F.lit(x) for a, sentence, _ in ASPECTS for x in (a, sentence)))
+    return pairs.select(key, "aspect", "ord", F.col("h").alias("label"), F.element_at(ids, F.col("h")).alias("label_id"), *(["text_a", F.element_at(sentences, F.col("aspect")).alias("text_b")] if texts else []))
 
 
 def label_distribution(pairs: DataFrame, *keys: str, key: str = "doc_id") -> DataFrame:

@@ -73,8 +73,8 @@ def lf_micf(tf: DataFrame, weights: DataFrame, key: str) -> DataFrame:
 def tfidf(tf: DataFrame, vocabulary: DataFrame, n_docs: int, key: str) -> DataFrame:
     """(1 + ln tf) (ln((1 + n) / (1 + df)) + 1), every document scaled to unit length."""
     raw = tf.join(vocabulary, "term").select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # a document's own terms
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def most_frequent(tf: DataFrame, limit: int, min_df: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.text import content_hash, sanitize_html
@@ -96,25 +96,35 @@ def new_reviews(batch: DataFrame, stored: DataFrame, order: str) -> DataFrame:
     return fresh.join(first, ["content_hash", order], "left_semi")
 
 
-def ingest_reviews(batch: DataFrame, store: str, *, order: str, score: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
+def ingest_reviews(batch: DataFrame, store: str, *, order: str, score: Callable[[DataFrame], DataFrame] | None = None, digits: int = 2) -> dict[str, int]:
     """Hashes a batch, drops what the store (a Parquet folder) has or the batch repeats, scores the rest and appends it.
 
-    Duplicates count over all users. Running a batch again stores nothing.
+    Duplicates count over all users. Running a batch again stores nothing. The store is partitioned by the first `digits`
+    digits of the hash: a batch reads the hashes of the partitions that it can be in, and no other. What was created is
+    counted while it is written, so another writer's rows don't count.
     """
     spark = batch.sparkSession
-    hashed = with_hash(batch)
+    hashed = with_hash(batch).withColumn("hash_prefix", F.concat(F.lit("h"), F.left("content_hash", F.lit(digits)))).persist()  # hashed once
+    per_prefix = hashed.groupBy("hash_prefix").count().collect()  # 16 ** digits rows at most
+    scraped = sum(r["count"] for r in per_prefix)
+    fresh = new_reviews(hashed, stored_hashes(spark, store, [r.hash_prefix for r in per_prefix]), order)
+    seen = Observation()
+    fresh = (score(fresh) if score else fresh).observe(seen, F.count(F.lit(1)).alias("created"))
+    fresh.repartition("hash_prefix").write.mode("append").partitionBy("hash_prefix").parquet(store)
+    hashed.unpersist()
+    created = seen.get["created"]
+    return {"scraped": scraped, "created": created, "duplicates": scraped - created}
+
+
+def stored_hashes(spark: SparkSession, store: str, prefixes: list[str]) -> DataFrame:
+    """(content_hash) of the store's partitions with these prefixes; none before the store's first batch."""
     try:
         stored = spark.read.parquet(store)
-    except Exception as e:  # the store's first batch
-        if "PATH_NOT_FOUND" not in str(e):
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        stored = None
-    fresh = new_reviews(hashed, stored if stored is not None else hashed.select("content_hash").limit(0), order)
-    fresh = score(fresh) if score else fresh
-    scraped, had = hashed.count(), stored.count() if stored is not None else 0
-    fresh.write.mode("append").parquet(store)
-    created = spark.read.parquet(store).count() - had
-    return {"scraped": scraped, "created": created, "duplicates": scraped - created}
+        return spark.createDataFrame([], "content_hash string")
+    return stored.where(F.col("hash_prefix").isin(prefixes)).select("content_hash")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Normalizer, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Normalizer, UnivariateFeatureSelector, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,18 +62,20 @@ def grid_search(train: DataFrame, val: DataFrame, kind: str, settings: Sequence[
     return PipelineModel(stages=[*prepared.stages, best[1]]), train.sparkSession.createDataFrame(rows, "model string, setting string, val_accuracy double, val_f1 double")
 
 
-def calibrated(scored: DataFrame, label: str = "label", folds: int = 3, key: str = "doc_id") -> DataFrame:
-    """prob_positive from rawPrediction by a one-feature logistic fit, for each fold on the other folds."""
-    raw = VectorAssembler(inputCols=["margin"], outputCol="margin_vector").transform(scored.withColumn("margin", vector_to_array("rawPrediction")[1]))
-    raw = raw.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
-    parts = []
-    for k in range(folds):
-        model = LogisticRegression(labelCol=label, featuresCol="margin_vector", rawPredictionCol="raw2", probabilityCol="p2", predictionCol="pred2").fit(raw.where(F.col("fold") != k))
-        parts.append(model.transform(raw.where(F.col("fold") == k)).withColumn("prob_positive", vector_to_array("p2")[1]).drop("raw2", "p2", "pred2", "margin_vector", "fold"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def calibrated(model: PipelineModel, train: DataFrame, label: str = "label", folds: int = 3, key: str = "doc_id") -> PipelineModel:
+    """A linear SVM's pipeline with probabilities: it scores rows without labels like any other model.
+
+    A sigmoid of the margin is fitted on margins that the training rows get from SVMs of the same settings which have
+    not seen them: one for each fold, on the other folds.
+    """
+    svm = model.stages[-1]
+    rows = PipelineModel(stages=model.stages[:-1]).transform(train).select(label, "features", F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold")).persist()
+    again = LinearSVC(labelCol=label, regParam=svm.getRegParam(), standardization=False, maxIter=svm.getMaxIter())
+    margins = [again.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)).select(label, "rawPrediction") for k in range(folds)]
+    margin = VectorSlicer(inputCol="rawPrediction", outputCol="margin", indices=[1])
+    sigmoid = LogisticRegression(labelCol=label, featuresCol="margin", rawPredictionCol="sigmoid", probabilityCol="probability", predictionCol="likelier").fit(margin.transform(reduce(DataFrame.union, margins)))
+    rows.unpersist()
+    return PipelineModel(stages=[*model.stages, margin, sigmoid])
 
 
 def score(model: PipelineModel, df: DataFrame, name: str, labels: Sequence[str] = ("negative", "positive")) -> DataFrame:

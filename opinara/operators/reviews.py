@@ -174,7 +174,8 @@ def overall_sentiment(df: DataFrame) -> DataFrame:
 
 
 def platform_metrics(df: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row: users, reviews and jobs; a user is active with a review in the table's last week."""
+    """One row: users, reviews and jobs. As no table holds users and their flags, a user is one who wrote a review, and
+    active with a review in the last day before the table's newest."""
     last = df.agg(F.max("created_at").alias("last"))
     users = df.groupBy("user_id").agg(F.max("created_at").alias("seen")).crossJoin(F.broadcast(last)).agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("seen") > F.col("last") - F.expr("INTERVAL 1 DAY")).alias("active_users"))
     jobs = jobs.agg(F.countDistinct("job_id").alias("jobs"), *(F.count_if(F.col("status") == s).alias(f"jobs_{s}") for s in ("pending", "in_progress", "completed", "failed", "cancelled")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opinara.functions.vocab import ASPECT_NAMES
+from opinara.functions.vocab import ASPECT_NAMES, FURNITURE_PARTS, FURNITURE_STARTS, MONTHS, MONTHS_RO
 from opinara.operators import annotation as N
 from opinara.operators import ingest as I
 from opinara.operators import models as M
@@ -85,29 +85,49 @@ def _(spark, sf):
     return p.select("page_id", H.detect_site(url, F.when(m == 2, "EMAG").when(m == 3, "other").when(m == 4, "")).alias("site"))
 
 
-@C.query("src7_parse_rating", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 9 WHEN 4 THEN 5 ELSE 4 END AS rating FROM pages")
+RATED = """WITH blocks AS (
+  SELECT event_id, user_id % 4 AS kind, CASE event_type WHEN 'purchase' THEN 'emag' WHEN 'click' THEN 'emag' WHEN 'view' THEN 'cel' ELSE 'generic' END AS site,
+    event_id % 9 - 1 AS rated, event_id % 8 AS filled, value, event_id % 10 AS said, CAST(nullif(regexp_extract(props, '([0-9]+)', 1), '') AS INT) AS near FROM events)
+SELECT event_id, CAST(CASE site WHEN 'cel' THEN coalesce(least(5, greatest(1, near)), 3) WHEN 'generic' THEN 3
+  ELSE CASE kind WHEN 0 THEN least(5, greatest(1, rated)) WHEN 1 THEN CASE WHEN filled > 0 THEN least(5, filled) ELSE said END WHEN 2 THEN least(5, greatest(1, trunc(value))) ELSE said END END AS INT) AS rating FROM blocks"""
+
+
+@C.query("src7_parse_rating", RATED)
 def _(spark, sf):
-    m = F.col("page_id") % 6
-    p = A.table(spark, sf, "pages").select(
-        "page_id", F.lit("emag").alias("site"), F.when(m == 0, "rated-9").when(m == 5, "rated-4").alias("rated_class"), F.when(m == 1, 3).otherwise(0).alias("filled"),
-        F.when(m == 2, "0.5").alias("data_rating"), F.when(m == 3, "gave 9 / 5").otherwise("nothing").alias("block_text"), F.lit(None).cast("string").alias("rating_text"),
+    kind, n = F.col("user_id") % 4, F.col("event_id")
+    site = F.when(F.col("event_type").isin("purchase", "click"), "emag").when(F.col("event_type") == "view", "cel").otherwise("generic")
+    blocks = A.table(spark, sf, "events").select(
+        "event_id", site.alias("site"), F.when(kind == 0, F.concat(F.lit("rated-"), n % 9 - 1)).alias("rated_class"), F.when(kind == 1, n % 8).otherwise(0).alias("filled"),
+        F.when(kind == 2, F.col("value").cast("string")).alias("data_rating"), F.concat("props", F.lit(" nota "), n % 10, F.lit(" din 5")).alias("block_text"), F.col("props").alias("rating_text"),
     )
-    return p.select("page_id", H.parse_rating(F.col("site")).alias("rating"))
+    return blocks.select("event_id", H.parse_rating(F.col("site")).alias("rating"))
 
 
-@C.query("src8_parse_review_date", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN DATE '2025-12-18' WHEN 1 THEN DATE '2025-12-08' WHEN 2 THEN NULL ELSE DATE '2024-02-29' END AS day FROM pages")
+@C.query("src8_parse_review_date", "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events")
 def _(spark, sf):
-    m = F.col("page_id") % 4
-    text = F.when(m == 0, "on 18 Dec 2025").when(m == 1, "8 decembrie 2025 x").when(m == 2, "30 Feb 2025").otherwise("31 Feb 2024, 29 februarie 2024")
-    return A.table(spark, sf, "pages").select("page_id", H.parse_review_date(text).alias("day"))
+    # each event's own day as a page would say it: short English or Romanian months, and a day that no month has
+    month = F.element_at(F.array(*(F.when(F.col("user_id") % 2 == 0, F.lit(a)).otherwise(F.lit(b)) for a, b in zip(MONTHS, MONTHS_RO, strict=True))), F.month("ts"))
+    day = F.when(F.col("event_type") == "error", F.lit("32")).otherwise(F.dayofmonth("ts").cast("string"))
+    text = F.concat_ws(" ", "event_type", "props", F.lit("pe"), day, month, F.year("ts").cast("string"), F.lit("la"), F.date_format("ts", "HH:mm"))
+    return A.table(spark, sf, "events").select("event_id", H.parse_review_date(text).alias("day"))
+
 
+#: Documents as the blocks of three kinds of site; a third of the shop's bodies begin with its own words.
+CANDIDATES = f"""WITH blocks AS (
+  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'emag' WHEN 1 THEN 'cel' ELSE 'generic' END AS site, source || ' is the title here' AS title, coalesce(text, '') AS body FROM documents
+), judged AS (
+  SELECT doc_id, site, CASE WHEN site <> 'emag' THEN body WHEN doc_id % 15 = 0 THEN title ELSE trim(body, ' ' || chr(9) || chr(10) || chr(13)) END AS t FROM blocks)
+SELECT doc_id, sha256(t) AS review_text FROM judged WHERE CASE site WHEN 'cel' THEN length(t) >= 10 WHEN 'generic' THEN length(t) BETWEEN 10 AND 1000
+  ELSE length(t) >= 20 AND contains(t, ' ') AND NOT ({' OR '.join([*(f"starts_with(t, '{s}')" for s in FURNITURE_STARTS), *(f"contains(t, '{p}')" for p in FURNITURE_PARTS)])}) AND NOT regexp_matches(t, '^[0-9]+%') AND NOT regexp_matches(t, '^[0-9]+\\s*stele?\\(') END"""
 
-@C.query("src9_filter_candidates", "SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'a body that is long enough' ELSE 'A title that is long enough' END AS review_text FROM pages WHERE page_id % 8 IN (0, 1)")
+
+@C.query("src9_filter_candidates", CANDIDATES)
 def _(spark, sf):
-    m = F.col("page_id") % 8
-    body = F.when(m == 0, "Review cumparator eMAG a body that is long enough").when(m == 1, "review utilizator emag").when(m == 2, "short one").when(m == 3, "Adauga in cos si vezi tot").when(m == 4, "aici sunt 12 review-uri de citit").when(m == 5, "85% dintre clienti recomanda").when(m == 6, "abcdefghijklmnopqrstuvwxyz").otherwise("5 stele(12) si mai multe pareri")
-    p = A.table(spark, sf, "pages").select("page_id", F.lit("emag").alias("site"), F.when(m == 1, "A title that is long enough").alias("title"), body.alias("body"))
-    return H.filter_candidates(p).select("page_id", "review_text")
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    site = F.when(n % 3 == 0, "emag").when(n % 3 == 1, "cel").otherwise("generic")
+    body = F.when(n % 15 == 0, "review utilizator emag").when(n % 9 == 0, F.concat(F.lit("Review cumparator eMAG "), text)).otherwise(text)
+    blocks = A.table(spark, sf, "documents").select("doc_id", site.alias("site"), F.concat("source", F.lit(" is the title here")).alias("title"), body.alias("body"))
+    return H.filter_candidates(blocks).select("doc_id", F.sha2("review_text", 256).alias("review_text"))
 
 
 @C.query("win2_per_page_cap", f"{RV} SELECT user_id, id FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id) AS k FROM reviews) WHERE k <= 20")
@@ -131,24 +151,31 @@ def halves(df):
 SCORED = ["doc_id", "predicted_label", "confidence", "prob_negative", "prob_positive", "model_used"]
 
 
+#: The strengths that a search tries.
+STRENGTHS = [{"C": c} for c in (0.01, 0.1, 0.5, 1.0, 5.0, 10.0)]
+#: Rounds, depth, step and share of rows: a few settings, as each is a sequence of trees.
+TREES = [{"maxIter": 5, "maxDepth": 2, "stepSize": 0.1}, {"maxIter": 10, "maxDepth": 3, "stepSize": 0.3}, {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3, "subsamplingRate": 0.8}]
+
+
 @C.query("mdl1_logistic_regression")
 def _(spark, sf):
     train, val = halves(labelled(spark, sf))
-    model, _ = M.grid_search(train, val, "logistic", [{"C": c} for c in (0.1, 1.0)], features=M.text_features(1 << 12), iterations=10)
+    model, _ = M.grid_search(train, val, "logistic", STRENGTHS)
     return M.score(model, val, "lr").select(SCORED)
 
 
 @C.query("mdl2_linear_svm")
 def _(spark, sf):
     train, val = halves(labelled(spark, sf))
-    model, _ = M.grid_search(train, val, "svm", [{"C": 1.0}], features=M.text_features(1 << 12), iterations=10)
-    return M.calibrated(model.transform(val)).select("doc_id", "prediction", "prob_positive")
+    model, _ = M.grid_search(train, val, "svm", STRENGTHS)
+    # documents without labels are scored, too
+    return M.score(M.calibrated(model, train), M.with_grams(A.table(spark, sf, "documents").select("doc_id", "text"), "text"), "svm").select(SCORED)
 
 
 @C.query("mdl3_boosted_trees")
 def _(spark, sf):
     train, val = halves(labelled(spark, sf))
-    model, _ = M.grid_search(train, val, "trees", [{"maxIter": 3, "maxDepth": 2}], features=M.text_features(128))
+    model, _ = M.grid_search(train, val, "trees", TREES, features=M.text_features(256))
     return M.score(model, val, "xgboost").select(SCORED)
 
 
@@ -168,21 +195,21 @@ def _(spark, sf):
 @C.query("mdl6_batch_scoring")
 def _(spark, sf):
     train, _ = halves(labelled(spark, sf))
-    model, _ = M.grid_search(train, train, "logistic", [{"C": 1.0}], features=M.text_features(1024), iterations=10)
+    model, _ = M.grid_search(train, train, "logistic", [{"C": 1.0}])
     return M.score(model, M.with_grams(A.table(spark, sf, "documents").select("doc_id", "text"), "text"), "lr").select(SCORED)
 
 
 @C.query("mdl7_grid_results")
 def _(spark, sf):
     train, val = halves(labelled(spark, sf))
-    return M.grid_search(train, val, "logistic", [{"C": c} for c in (0.01, 1.0)], features=M.text_features(1024), iterations=10)[1]
+    return M.grid_search(train, val, "logistic", STRENGTHS)[1]
 
 
 @C.query("fea6_chi_squared_features")
 def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    out = M.select_features(labelled(spark, sf), 100, vocabulary=2000)
+    out = M.select_features(labelled(spark, sf), 100)
     return out.select("doc_id", F.size(F.filter(vector_to_array("selected"), lambda x: x > 0)).alias("n_selected"))
 
 
@@ -208,7 +235,7 @@ def _(spark, sf):
     return spark.read.parquet(store).select("event_id")
 
 
-@C.query("st2_dedupe_stream")
+@C.query("st2_dedupe_stream", "SELECT DISTINCT sha256(user_id || '|' || event_type) AS content_hash FROM events")
 def _(spark, sf):
     rows = review_stream(spark, sf).withColumn("content_hash", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"), 256))
     return J.run_available(J.dedupe_stream(rows, "content_hash", "ts", "60 days"), "append").select("content_hash")

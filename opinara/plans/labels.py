@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opinara.functions.vocab import ASPECT_NAMES, TOPIC_ASPECTS
+from opinara.functions.vocab import ASPECTS, ASPECT_NAMES, TOPIC_ASPECTS
 from opinara.operators import annotation as N
 from opinara.operators import evaluation as E
 from opinara.operators import fairness as Y
@@ -143,14 +143,14 @@ def _(spark, sf):
 
 KEYWORDS = [("BATERIE", 0, "baterie"), ("BATERIE", 0, "th"), ("ECRAN", 1, "er"), ("SUNET", 2, "an"), ("PRET", 7, "eau"), ("LIVRARE", 8, "und"), ("DESIGN", 5, "ción")]
 KEYWORDS_SQL = "keywords(aspect, ord, keyword) AS (VALUES " + ", ".join(f"('{a}', {o}, '{k}')" for a, o, k in KEYWORDS) + ")"
-WORDS_SQL = "words AS (SELECT DISTINCT doc_id % 20 AS topic_id, word FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')[1:3]) AS word FROM documents) WHERE word <> '')"
+WORDS_SQL = "words AS (SELECT DISTINCT doc_id % 20 AS topic_id, word FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> '')"
 
 
 @C.query("ann4_score_topic_words", f"""WITH {KEYWORDS_SQL}, {WORDS_SQL}, counts AS (SELECT topic_id, aspect, ord, count(DISTINCT word) AS n FROM words, keywords WHERE contains(word, keyword) OR contains(keyword, word) GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY n DESC, ord) AS k FROM counts)
 SELECT t.topic_id, coalesce(aspect, 'GENERAL') AS aspect, coalesce(n, 0) AS n FROM (SELECT DISTINCT topic_id FROM words) t LEFT JOIN best b ON b.topic_id = t.topic_id AND k = 1""")
 def _(spark, sf):
-    words = A.table(spark, sf, "documents").select((F.col("doc_id") % 20).alias("topic_id"), F.explode(F.slice(F.split(F.lower("text"), " "), 1, 3)).alias("word")).where("word <> ''")
+    words = A.table(spark, sf, "documents").select((F.col("doc_id") % 20).alias("topic_id"), F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word <> ''")
     return N.score_topic_words(words, spark.createDataFrame(KEYWORDS, "aspect string, ord int, keyword string"))
 
 
@@ -191,9 +191,14 @@ def sentence_pairs(spark, sf):
     return N.to_sentence_pairs(an(spark, sf), "a0", A.aspects(spark)).withColumn("split", F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train"))
 
 
-@C.query("ann12_sentence_pairs", f"{PAIRS} SELECT * FROM sentence_pairs")
+SENTENCES = "CASE p.aspect " + " ".join(f"WHEN '{a}' THEN '{sentence}'" for a, sentence, _ in ASPECTS) + " END"
+EDGE = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+@C.query("ann12_sentence_pairs", f"{PAIRS} SELECT p.doc_id, p.aspect, ord, label, label_id, trim(trim(coalesce(d.source, ''), {EDGE}) || ' ' || trim(coalesce(d.text, ''), {EDGE}), {EDGE}) AS text_a, {SENTENCES} AS text_b FROM sentence_pairs p JOIN documents d ON d.doc_id = p.doc_id")
 def _(spark, sf):
-    return sentence_pairs(spark, sf)
+    texts = A.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
+    return N.to_sentence_pairs(an(spark, sf).join(texts, "doc_id"), "a0", A.aspects(spark))
 
 
 @C.query("ann14_imbalance_flags", f"{PAIRS}, s AS (SELECT round(avg(CASE WHEN label = 'none' THEN 1 ELSE 0 END), 6) AS none_share, round(avg(CASE WHEN label = 'neutral' THEN 1 ELSE 0 END), 6) AS neutral_share FROM sentence_pairs) SELECT *, none_share > 0.8 AS too_many_none, neutral_share < 0.02 AS too_few_neutral FROM s")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinara.functions import text as X
-from opinara.functions.vocab import DOMAINS, NON_TECHNICAL, TOPIC_ASPECTS
+from opinara.functions.vocab import ASPECTS, ASPECT_NAMES, DOMAINS, NON_TECHNICAL, TOPIC_ASPECTS
 from opinara.operators import features as T
 from opinara.operators import ingest as I
 from opinara.plans.catalog import Catalog
 from opinara.sources import adapters as A
+from opinara.sources import files as L
 
 C = Catalog()
 CO = f"WITH {A.CORPUS}"
@@ -47,7 +48,11 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", X.sanitize_search(F.col("text")).alias("query"))
 
 
-@C.query("str5_clean_text")
+CLEAN = r"""trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]+>', ' ', 'g'), 'https?://[^ \t\n\v\f\r]+|www\.[^ \t\n\v\f\r]+', ' ', 'g'), '[^ \t\n\v\f\r]+@[^ \t\n\v\f\r]+', ' ', 'g')), '[^a-zA-ZăâîșțĂÂÎȘȚ0-9!?. \t\n\v\f\r]', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g'))"""
+KEPT = "list_filter(string_split(" + CLEAN.format(c="text") + ", ' '), lambda x: length(x) BETWEEN 2 AND 50{stop})"
+
+
+@C.query("str5_clean_text", f"SELECT page_id, {CLEAN.format(c='html')} AS text FROM pages")
 def _(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", X.clean_text(F.col("html")).alias("text"))
 
@@ -67,12 +72,15 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(X.remove_stopwords(X.tokenize(F.col("text")), ["the", "and", "of", "und", "de"])).cast("long").alias("n"))
 
 
-@C.query("str9_preprocess")
+@C.query("str9_preprocess", "SELECT doc_id, array_to_string(" + KEPT.format(stop=" AND lower(x) NOT IN ('the', 'and', 'of', 'und', 'de')") + ", ' ') AS text FROM documents")
 def _(spark, sf):
     return docs(spark, sf).select("doc_id", X.preprocess(F.col("text"), ["the", "and", "of", "und", "de"]).alias("text"))
 
 
-@C.query("str10_preprocess_report")
+REPORT = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) AS n_words, len(" + KEPT.format(stop="") + ") AS n_tokens, len(" + KEPT.format(stop=" AND lower(x) NOT IN ('the', 'and')") + ") AS n_kept FROM documents"
+
+
+@C.query("str10_preprocess_report", f"SELECT *, CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE round((n_words - n_kept) * 100.0::DOUBLE / n_words, 6) END AS reduction FROM ({REPORT})")
 def _(spark, sf):
     return docs(spark, sf).select("doc_id", *(c.alias(n) for n, c in X.preprocess_report(F.col("text"), ["the", "and"]).items()))
 
@@ -94,29 +102,42 @@ def _(spark, sf):
     return d.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-@C.query("str14_display_aspect", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Battery' WHEN 1 THEN 'Build Quality' ELSE 'OTHER' END AS name FROM documents")
-def _(spark, sf):
-    return docs(spark, sf, "lang").select("doc_id", X.display_aspect(F.when(F.col("doc_id") % 3 == 0, "BATERIE").when(F.col("doc_id") % 3 == 1, "CALITATE_CONSTRUCTIE").otherwise("OTHER")).alias("name"))
+# Annotations made from each document's own columns, the same in both dialects: two pairs, whose aspects and polarities
+# are not always of the vocabulary; the second can lack its polarity, and a language's documents hold plain text instead.
+def _aspect(n: str) -> str:
+    return f"CASE {n} % 12 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(ASPECT_NAMES)) + " ELSE source END"
 
 
-JSON_TEXT = "CASE doc_id % 6 WHEN 0 THEN '[{\"aspect\":\"ECRAN\",\"polarity\":\"positive\"},{\"aspect\":\"ECRAN\",\"polarity\":\"negative\"}]' WHEN 1 THEN '[{\"aspect\":\"ECRAN\",\"polarity\":\"positive\"},{\"aspect\":\"PRET\"}]' WHEN 2 THEN 'no json' WHEN 3 THEN '{\"aspect\":\"x\"}' WHEN 4 THEN '[{\"aspect\":\"NONE\",\"polarity\":\"positive\"},{\"aspect\":\"PRET\",\"polarity\":\"neutral\"}]' END"
+ASPECT_1, ASPECT_2 = _aspect("coalesce(n_chars, 0)"), _aspect("CAST(floor(coalesce(n_chars, 0) / 12.0) AS BIGINT)")
+POLARITY_1 = "CASE doc_id % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'neutral' ELSE lang END"
+POLARITY_2 = "CASE (doc_id + coalesce(n_chars, 0)) % 5 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'neutral' WHEN 3 THEN lang END"
+PAIR = f"pairs AS (SELECT doc_id, lang, text, {ASPECT_1} AS a1, {POLARITY_1} AS p1, {ASPECT_2} AS a2, {POLARITY_2} AS p2 FROM documents)"
+JSON_TEXT = """CASE lang WHEN 'fr' THEN text WHEN 'de' THEN '{"aspect":"' || a1 || '"}' ELSE '[{"aspect":"' || a1 || '","polarity":"' || p1 || '"},{"aspect":"' || a2 || '"' || CASE WHEN p2 IS NULL THEN '' ELSE ',"polarity":"' || p2 || '"' END || '}]' END"""
+KNOWN = "({}) IN (" + ", ".join(f"'{a}'" for a in ASPECT_NAMES) + ") AND ({}) IN ('positive', 'negative', 'neutral')"
+VALID_PAIRS = f"CASE WHEN lang IN ('fr', 'de') THEN [] ELSE list_filter([CASE WHEN {KNOWN.format('a1', 'p1')} THEN a1 || ':' || p1 END, CASE WHEN {KNOWN.format('a2', 'p2')} THEN a2 || ':' || p2 END], lambda x: x IS NOT NULL) END"
 
 
 def json_docs(spark, sf):
-    return docs(spark, sf, "lang").selectExpr("doc_id", f"{JSON_TEXT} AS j")
+    pairs = docs(spark, sf, "lang", "text", "source", "n_chars").selectExpr("doc_id", "lang", "text", f"{ASPECT_1} AS a1", f"{POLARITY_1} AS p1", f"{ASPECT_2} AS a2", f"{POLARITY_2} AS p2")
+    return pairs.selectExpr("doc_id", f"{JSON_TEXT} AS j", "a1", "p1")
+
+
+@C.query("str14_display_aspect", f"WITH {PAIR} SELECT doc_id, CASE a1 " + " ".join(f"WHEN '{a}' THEN '{d}'" for a, _, d in ASPECTS) + " ELSE a1 END AS name FROM pairs")
+def _(spark, sf):
+    return json_docs(spark, sf).select("doc_id", X.display_aspect(F.col("a1")).alias("name"))
 
 
-@C.query("json1_parse_aspect_list", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ECRAN:positive,ECRAN:negative' WHEN 1 THEN 'ECRAN:positive' WHEN 4 THEN 'PRET:neutral' ELSE '' END AS pairs FROM documents")
+@C.query("json1_parse_aspect_list", f"WITH {PAIR} SELECT doc_id, array_to_string({VALID_PAIRS}, ',') AS pairs FROM pairs")
 def _(spark, sf):
     return json_docs(spark, sf).select("doc_id", F.array_join(F.transform(X.parse_aspect_list(F.col("j")), lambda p: F.concat(p["aspect"], F.lit(":"), p["polarity"])), ",").alias("pairs"))
 
 
-@C.query("json2_parse_aspect_map", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ECRAN:negative' WHEN 4 THEN 'NONE:positive,PRET:neutral' ELSE '' END AS pairs FROM documents")
+@C.query("json2_parse_aspect_map", f"WITH {PAIR} SELECT doc_id, CASE WHEN lang IN ('fr', 'de') OR p2 IS NULL THEN '' WHEN a1 = a2 THEN a2 || ':' || p2 ELSE array_to_string(list_sort([a1 || ':' || p1, a2 || ':' || p2]), ',') END AS pairs FROM pairs")
 def _(spark, sf):
     return json_docs(spark, sf).select("doc_id", F.array_join(F.sort_array(F.transform(F.map_entries(X.parse_aspect_map(F.col("j"))), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), ",").alias("pairs"))
 
 
-@C.query("json3_validate_annotation", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 2 ELSE 1 END AS n, CASE WHEN doc_id % 6 IN (0, 1) THEN 'ECRAN' WHEN doc_id % 6 = 4 THEN 'PRET' ELSE 'GENERAL' END AS first FROM documents")
+@C.query("json3_validate_annotation", f"WITH {PAIR}, valid AS (SELECT doc_id, {VALID_PAIRS} AS v FROM pairs) SELECT doc_id, CAST(greatest(len(v), 1) AS INT) AS n, CASE WHEN len(v) = 0 THEN 'GENERAL' ELSE split_part(v[1], ':', 1) END AS first FROM valid")
 def _(spark, sf):
     return json_docs(spark, sf).select("doc_id", X.validate_annotation(F.col("j")).alias("p")).select("doc_id", F.size("p").alias("n"), F.element_at("p", 1)["aspect"].alias("first"))
 
@@ -126,10 +147,9 @@ def _(spark, sf):
     return docs(spark, sf, "lang").select("doc_id", F.to_json(F.array(F.struct(F.lit("PRET").alias("aspect"), F.col("lang").alias("polarity")))).alias("json"))
 
 
-@C.query("json5_label_id", "SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS label_id FROM documents")
+@C.query("json5_label_id", f"WITH {PAIR} SELECT doc_id, CASE p1 WHEN 'positive' THEN 1 WHEN 'negative' THEN 2 WHEN 'neutral' THEN 3 ELSE 0 END AS label_id FROM pairs")
 def _(spark, sf):
-    words = F.array(*(F.lit(x) for x in ("none", "positive", "negative", "neutral", "unknown")))
-    return docs(spark, sf, "lang").select("doc_id", X.label_id(F.element_at(words, (F.col("doc_id") % 5 + 1).cast("int"))).alias("label_id"))
+    return json_docs(spark, sf).select("doc_id", X.label_id(F.col("p1")).alias("label_id"))
 
 
 @C.query("mth1_softmax", "SELECT vec_id, CASE WHEN e[1] >= e[2] AND e[1] >= e[3] THEN 'negative' WHEN e[2] >= e[3] THEN 'positive' ELSE 'neutral' END AS label, round(1 / (exp(e[1] - greatest(e[1], e[2], e[3])) + exp(e[2] - greatest(e[1], e[2], e[3])) + exp(e[3] - greatest(e[1], e[2], e[3]))), 6) AS confidence FROM (SELECT vec_id, embedding[1:3]::DOUBLE[] AS e FROM embeddings)")
@@ -194,7 +214,10 @@ def _(spark, sf):
 @C.query("src1_read_corpus", "SELECT concat(doc_id, '_', CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END) AS id, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, CASE WHEN 1 + doc_id % 5 <= 2 THEN 'negative' ELSE 'positive' END AS polarity_binary FROM documents")
 def _(spark, sf):
     d = docs(spark, sf, "source", "text").select(F.col("doc_id").alias("index"), F.col("source").alias("title"), F.col("text").alias("content"), (1 + F.col("doc_id") % 5).alias("starRating"))
-    return I.label_corpus(d.where("index % 3 <> 0"), d.where("index % 3 = 0")).select("id", "split", "polarity_binary")
+    train, test = L.shared_path(spark, "train"), L.shared_path(spark, "test")
+    L.write_table(d.where("index % 3 <> 0"), train)
+    L.write_table(d.where("index % 3 = 0"), test)
+    return L.read_corpus(spark, train, test).select("id", "split", "polarity_binary")
 
 
 # term statistics
@@ -240,7 +263,7 @@ micf AS (SELECT term, sum(ln(1 + a * (n_q - a)::DOUBLE / (greatest(1, df - a) *
 
 def micf(spark, sf):
     classes = A.table(spark, sf, "labels").select("doc_id", "quality")
-    some = tf(spark, sf).join(classes.select("doc_id"), "doc_id", "left_semi")
+    some = L.once(tf(spark, sf).join(classes.select("doc_id"), "doc_id", "left_semi"), "tf")
     v = T.doc_frequency(some, 3, 0.9, classes.count())
     return some, T.micf_weights(some, classes, "doc_id", "quality", v)
 
@@ -258,7 +281,8 @@ def _(spark, sf):
 
 @C.query("fea4_tfidf", f"WITH {VOCAB}, raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term), n_docs) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw")
 def _(spark, sf):
-    return T.tfidf(tf(spark, sf), vocab(spark, sf), A.table(spark, sf, "documents").count(), "doc_id").withColumn("weight", F.round("weight", 6))
+    counts, n = L.once(tf(spark, sf), "tf"), A.table(spark, sf, "documents").count()
+    return T.tfidf(counts, T.doc_frequency(counts, 3, 0.9, n), n, "doc_id").withColumn("weight", F.round("weight", 6))
 
 
 @C.query("fea5_max_features", f"WITH {TF} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500")

@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the cluster's checkpoint folder; where that setting is unset, as in tests, on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new place in the cluster's checkpoint folder. Only on a local master, as in tests, can that setting be unset: then it is on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written and read again: what several later steps read is computed once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_corpus(spark: SparkSession, train: str, test: str) -> DataFrame:
     from opinara.operators.ingest import label_corpus
 

@@ -24,23 +24,31 @@ class _Node:
         self.classes = (attrs.get("class") or "").split()
 
     def walk(self) -> Iterator[_Node]:
-        for c in self.children:
+        """All nodes below, in the document's order; with a stack, as pages can be nested deeper than calls."""
+        todo = self.children[::-1]
+        while todo:
+            c = todo.pop()
             if isinstance(c, _Node):
                 yield c
-                yield from c.walk()
+                todo += c.children[::-1]
 
     def pieces(self) -> Iterator[str]:
-        for c in self.children:
+        todo = self.children[::-1]
+        while todo:
+            c = todo.pop()
             if isinstance(c, str):
                 yield c
             elif c.tag not in ("script", "style"):
-                yield from c.pieces()
+                todo += c.children[::-1]
 
     def text(self) -> str:
         return "".join(p.strip() for p in self.pieces())
 
     def inside(self, name: str) -> bool:
-        return self.parent is not None and (name in self.parent.classes or name == self.parent.tag or self.parent.inside(name))
+        node = self.parent
+        while node is not None and name not in node.classes and name != node.tag:
+            node = node.parent
+        return node is not None
 
 
 class _Reader(HTMLParser):
@@ -91,6 +99,7 @@ BODIES = {
     "emag": [[("class", "js-review-body"), ("class", "review-body-container")], [("class", "product-review-body"), ("class", "review-text"), ("class", "review-body"), ("class", "review-content"), ("attr", ("itemprop", "reviewBody")), ("class", "customer-review-text")]],
     "cel": [[("class", "review-text"), ("class", "comment-text"), ("tag", "p")]],
 }
+# Parts of a review block that are no text, how such parts begin, and words of a specification.
 META_CLASSES = ["product-review-author", "product-review-user", "product-review-head", "product-review-title", "review-meta", "star-rating", "product-review-user-avatar"]
 BODY_STARTS = ("Detii", "Review", "stele", "Adauga", "clienti", "Spune", "Ai")
 SPECIFICATION_WORDS = ["caracteristici", "specificatii", "detalii"]

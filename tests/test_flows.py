@@ -11,6 +11,7 @@ from opinara.operators import ingest as I
 from opinara.operators import models as M
 from opinara.plans import registry
 from opinara.sources import files as L
+from opinara.sources import html as H
 from opinara.streaming import jobs as J
 
 SF = "/root/testdata/sf0.001"
@@ -54,7 +55,7 @@ def test_models_learn(spark):
         model, grid = M.grid_search(df.where("doc_id < 40"), df.where("doc_id >= 40"), kind, settings, features=M.text_features(64), iterations=5)
         assert grid.count() == len(settings) and grid.agg(F.max("val_accuracy").alias("a")).first().a == 1.0
         if kind == "svm":
-            out = M.calibrated(model.transform(df))
+            out = M.score(M.calibrated(model, df.where("doc_id < 40")), df.drop("label"), "svm").join(df.select("doc_id", "label"), "doc_id")
             assert out.where((F.col("prob_positive") > 0.5) == (F.col("label") == 1)).count() == 60
         elif kind == "logistic":
             out = M.score(model, df, "lr")
@@ -98,6 +99,26 @@ def test_a_job_that_has_ended_stays_ended(spark):
     allowed = {r.event_id: r.allowed for r in J.job_transitions(df).collect()}
     assert allowed == {1: True, 2: True, 3: True, 4: False, 5: True}
 
+
 def test_aspect_baselines_cover_every_aspect(spark):
     rows = registry.QUERIES["mdl4_aspect_baselines"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(sorted(e["key"] for e in r.aspects) == sorted(ASPECT_NAMES) for r in rows)
+
+
+def test_deeply_nested_pages_are_read(spark):
+    deep = "<div>" * 3000 + "<p>a review that is long enough to be one</p>" + "</div>" * 3000
+    page = f'<h1>Phone</h1><div class="review-item">{deep}</div>'
+    pages = spark.createDataFrame([(1, "https://cel.ro/x", page), (2, "https://cel.ro/y", "<div>" * 5000), (3, "u", None)], "page_id long, url string, html string")
+    rows = H.extract_reviews(pages, F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")).collect()
+    assert [(r.page_id, r.product_name, r.review_text) for r in rows] == [(1, "Phone", "a review that is long enough to be one")]
+
+
+def test_a_batch_reads_only_the_partitions_of_its_hashes(spark, tmp_path):
+    store = f"{tmp_path}/store"
+    df = spark.range(400).selectExpr("id as n", "'A' as product_name", "concat('text ', id) as review_text", "cast(null as timestamp) as review_date")
+    assert I.ingest_reviews(df, store, order="n")["created"] == 400
+    one = I.with_hash(df.where("n = 7")).first().content_hash
+    plan = I.stored_hashes(spark, store, [f"h{one[:2]}"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(hash_prefix" in plan and "ReadSchema: struct<content_hash:string>" in plan
+    assert I.stored_hashes(spark, store, [f"h{one[:2]}"]).count() < 30
+    assert I.ingest_reviews(df.where("n < 9"), store, order="n") == {"scraped": 9, "created": 0, "duplicates": 9}
