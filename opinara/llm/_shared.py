@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,23 +16,51 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the cluster's checkpoint folder, which the driver and all executors share.
 
-    Only where that setting is unset, as in local tests, one is made on this machine.
+    Only on a local master, as in tests, can that setting be unset: then one is made on this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that written() has made and nobody has removed.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: the lineage ends there, so a lost executor
     costs a task and not the whole plan, and rows that two later steps both read are computed once."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_path(df: DataFrame) -> str:
+    """The folder of what written() or settled() has just returned."""
+    return _WRITTEN[-1]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders that written() made, in whatever store they are."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _WRITTEN.remove(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, written; the tables that were written on the way to it are removed."""
+    before = len(_WRITTEN)
+    out = written(make(), name)
+    remove(out.sparkSession, _WRITTEN[before:-1])
+    return out
+
+
 def kept(df: DataFrame, keep: list[str] | None, drop: tuple[str, ...] = ()) -> list[str]:
     """The input columns to carry along: `keep` or all, without those whose names the operator writes itself."""
     own = {x.lower() for x in drop}

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm._shared import written
+from opinara.llm._shared import settled, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b); root is one node of the node's component.
+    """(node, root) for every node of edges (a, b); root is one node of the node's component. No tables stay but the result's."""
+    return settled(lambda: _contract(edges), "components")
 
-    Each round points every node to its smallest neighbour (or itself), follows these pointers to their end by
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """Each round points every node to its smallest neighbour (or itself), follows these pointers to their end by
     doubling, and replaces the nodes of the edges by where they lead; edges inside a tree go. At least half of the
     trees merge in a round, so rounds are logarithmic. Minima combine before the shuffle, so a node with very many
     links is no hot spot; links and labels never reach the driver, only counts do.

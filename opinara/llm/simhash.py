@@ -4,11 +4,15 @@ Every bit position of the fingerprint has a non-zero vector of radius + 1 bits;
 mask of the positions whose vector has an odd inner product with it. Two fingerprints that differ in at most `radius` positions leave
 some v that is orthogonal to all of these positions' vectors, so the mask of v hides every difference: each such pair
 collides in some table, with certainty.
+
+op8 links fingerprints (simhash_groups). Where texts are to be near-duplicates by their shingles, near_duplicate_groups takes the
+same tables for its candidates and compares the texts of each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +50,10 @@ def with_fingerprint(docs: DataFrame, *, text_col: str = "text", shingle: int =
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
-            bits = np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bits)], [*(f"c{i}" for i in range(len(carried))), "fp"])
+            for at in range(0, batch.num_rows, 512):  # few texts at a time are Python's
+                part = batch.slice(at, 512)
+                bits = np.array([fingerprint(t, shingle, seed) for t in part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(bits)], [*(f"c{i}" for i in range(len(carried))), "fp"])
 
     rows = docs.select(*(F.col(q(f.name)).alias(f"c{i}") for i, f in enumerate(carried)), F.col(q(text_col)).cast("string").alias("text")).mapInArrow(mark, schema)
     return rows.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(carried)), "fp")
@@ -65,30 +70,35 @@ def links_within(points: DataFrame, radius: int, pair_limit: int = 64) -> DataFr
     """Edges (a, b) between the distinct longs `fp` whose graph has the same components as all pairs that differ in
     at most `radius` bits.
 
-    Buckets of a table with up to `pair_limit` members compare their pairs. In larger ones (at radius 2) each member
-    links, without any pairs, to the smallest member that shares one of its neighbours at one flipped bit: two
-    members differ in at most two bits exactly if they share such a neighbour. At another radius all buckets compare pairs.
+    Buckets of a table with up to `pair_limit` members compare their pairs. In larger ones members link without any pairs.
+    Two differ in at most r bits exactly if some point lies within half of r (rounded down) of one and within the other half of the other: so
+    at each point the smallest of the members within the first half links to all members within the second.
+    radius: 4 at most, as the points within half of it are 2081 for a member then.
     """
+    if not 0 <= radius <= 4:
+        raise ValueError("radius must be 0 to 4")
     tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(covering_masks(radius))))
     rows = points.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.k")
     sizes = rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(rows.join(sizes, ["t", "k"]), "buckets")
-    small = shared.where(F.col("n") <= pair_limit) if radius == 2 else shared
-    left, right = (small.select("t", "k", F.col("fp").alias(x)) for x in "ab")
+    left, right = (shared.where(F.col("n") <= pair_limit).select("t", "k", F.col("fp").alias(x)) for x in "ab")
     pairs = left.join(right, ["t", "k"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
-    if radius != 2:
-        return pairs
-    near = [0, *(1 << i for i in range(63)), -(1 << 63)]
     crowd = shared.where(F.col("n") > pair_limit).select("fp").distinct()
-    hubs = crowd.select("fp", F.explode(F.array(*(F.lit(x) for x in near))).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("hub"))
-    first = hubs.groupBy("hub").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return pairs.union(hubs.join(first, "hub").where("fp <> a").select("a", F.col("fp").alias("b")))
+    hubs = [crowd.select("fp", F.explode(F.array(*map(F.lit, _ball(r)))).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("hub")) for r in (radius // 2, radius - radius // 2)]
+    first = hubs[0].groupBy("hub").agg(F.min("fp").alias("a"))
+    return pairs.union(hubs[1].join(first, "hub").where("fp <> a").select("a", F.col("fp").alias("b")))
+
+
+def _ball(radius: int, bits: int = 64) -> list[int]:
+    """All masks of at most `radius` bits, as signed longs."""
+    masks = [sum(1 << i for i in some) for n in range(radius + 1) for some in combinations(range(bits), n)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
     """Every document with fp (its fingerprint, a long) and component_id: the smallest id that links reach.
 
-    Documents link if their fingerprints differ in at most `radius` bits. Null and empty texts have the fingerprint
+    Documents link if their fingerprints differ in at most `radius` bits (4 at most). Null and empty texts have the fingerprint
     zero and link like any other; so do repeated rows. A row whose id is null counts for links but not for the
     smallest id; component_id is null if no id in its component isn't. Other columns are carried along
     (`keep`: only these); input columns called fp or component_id are replaced. An empty table gives an empty result.
@@ -103,6 +113,79 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return marked.join(named, "fp").select(*(F.col(q(c)) for c in columns), "fp", "component_id")
 
 
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; of fewer words, of them all together."""
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))), np.uint64))
+
+
+def _colliding(points: DataFrame, radius: int, pair_limit: int, most: int) -> DataFrame:
+    """Distinct pairs (a, b) of the u of (u, fps) that share a bucket: all pairs of a bucket with up to `pair_limit` members.
+
+    In a larger one each member meets the bucket's first, last and two random members, so no bucket is a crowd of pairs.
+    """
+    masks = covering_masks(radius)
+    tables = F.flatten(F.transform("fps", lambda fp, n: F.array(*(F.struct(fp.alias("fp"), F.xxhash64(n, F.lit(i), fp.bitwiseAND(F.lit(m))).alias("k")) for i, m in enumerate(masks)))))
+    rows = points.select("u", F.explode(tables).alias("b")).select("u", "b.fp", "b.k")
+    some = lambda n: F.min_by("u", F.xxhash64("u", F.lit(n)))
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1"), some(2).alias("u2"), some(3).alias("u3")).where("n > 1")
+    shared = written(rows.join(sizes, "k"), "buckets")
+    left, right = (shared.where(F.col("n") <= pair_limit).select("k", F.col("u").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= most)).select("a", "b")
+    stars = shared.where(F.col("n") > pair_limit).select("u", F.explode(F.array("u0", "u1", "u2", "u3")).alias("c")).where("u <> c").select(F.least("u", "c").alias("a"), F.greatest("u", "c").alias("b"))
+    return pairs.union(stars).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprints: int = 3, fingerprint_shingle: int = 2, radius: int = 4, seed: int = 42, pair_limit: int = 64, keep: list[str] | None = None) -> DataFrame:
+    """Every document with component_id: the smallest id that links reach.
+
+    Two texts link if they have the same words, or if the sets of their shingles of `shingle` words have a Jaccard
+    similarity of `similarity` or more, computed exactly, and covering LSH brings them together: they share a bucket of one of
+    `fingerprints` SimHashes over shingles of `fingerprint_shingle` words, which is certain within `radius` bits and likely
+    some bits beyond. So links are exact, and which are found is not certain for texts of a similarity near the least.
+
+    Words are as in op8: A-Z lower, six ASCII spaces between. Null texts and texts without words are equal. Repeated rows
+    link. A null id is larger than any other; component_id is null if no id in its component isn't. Other columns are
+    carried along (`keep`: only these); an input column called component_id is replaced. An empty table gives an empty
+    result. A row is known by its place in the input, which has to be the same each time it is read, as a table's is.
+    """
+    carried = kept(docs, keep, ("component_id",))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(q(id_col)).alias("id"), F.col(q(text_col)).cast("string").alias("text"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()
+                same = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
+                fps = np.array([[fingerprint(t, fingerprint_shingle, seed + n) for n in range(fingerprints)] for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(fps.reshape(-1)), fingerprints).cast(pa.list_(pa.int64()))], ["row", "id", "same", "fps"])
+
+    marked_ = written(base.mapInArrow(mark, T.StructType([*base.schema.fields[:2], T.StructField("same", T.BinaryType()), T.StructField("fps", T.ArrayType(T.LongType()))])), "fingerprints")
+    points = written(marked_.groupBy("same").agg(F.min("row").alias("u"), F.min("id").alias("least"), F.first("fps").alias("fps")), "points")
+    pairs = written(_colliding(points.select("u", "fps"), radius, pair_limit, 4 * radius), "pairs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [_shingle_hashes((t or b"").lower().split(), shingle) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["u", "s"])
+
+    asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = written(base.join(asked, "row", "left_semi").select("row", "text").mapInArrow(cut, "u long, s array<long>"), "shingles")
+    x, y = (sets.select(F.col("u").alias(n), F.col("s").alias(f"s_{n}")) for n in "ab")
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    links = pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+    roots = connected_components(links).withColumnRenamed("node", "u")
+    classes = written(points.join(roots, "u", "left").select("same", "least", F.coalesce("root", "u").alias("root")), "classes")
+    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("same", "component_id")
+    found = marked_.join(named, "same").select("row", "component_id")
+    own = docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(q(c)).alias(f"c{i}") for i, c in enumerate(carried)))
+    return own.join(found, "row").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carried)), "component_id")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

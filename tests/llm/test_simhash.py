@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from opinara.llm import simhash
@@ -75,3 +76,69 @@ def test_crowded_buckets_lose_no_link(spark):
 def test_columns_are_carried(odd_documents):
     out = simhash.simhash_groups(odd_documents)
     assert set(out.columns) == set(odd_documents.columns) and out.count() == odd_documents.count()
+
+
+def test_every_radius_links_all_pairs_without_pairs_in_crowds(spark):
+    """pair_limit 0: every bucket is a crowd; the components are those of all pairs within the radius."""
+    chance = random.Random(4)
+    base = [chance.getrandbits(64) for _ in range(4)]
+    fps = sorted({b ^ sum(1 << k for k in chance.sample(range(64), chance.randint(0, 4))) for b in base for _ in range(12)})
+    points = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    for radius in range(5):
+        for limit in (0, 64):
+            if radius > 2 and not limit:
+                points_ = points.limit(20)
+            else:
+                points_ = points
+            mine = [r.fp & ((1 << 64) - 1) for r in points_.collect()]
+            edges = {(r.a & ((1 << 64) - 1), r.b & ((1 << 64) - 1)) for r in simhash.links_within(points_, radius, limit).collect()}
+            assert all((a ^ b).bit_count() <= radius for a, b in edges)
+            label = {f: f for f in mine}
+
+            def top(x, label=label):
+                while label[x] != x:
+                    x = label[x]
+                return x
+
+            for a, b in edges:
+                label[max(top(a), top(b))] = min(top(a), top(b))
+            assert all(top(a) == top(b) for a in mine for b in mine if (a ^ b).bit_count() <= radius)
+    with pytest.raises(ValueError):
+        simhash.links_within(points, 5)
+
+
+def jaccard(a, b):
+    cut = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set()
+    x, y = (cut((t or "").lower().split()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_duplicates_by_shingles(spark, documents, odd_documents, no_documents):
+    chance = random.Random(9)
+    words = [f"word{i}" for i in range(3000)]
+    texts = [[chance.choice(words) for _ in range(chance.choice([1, 3, 60, 200, 900]))] for _ in range(60)]
+    copies = []
+    for t in texts:
+        for _ in range(3):
+            c = list(t)
+            for _ in range(len(c) // 90):
+                c[chance.randrange(len(c))] = chance.choice(words)
+            copies.append(c)
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *copies, *texts[:10]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df, keep=["doc_id"]).collect()}
+    assert len(out) == len(rows)
+    linked = [(a, b) for a, x in rows for b, y in rows if a < b and jaccard(x, y) >= 0.8]
+    assert sum(out[a] == out[b] for a, b in linked) > 0.95 * len(linked)
+    assert all(out[a] == out[b] for a, b in linked if rows[a][1] == rows[b][1])
+    # no group that links don't make: each member is near some other of its group
+    text = dict(rows)
+    for i, c in out.items():
+        others = [j for j, d in out.items() if d == c and j != i]
+        assert not others or max(jaccard(text[i], text[j]) for j in others) >= 0.8
+    some = simhash.near_duplicate_groups(df, keep=["doc_id"], pair_limit=1)
+    crowd = {r.doc_id: r.component_id for r in some.collect()}
+    assert sum(crowd[a] == crowd[b] for a, b in linked) > 0.8 * len(linked)
+    odd = simhash.near_duplicate_groups(odd_documents)
+    assert odd.count() == odd_documents.count() and set(odd.columns) == set(odd_documents.columns)
+    assert simhash.near_duplicate_groups(no_documents).count() == 0
