@@ -36,7 +36,7 @@ def majority_vote(df: DataFrame, annotators: list[str], min_votes: int = 2) -> D
     Nobody agreed: the first annotator's pairs in their order, as they are, or GENERAL/neutral. No shuffle: the 30
     possible pairs are counted in each row.
     """
-    every = F.array(*(F.struct(F.lit(a).alias("aspect"), F.lit(p).alias("polarity")) for a in ASPECT_NAMES for p in POLARITIES))
+    every = F.expr("array(" + ", ".join(f"named_struct('aspect', '{a}', 'polarity', '{p}')" for a in ASPECT_NAMES for p in POLARITIES) + ")")
     sides = [F.coalesce(F.col(a), F.array().cast(PAIR)) for a in annotators]
     known = lambda p: p["aspect"].isin(ASPECT_NAMES) & p["polarity"].isin(POLARITIES)
     general = F.array(F.struct(F.lit("GENERAL").alias("aspect"), F.lit("neutral").alias("polarity")))

@@ -71,21 +71,14 @@ ANNOTATIONS = f"""{ASPECT_VALUES}, raw_pairs AS (
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, a0, a1, a2): each annotator's pairs as an array of structs; empty if there are none."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    words = F.array(F.lit("positive"), F.lit("negative"), F.lit("neutral"))
-    d = F.col("doc_id")
-
-    def pairs(j: int):
-        every = []
-        for i, a in enumerate(ASPECT_NAMES):
-            p = (d + i) % 3
-            if j == 1:
-                p = (p + F.when((d + i) % 4 == 0, 1).otherwise(0)) % 3
-            present = ((d * 13 + i * 7) % 10 < 3) & (d % 11 != 0) & (F.lit(j == 0) | (d % 7 != 0)) & (F.lit(j < 2) | (d % 3 != 0))
-            every.append(F.struct(F.lit(a).alias("aspect"), F.element_at(words, (p + 1).cast("int")).alias("polarity"), present.alias("present")))
-        return F.transform(F.filter(F.array(*every), lambda x: x["present"]), lambda x: F.struct(x["aspect"].alias("aspect"), x["polarity"].alias("polarity")))
-
-    return docs.select("doc_id", *(pairs(j).alias(f"a{j}") for j in range(3)))
+    names, last = ", ".join(f"'{a}'" for a in ASPECT_NAMES), len(ASPECT_NAMES) - 1
+
+    def pairs(j: int) -> str:
+        present = "(doc_id * 13 + i * 7) % 10 < 3 AND doc_id % 11 <> 0" + " AND doc_id % 7 <> 0" * (j > 0) + " AND doc_id % 3 <> 0" * (j > 1)
+        polarity = "(doc_id + i" + " + if((doc_id + i) % 4 = 0, 1, 0)" * (j == 1) + ") % 3"
+        return f"transform(filter(sequence(0, {last}), i -> {present}), i -> named_struct('aspect', element_at(array({names}), i + 1), 'polarity', element_at(array('positive', 'negative', 'neutral'), cast({polarity} + 1 as int)))) AS a{j}"
+
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", *(pairs(j) for j in range(3)))
 
 
 _PREDICTION_COLUMNS = "doc_id, quality AS y_true, ((doc_id * 37 + quality * 41) % 101) / 100.0 AS y_score, CASE WHEN ((doc_id * 37 + quality * 41) % 101) >= 50 THEN 1 ELSE 0 END AS y_pred, doc_id % 2 AS protected_attr"
