@@ -20,7 +20,8 @@ def source_targets(sources: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1)
 
     Sources by code point, null last, take the weights in turn. Together they want `share` of all sizes; a
     target stops at `most` times its source's size and the excess is dealt again by weight, round by round, until
-    none is above. Only the rounds' two sums reach the driver.
+    none is above. Only the rounds' two sums reach the driver. A round is a Newton step on a concave function with a kink
+    for each source, so there are few; as each stops one more source at least, there are never more than sources.
     """
     ordered = written(sources.select("source", "source_size", F.col("source").isNull().alias("last")), "sources")
     # ranks without one sorted task: ranges of sources, numbered within, shifted by what lies in the ranges before
@@ -61,15 +62,16 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     ids differ. Other columns are carried along (`keep`: only these); input columns named as an added one are
     replaced. An empty table gives an empty result.
 
-    The order is cut into groups of a source, a narrow range of sizes and a hash of the id, about `group_rows` rows
-    each at most, so no source and no crowd of equal sizes meets in one task; only sums of groups are put in order.
+    The order is cut into groups of a source, a narrow range of sizes and a hash of the id (of the text where that is
+    null), about `group_rows` rows each at most, so no source and no crowd of equal sizes meets in one task; only sums of groups are put in order.
     """
     own = ("size", "source_size", "target", "taken", "copies")
     carried = [docs.schema[c].name for c in kept(docs, keep, own)]
-    rows = docs.select(*(F.col(q(c)).alias(f"c{i}") for i, c in enumerate(carried)), F.col(q(id_col)).alias("id"), F.col(q(source_col)).alias("source"), (word_count(F.col(q(text_col))) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"))
+    dealt = F.coalesce(F.col(q(id_col)).cast("string"), *([F.col(q(text_col)).cast("string")] if text_col in docs.columns else []), F.lit(""))
+    rows = docs.select(*(F.col(q(c)).alias(f"c{i}") for i, c in enumerate(carried)), F.col(q(id_col)).alias("id"), dealt.alias("dealt"), F.col(q(source_col)).alias("source"), (word_count(F.col(q(text_col))) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"))
     buckets = max(1, math.ceil(docs.count() / group_rows))
     bits = F.length(F.bin("size"))
-    rows = rows.withColumns({"band": bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("int"), "part": F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long"), F.lit(buckets))})
+    rows = rows.withColumns({"band": bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("int"), "part": F.pmod(F.conv(F.substring(F.md5("dealt"), 1, 12), 16, 10).cast("long"), F.lit(buckets))})
     groups = written(rows.groupBy("source", "band", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size")), "groups")
     targets = source_targets(groups.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, most=most)
     bands = groups.groupBy("source", "band").agg(F.sum("rows").alias("rows"))
@@ -97,7 +99,7 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 #: The same in plain SQL: one window over each source and a recursion for the targets.
 OP1_SQL = r"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), n AS (SELECT greatest(1, CAST(ceil(count(*) / 8192.0) AS BIGINT)) AS buckets, 1.5 * sum(size) AS total FROM sized
 ), sources AS (
   SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap
@@ -110,7 +112,7 @@ WITH RECURSIVE sized AS (
 ), targets AS (SELECT source, source_size, least(cap, w * level) AS target FROM sources, level
 ), placed AS (
   SELECT doc_id, s.source, size, row_number() OVER (PARTITION BY s.source ORDER BY length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)),
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) % buckets, size, doc_id) - 1 AS place
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 12) AS BIGINT) % buckets, size, doc_id) - 1 AS place
   FROM sized s, n
 )
 SELECT doc_id, size, source_size, target,

@@ -27,17 +27,17 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
 
 
 def brute(rows, group_rows=8192):
-    sized = [(k, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for k, s, t in rows]
+    sized = [(k, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), t or "") for k, s, t in rows]
     total = defaultdict(int)
-    for _, s, n in sized:
+    for _, s, n, _ in sized:
         total[s] += n
     target, buckets, out = targets(total), max(1, math.ceil(len(rows) / group_rows)), []
     band = lambda n: max(1, n.bit_length()) * 16 + (n >> max(max(1, n.bit_length()) - 4, 0))
     for s in total:
         rate = min(2.0, target[s] / total[s]) if total[s] else 0.0
         offset = digits("42:" + ("" if s is None else "s" + s)) / float(1 << 48)
-        mine = sorted(((k, n) for k, x, n in sized if x == s), key=lambda r: (band(r[1]), digits("" if r[0] is None else str(r[0])) % buckets, r[1], r[0] is not None, r[0] or 0))
-        for i, (k, n) in enumerate(mine):
+        mine = sorted(((k, n, t) for k, x, n, t in sized if x == s), key=lambda r: (band(r[1]), digits(r[2] if r[0] is None else str(r[0])) % buckets, r[1], r[0] is not None, r[0] or 0))
+        for i, (k, n, _) in enumerate(mine):
             out.append((k, n, total[s], target[s], (math.floor((i + 1) * rate + offset) - math.floor(i * rate + offset)) * n))
     return out
 
