@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,19 @@ def marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
 
 
+class Codes(dict):
+    """XXH64 of words, by word; short ones are remembered, up to a number."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= 32 and len(self) < 1 << 17:
+            self[word] = code
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def in_process(name: str, make):
     """What `make` returns, made once in each Python process and then kept under `name`."""
     store = sys.modules.setdefault("_opinara_in_process", types.ModuleType("_opinara_in_process"))

@@ -13,12 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.llm._shared import bitmap, kept, marked, q, written
+from opinara.llm._shared import Codes, bitmap, kept, marked, q, written
 
 #: A-Z becomes a-z, every other ASCII byte that is neither a digit nor a letter becomes a space; bytes of other
 #: characters stay, so words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F].
@@ -56,19 +55,9 @@ def _shingle_hash(first: Column, second: Column) -> Column:
     return F.shiftleft(h, 7).bitwiseOR(F.shiftrightunsigned(h, 57)).bitwiseXOR(F.xxhash64(second))
 
 
-class _Codes(dict):
-    """XXH64 of words; short ones are remembered, up to a number."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh64_intdigest(word, 42)
-        if len(word) <= 32 and len(self) < 1 << 17:
-            self[word] = code
-        return code
-
-
-def _hashes(words: list[bytes], codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(words: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and of each with the next one."""
-    one = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    one = codes.of(words)
     return one, ((one[:-1] << np.uint64(7)) | (one[:-1] >> np.uint64(57))) ^ one[1:]
 
 
@@ -84,7 +73,7 @@ def _rarity(texts: DataFrame, bits: np.ndarray, single: bool) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
+        codes = Codes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 found = [np.empty(0, np.uint64)]
@@ -125,7 +114,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     bits = spark.sparkContext.broadcast(bitmap(prefixes))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
+        codes = Codes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

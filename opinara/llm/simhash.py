@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.llm._shared import kept, q, written
+from opinara.llm._shared import Codes, kept, q, written
 from opinara.llm.components import connected_components
 
 
@@ -37,6 +37,11 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter([digest(line[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+    return _majority(hashes)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -113,11 +118,20 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return marked.join(named, "fp").select(*(F.col(q(c)) for c in columns), "fp", "component_id")
 
 
-def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted; of fewer words, of them all together."""
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))), np.uint64))
+def _mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Bits that depend on all bits: 64 for each of an array's."""
+    x = (x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _shingle_hashes(words: np.ndarray, shingle: int) -> np.ndarray:
+    """A hash of each `shingle` words in a row, from the words' own; of fewer words, of them all together."""
+    n, x = max(1, len(words) - shingle + 1) if len(words) else 0, np.uint64(0)
+    for j in range(min(shingle, len(words))):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    return _mixed(x) if n else np.empty(0, np.uint64)
 
 
 def _colliding(points: DataFrame, radius: int, pair_limit: int, most: int) -> DataFrame:
@@ -141,7 +155,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """Every document with component_id: the smallest id that links reach.
 
     Two texts link if they have the same words, or if the sets of their shingles of `shingle` words have a Jaccard
-    similarity of `similarity` or more, computed exactly, and covering LSH brings them together: they share a bucket of one of
+    similarity of `similarity` or more, computed over their 64-bit hashes, and covering LSH brings them together: they share a bucket of one of
     `fingerprints` SimHashes over shingles of `fingerprint_shingle` words, which is certain within `radius` bits and likely
     some bits beyond. So links are exact, and which are found is not certain for texts of a similarity near the least.
 
@@ -154,12 +168,15 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(q(id_col)).alias("id"), F.col(q(text_col)).cast("string").alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()
-                same = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
-                fps = np.array([[fingerprint(t, fingerprint_shingle, seed + n) for n in range(fingerprints)] for t in texts], np.uint64).view(np.int64)
+                words = [(t or b"").lower().split() for t in texts]
+                same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+                hashes = [_shingle_hashes(codes.of(w), fingerprint_shingle) for w in words]
+                fps = np.array([[_majority(_mixed(h, seed + n)) for n in range(fingerprints)] for h in hashes], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(fps.reshape(-1)), fingerprints).cast(pa.list_(pa.int64()))], ["row", "id", "same", "fps"])
 
     marked_ = written(base.mapInArrow(mark, T.StructType([*base.schema.fields[:2], T.StructField("same", T.BinaryType()), T.StructField("fps", T.ArrayType(T.LongType()))])), "fingerprints")
@@ -167,10 +184,11 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     pairs = written(_colliding(points.select("u", "fps"), radius, pair_limit, 4 * radius), "pairs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [_shingle_hashes((t or b"").lower().split(), shingle) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                sets = [np.unique(_shingle_hashes(codes.of((t or b"").lower().split()), shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["u", "s"])
 
     asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
