@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.text import content_hash, sanitize_html
@@ -100,19 +100,20 @@ def ingest_reviews(batch: DataFrame, store: str, *, order: str, score: Callable[
     """Hashes a batch, drops what the store (a Parquet folder) has or the batch repeats, scores the rest and appends it.
 
     Duplicates count over all users. Running a batch again stores nothing. The store is partitioned by the first `digits`
-    digits of the hash: a batch reads the hashes of the partitions that it can be in, and no other. What was created is
-    counted while it is written, so another writer's rows don't count.
+    digits of the hash: a batch reads the hashes of the partitions that it can be in, and no other. What is created is
+    counted before it is written, so another writer's rows don't count.
     """
     spark = batch.sparkSession
     hashed = with_hash(batch).withColumn("hash_prefix", F.concat(F.lit("h"), F.left("content_hash", F.lit(digits)))).persist()  # hashed once
     per_prefix = hashed.groupBy("hash_prefix").count().collect()  # 16 ** digits rows at most
     scraped = sum(r["count"] for r in per_prefix)
     fresh = new_reviews(hashed, stored_hashes(spark, store, [r.hash_prefix for r in per_prefix]), order)
-    seen = Observation()
-    fresh = (score(fresh) if score else fresh).observe(seen, F.count(F.lit(1)).alias("created"))
-    fresh.repartition("hash_prefix").write.mode("append").partitionBy("hash_prefix").parquet(store)
+    fresh = (score(fresh) if score else fresh).persist()
+    created = fresh.count()
+    if created:
+        fresh.repartition("hash_prefix").write.mode("append").partitionBy("hash_prefix").parquet(store)
+    fresh.unpersist()
     hashed.unpersist()
-    created = seen.get["created"]
     return {"scraped": scraped, "created": created, "duplicates": scraped - created}
 
 
