@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,21 +134,22 @@ def _shingle_hashes(words: np.ndarray, shingle: int) -> np.ndarray:
     return _mixed(x) if n else np.empty(0, np.uint64)
 
 
-def _colliding(points: DataFrame, radius: int, pair_limit: int, most: int) -> DataFrame:
-    """Distinct pairs (a, b) of the u of (u, fps) that share a bucket: all pairs of a bucket with up to `pair_limit` members.
-
-    In a larger one each member meets the bucket's first, last and two random members, so no bucket is a crowd of pairs.
-    """
+def _buckets(points: DataFrame, radius: int) -> DataFrame:
+    """(t, k, u, fp, n, first, second, third) of (u, fps): each u in each bucket k of fingerprint t that it shares, with the
+    bucket's number of members, its smallest one (u and fp) and two random ones."""
     masks = covering_masks(radius)
-    tables = F.flatten(F.transform("fps", lambda fp, n: F.array(*(F.struct(fp.alias("fp"), F.xxhash64(n, F.lit(i), fp.bitwiseAND(F.lit(m))).alias("k")) for i, m in enumerate(masks)))))
-    rows = points.select("u", F.explode(tables).alias("b")).select("u", "b.fp", "b.k")
+    tables = F.flatten(F.transform("fps", lambda fp, t: F.array(*(F.struct(t.alias("t"), fp.alias("fp"), F.xxhash64(t, F.lit(i), fp.bitwiseAND(F.lit(m))).alias("k")) for i, m in enumerate(masks)))))
+    # each point becomes a row for each table: dealt to many tasks first, so that none counts too many buckets at once
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = points.repartition(parts, "u").select("u", F.explode(tables).alias("b")).select("u", "b.t", "b.fp", "b.k")
+    # nearly all buckets have one member: of them only keys and counts move
+    shared = written(rows.join(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "k"), "shared")
     some = lambda n: F.min_by("u", F.xxhash64("u", F.lit(n)))
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1"), some(2).alias("u2"), some(3).alias("u3")).where("n > 1")
-    shared = written(rows.join(sizes, "k"), "buckets")
-    left, right = (shared.where(F.col("n") <= pair_limit).select("k", F.col("u").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= most)).select("a", "b")
-    stars = shared.where(F.col("n") > pair_limit).select("u", F.explode(F.array("u0", "u1", "u2", "u3")).alias("c")).where("u <> c").select(F.least("u", "c").alias("a"), F.greatest("u", "c").alias("b"))
-    return pairs.union(stars).distinct()
+    return written(shared.join(shared.groupBy("k").agg(F.min(F.struct("u", "fp")).alias("first"), some(2).alias("second"), some(3).alias("third")), "k"), "buckets")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprints: int = 3, fingerprint_shingle: int = 2, radius: int = 4, seed: int = 42, pair_limit: int = 64, keep: list[str] | None = None) -> DataFrame:
@@ -157,7 +158,8 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     Two texts link if they have the same words, or if the sets of their shingles of `shingle` words have a Jaccard
     similarity of `similarity` or more, computed over their 64-bit hashes, and covering LSH brings them together: they share a bucket of one of
     `fingerprints` SimHashes over shingles of `fingerprint_shingle` words, which is certain within `radius` bits and likely
-    some bits beyond. So links are exact, and which are found is not certain for texts of a similarity near the least.
+    some bits beyond. In a bucket each member is compared with the smallest one; then, in buckets of up to `pair_limit` members, with every
+    other that it is not yet linked to over some links, in larger ones with two. So links are exact, and which are found is not certain for texts of a similarity near the least.
 
     Words are as in op8: A-Z lower, six ASCII spaces between. Null texts and texts without words are equal. Repeated rows
     link. A null id is larger than any other; component_id is null if no id in its component isn't. Other columns are
@@ -181,7 +183,8 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     marked_ = written(base.mapInArrow(mark, T.StructType([*base.schema.fields[:2], T.StructField("same", T.BinaryType()), T.StructField("fps", T.ArrayType(T.LongType()))])), "fingerprints")
     points = written(marked_.groupBy("same").agg(F.min("row").alias("u"), F.min("id").alias("least"), F.first("fps").alias("fps")), "points")
-    pairs = written(_colliding(points.select("u", "fps"), radius, pair_limit, 4 * radius), "pairs")
+    buckets = _buckets(points.select("u", "fps"), radius)
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 4 * radius
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
@@ -191,11 +194,30 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                 sets = [np.unique(_shingle_hashes(codes.of((t or b"").lower().split()), shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["u", "s"])
 
-    asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    asked = buckets.select(F.col("u").alias("row")).distinct()
     sets = written(base.join(asked, "row", "left_semi").select("row", "text").mapInArrow(cut, "u long, s array<long>"), "shingles")
-    x, y = (sets.select(F.col("u").alias(n), F.col("s").alias(f"s_{n}")) for n in "ab")
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    links = pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("u").alias(n), F.col("s").alias(f"s_{n}")) for n in "ab")
+        both = F.size(F.array_intersect("s_a", "s_b"))
+        return written(pairs.distinct().join(x, "a").join(y, "b").where(both >= similarity * (F.size("s_a") + F.size("s_b") - both)).select("a", "b"), "links")
+
+    # first each member with its bucket's smallest, a fingerprint after the other; then pairs that these links have not
+    # brought together. What earlier links have joined needs no further pair
+    links, roots = None, None
+    root = lambda df, u, name: df.join(roots.select(F.col("node").alias(u), F.col("root").alias(name)), u, "left").withColumn(name, F.coalesce(name, u))
+    for t in range(fingerprints):
+        stars = buckets.where((F.col("t") == t) & (F.col("u") != F.col("first.u")) & near("fp", "first.fp")).select("u", F.col("first.u").alias("c"))
+        if roots is not None:
+            stars = root(root(stars, "u", "root"), "c", "other").where("root <> other")
+        found = linked(stars.select(*_pair("u", "c")))
+        links = found if links is None else links.union(found)
+        roots = connected_components(links)
+    left = written(root(buckets.select("k", "u", "fp", "n", "second", "third"), "u", "root"), "buckets")
+    x, y = (left.where(F.col("n") <= pair_limit).select("k", F.col("u").alias(i), F.col("fp").alias(f"fp_{i}"), F.col("root").alias(f"root_{i}")) for i in "ab")
+    pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near("fp_a", "fp_b")).select("a", "b")
+    crowds = root(left.where(F.col("n") > pair_limit).select("u", "root", F.explode(F.array("second", "third")).alias("c")), "c", "other").where(F.col("root") != F.col("other"))
+    links = links.union(linked(pairs.union(crowds.select(*_pair("u", "c")))))
     roots = connected_components(links).withColumnRenamed("node", "u")
     classes = written(points.join(roots, "u", "left").select("same", "least", F.coalesce("root", "u").alias("root")), "classes")
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("same", "component_id")

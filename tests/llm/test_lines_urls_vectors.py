@@ -66,7 +66,7 @@ def test_passages_brute_force(spark, documents, odd_documents, no_documents):
     texts = ["\n".join(x for _ in range(chance.randint(1, 12)) for x in [chance.choice(lines)] * chance.choice([1, 1, 1, 2, 9])) for _ in range(80)]
     own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for df in (documents, own, odd_documents.select("doc_id", "text").coalesce(1), no_documents):
-        for least in (1, 2, 3):
+        for least in (1, 2, 3) if df is own else (2,):
             got = sorted(((r.doc_id, r.n_removed_lines, r.kept_text) for r in line_dedup.dedup_lines(df, keep=["doc_id"], least_lines=least).collect()), key=repr)
             assert got == brute_passages([(r.doc_id, r.text) for r in df.collect()], least)
     assert set(line_dedup.dedup_lines(odd_documents).columns) >= set(odd_documents.columns)
