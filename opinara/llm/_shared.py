@@ -32,11 +32,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 _WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """The same rows, written to the shared folder and read again: the lineage ends there, so a lost executor
-    costs a task and not the whole plan, and rows that two later steps both read are computed once."""
+    costs a task and not the whole plan, and rows that two later steps both read are computed once.
+    `by`: columns of few values, each of which can then be read by itself."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

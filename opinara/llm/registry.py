@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from opinara.llm import chat, decontam, embedding_dedup, line_dedup, mixing, quality, simhash, substring_dedup, token_records, url_filter
+from opinara.llm import chat, decontam, embedding_dedup, line_dedup, merkle, mixing, quality, simhash, substring_dedup, token_records, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_chat": chat.OP4_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
