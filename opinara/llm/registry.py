@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from opinara.llm import chat, decontam, embedding_dedup, line_dedup, merkle, mixing, quality, simhash, substring_dedup, token_records, url_filter
+from opinara.llm import chat, decontam, embedding_dedup, html_text, line_dedup, merkle, mixing, quality, simhash, substring_dedup, token_records, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontam.op10_decontaminate,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_main_text": html_text.op13_main_text,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op4_chat": chat.OP4_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_main_text": html_text.OP13_SQL,
 }
