@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +102,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
     """The blocks of a page in order: (text, article it lies in or 0, out by its markup, heading, linked characters)."""
     found: list[tuple[str, int, bool, bool, int]] = []
     stack = [_Frame("", False, 0, False)]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, link, heading, number = 0, -1, "", 0
 
@@ -119,6 +121,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
 
     def close(depth: int) -> None:
         nonlocal link, heading
+        opened.subtract(f.tag for f in stack[depth:])
         del stack[depth:]
         if link >= depth:
             link = -1
@@ -150,15 +153,14 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
             continue
         elif ends:
             flush()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                close(depth)
+            if opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
         else:
             flush()
             if stack[-1].tag == "p" or _HEADING(stack[-1].tag) and _HEADING(tag):
                 close(len(stack) - 1)
             names, walls = _CLOSES.get(tag, ((), ()))
-            if names:
+            if any(opened[x] > 0 for x in names):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in names:
                         close(i)
@@ -168,6 +170,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
             if tag in _VOID:
                 continue
             number += 1
+            opened[tag] += 1
             stack.append(_open(tag, m[4] or m[7] or "", stack[-1], number))
             heading = tag if _HEADING(tag) else ""
     text_of(at, len(page))
