@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from opinara.llm import chat, decontam, embedding_dedup, html_text, line_dedup, merkle, mixing, quality, simhash, substring_dedup, token_records, url_filter
+from opinara.llm import chat, decontam, embedding_dedup, html_text, line_dedup, merkle, mixing, quality, simhash, substring_dedup, token_alignment, token_records, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_main_text": html_text.op13_main_text,
     "pipeline": corpus_pipeline.run,

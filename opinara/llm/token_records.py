@@ -57,16 +57,17 @@ class Encoder:
 
     The byte-level pattern cuts a text before a single space, and around other white space, whatever stands beside
     it. So the library encodes each distinct piece once, and a text's ids are its pieces' ids in a row. Texts that
-    hold one of the vocabulary's special tokens go to the library whole. Pieces of up to 64 characters are remembered,
+    hold one of the vocabulary's special tokens go to the library whole, unless their strings count as `plain` text. Pieces of up to 64 characters are remembered,
     about `most` bytes of them in all; a longer one, as a text without any white space is, only while its texts are encoded.
     """
 
-    def __init__(self, path: str, most: int = 64 << 20):
+    def __init__(self, path: str, most: int = 64 << 20, *, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
         self.pieces: dict[str, bytes] = {}
