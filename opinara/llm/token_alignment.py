@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ class PieceEncoder:
 
     No piece of such a vocabulary holds a space behind another character, so no merge crosses the place before a run of spaces: the
     library encodes what stands between two such places, each distinct string once. Short ones are remembered, about `most` bytes.
+    A string whose pieces don't give back its bytes, as one with the mark itself, has the ids None, and so has its text.
     """
 
     def __init__(self, path: str, most: int = 64 << 20):
@@ -45,31 +47,42 @@ class PieceEncoder:
         self.pieces = [self.library.id_to_piece(i) for i in range(self.library.vocab_size())]
         if len(self.pieces) > 1 << 16 or any("▁" in p.lstrip("▁") for p in self.pieces):
             raise ValueError(f"{path}: pieces hold spaces behind other characters, or ids have over 2 bytes")
+        self.bytes = piece_bytes(self.pieces)
         self.lone = np.array([self.library.piece_to_id("▁")], "<u2").tobytes()
-        self.known: dict[str, bytes] = {" ": self.lone}
+        self.known: dict[str, bytes | None] = {" ": self.lone}
         self.most, self.held = most, 0
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes | None]:
         units = [_UNITS.findall(" " + t) for t in texts]
         if self.held > self.most:
             self.known, self.held = {" ": self.lone}, 0
         new = list(set().union(*units).difference(self.known))
         for unit, ids in zip(new, self.library.encode([u[1:] for u in new], num_threads=1), strict=True):
-            self.known[unit] = data = np.array(ids, "<u2").tobytes()
-            self.held += 200 + len(unit) + len(data)
-        out = [b"".join(map(self.known.__getitem__, u)) for u in units]
+            self.known[unit] = array("H", ids).tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == unit.encode() else None
+            self.held += 200 + len(unit) + 2 * len(ids)
+        out = []
+        for own in units:
+            try:
+                out.append(b"".join(map(self.known.__getitem__, own)))
+            except TypeError:  # one of them is None
+                out.append(None)
         for unit in [u for u in new if len(u) > 64]:
-            self.held -= 200 + len(unit) + len(self.known.pop(unit))
+            self.held -= 200 + len(unit) + len(self.known.pop(unit) or b"")
         return out
 
 
 def byte_level_bytes(path: str) -> list[bytes]:
-    """The bytes of each id of a byte-level vocabulary: its characters stand for bytes, printable ones for themselves."""
+    """The bytes of each id of a byte-level vocabulary: its characters stand for bytes, printable ones for themselves.
+
+    Each of the 256 bytes has to have a token, and nothing may normalise a text: then ids give back its bytes, whatever it is.
+    """
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     of = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(own))}
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
     ids = model["model"]["vocab"]
+    if model["normalizer"] or not all(c in ids for c in of):
+        raise ValueError(f"{path}: not every text's bytes can be got back")
     out = [b""] * (max([*ids.values(), *(t["id"] for t in model["added_tokens"])]) + 1)
     for token, i in ids.items():
         out[i] = bytes(map(of.__getitem__, token)) if all(c in of for c in token) else token.encode()
@@ -88,21 +101,22 @@ class Tokenizers:
         self.a, self.b = Encoder(a, plain=True), PieceEncoder(b)
         if self.a.width != 2:
             raise ValueError(f"{a}: ids have over 2 bytes")
-        self.bytes = byte_level_bytes(a), piece_bytes(self.b.pieces)
-        self.sizes = tuple(np.array([len(x) for x in table], np.int64) for table in self.bytes)
-        n, m = map(len, self.bytes)
-        self.shown = [b"%d%c" % (i, c) for size, ends in ((n, b",|"), (m, b",;")) for c in ends for i in range(size)]
+        tables = byte_level_bytes(a), self.b.bytes
+        self.sizes = tuple(np.array([len(x) for x in table], np.int64) for table in tables)
+        n, m = map(len, tables)
+        self.shown = np.array([b"%d%c" % (i, c) for size, ends in ((n, b",|"), (m, b",;")) for c in ends for i in range(size)], "S6")
+        self.widths = np.char.str_len(self.shown)
         self.starts = 0, n, 2 * n, 2 * n + m  # in `shown`: A then `,`, A then `|`, B then `,`, B then `;`
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """A and B ids of each text; none for a text whose tokens don't give back its bytes."""
         full = [t or "" for t in texts]
-        found = [[np.frombuffer(x, "<u2") for x in ids] for ids in (self.a.encode([" " + t for t in full]), self.b.encode(full))]
+        found = [np.frombuffer(x, "<u2") for x in self.a.encode([" " + t for t in full])], [np.frombuffer(x or b"", "<u2") for x in self.b.encode(full)]
         none = np.zeros(0, "<u2")
         for k, text in enumerate(full):
-            if not text or any(b"".join(map(table.__getitem__, ids[k].tolist())) != b" " + text.encode() for table, ids in zip(self.bytes, found, strict=True)):
+            if not text or not len(found[1][k]):
                 found[0][k] = found[1][k] = none
-        return found[0], found[1]
+        return found
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,15 +130,15 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_
     some = first_a[:-1] < first_a[1:]
     at_a, at_b, last = first_a[:-1][some], first_b[:-1][some], first_a[1:][some]
     while len(at_a):
-        a, b = ends_a[at_a], ends_b[at_b]
-        cut = a == b
-        cut_a[at_a] = cut
-        cut_b[at_b] = cut
-        at_a = at_a + (a <= b)
-        at_b = at_b + (b <= a)
+        for _ in range(int((last - at_a).min())):  # before so many steps none can be through
+            a, b = ends_a[at_a], ends_b[at_b]
+            cut = a == b
+            cut_a[at_a] = cut
+            cut_b[at_b] = cut
+            at_a += a <= b
+            at_b += b <= a
         live = at_a < last
-        if not live.all():
-            at_a, at_b, last = at_a[live], at_b[live], last[live]
+        at_a, at_b, last = at_a[live], at_b[live], last[live]
     return cut_a, cut_b
 
 
@@ -201,10 +215,13 @@ def _aligned(tokens: Tokenizers, texts: list[str | None], groups: bool) -> tuple
     s = tokens.starts
     line[np.arange(len(ids_a)) + starts_b[of_a]] = ids_a + np.where(cut_a, s[1], s[0])
     line[np.arange(len(ids_b)) + starts_a[of_b + 1]] = ids_b + np.where(cut_b, s[3], s[2])
-    shown = [b"".join(map(tokens.shown.__getitem__, line[lo:hi].tolist()))[:-1] for lo, hi in zip((first_a + first_b)[:-1].tolist(), (first_a + first_b)[1:].tolist(), strict=True)]
-    out = {"n_a": n_a.tolist(), "n_b": n_b.tolist(), "n_groups": n_groups.tolist(), "n_links": n_links.tolist(), "groups_sha256": [hashlib.sha256(x).hexdigest() if x else "" for x in shown]}
+    cells = tokens.shown[line].view(np.uint8)
+    cells = cells[cells > 0]
+    ends = np.r_[0, np.cumsum(tokens.widths[line])][first_a + first_b].tolist()
+    shown = [memoryview(cells)[lo : max(lo, hi - 1)] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+    out = {"n_a": n_a.tolist(), "n_b": n_b.tolist(), "n_groups": n_groups.tolist(), "n_links": n_links.tolist(), "groups_sha256": [hashlib.sha256(x).hexdigest() if len(x) else "" for x in shown]}
     if groups:
-        out["groups"] = [x.decode() for x in shown]
+        out["groups"] = [x.tobytes().decode() for x in shown]
     return out, *_links(ids_a, ids_b, starts_a, starts_b, doc)
 
 
@@ -230,7 +247,7 @@ def _slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch,
             lo, n, some = k + 1, 0, []
 
 
-def align_tokenizers(docs: DataFrame, *, tokenizer_a: str, tokenizer_b: str, text_col: str = "text", keep: list[str] | None = None, groups: bool = False, batch_chars: int = 8 << 20, slice_chars: int = 1 << 20) -> DataFrame:
+def align_tokenizers(docs: DataFrame, *, tokenizer_a: str, tokenizer_b: str, text_col: str = "text", keep: list[str] | None = None, groups: bool = False, batch_chars: int = 8 << 20, slice_chars: int = 4 << 20) -> DataFrame:
     """The kept columns with n_a, n_b (tokens), n_groups, n_links, n_best, count_sum, groups_sha256 and, if asked for, `groups`.
 
     `tokenizer_a` is a byte-level vocabulary's file, which encodes a space and the text, `tokenizer_b` a piece model's, which
