@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinara.operators.ranges import running_sums
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -98,54 +100,45 @@ def _points(df: DataFrame, keys: tuple[str, ...], true: str, score: str) -> Data
     return df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.col(true).cast("long")).alias("p"), F.sum((1 - F.col(true)).cast("long")).alias("n"))
 
 
-def roc_curve(df: DataFrame, *keys: str, true: str = "y_true", score: str = "y_score") -> DataFrame:
+def _curve(df: DataFrame, keys: tuple[str, ...], true: str, score: str, ahead: dict[str, str] | None = None) -> DataFrame:
+    """(keys, score, p, n, tps, fps, all_p, all_n): running sums from the largest score down, and their totals."""
+    points = _points(df, keys, true, score)
+    return running_sums(points, list(keys), [F.desc("score")], {"tps": "p", "fps": "n"}, totals={"all_p": "p", "all_n": "n"}, ahead=ahead, name="curve")
+
+
+def roc_curve(df: DataFrame, *keys: str, true: str = "y_true", score: str = "y_score", corners: bool = False) -> DataFrame:
     """(keys, threshold, tps, fps, tpr, fpr) from the largest score down, with an infinite first threshold.
 
-    The running sums are over distinct scores within the keys; rows are counted before. Give scores of bounded
-    resolution (rounded) where distinct ones would be too many for a group.
+    Distinct scores are summed by ranges of the score, so a class may have any number of them. corners: without points between two others on a line, that is, only
+    those behind which either count goes on by another step, and both ends.
     """
-    points = _points(df, keys, true, score)
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    sums = points.select(*keys, F.col("score").alias("threshold"), F.sum("p").over(w).alias("tps"), F.sum("n").over(w).alias("fps"))
-    start = points.groupBy(*keys).agg(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tps"), F.lit(0).cast("long").alias("fps")).select(*keys, "threshold", "tps", "fps")
-    totals = points.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    both = sums.union(start)
-    both = both.join(totals, list(keys)) if keys else both.crossJoin(F.broadcast(totals))  # one row
+    curve = _curve(df, keys, true, score, {"next_p": "p", "next_n": "n"} if corners else None)
+    start = curve.groupBy(*keys).agg(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tps"), F.lit(0).cast("long").alias("fps"), F.first("all_p").alias("all_p"), F.first("all_n").alias("all_n"))
+    if corners:
+        curve = curve.where("next_p is null or next_p <> p or next_n <> n")
+    both = curve.withColumnRenamed("score", "threshold").select(*keys, "threshold", "tps", "fps", "all_p", "all_n").union(start.select(*keys, "threshold", "tps", "fps", "all_p", "all_n"))
     return both.select(*keys, "threshold", "tps", "fps", _ratio(F.col("tps"), F.col("all_p")).alias("tpr"), _ratio(F.col("fps"), F.col("all_n")).alias("fpr"))
 
 
-def drop_intermediate(curve: DataFrame, *keys: str) -> DataFrame:
-    """Without points between two others on a line: kept where the second difference of either count isn't zero, and both ends."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    second = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
-    return curve.withColumns({"d1": second("tps"), "d2": second("fps")}).where("d1 is null or d1 <> 0 or d2 <> 0").drop("d1", "d2")
-
-
 def roc_auc(df: DataFrame, *keys: str, true: str = "y_true", score: str = "y_score") -> DataFrame:
     """Area under the curve; null where only one outcome occurs."""
-    w = Window.partitionBy(*keys).orderBy("fpr", "tpr")
-    curve = roc_curve(df, *keys, true=true, score=score)
-    area = curve.withColumns({"f0": F.lag("fpr").over(w), "t0": F.lag("tpr").over(w)})
-    d = area.groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"), F.max("tps").alias("positives"), F.max("fps").alias("negatives"))
-    return d.select(*keys, F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.round("auc", 6)).alias("auc"), "positives", "negatives")
+    part = F.col("n") / F.col("all_n") * (2 * F.col("tps") - F.col("p")) / F.col("all_p") / 2  # a trapezoid
+    d = _curve(df, keys, true, score).groupBy(*keys).agg(F.sum(F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), part)).alias("auc"), F.max("tps").alias("positives"), F.max("fps").alias("negatives"))
+    return d.select(*keys, F.round("auc", 6).alias("auc"), "positives", "negatives")
 
 
 def rank_auc(df: DataFrame, *keys: str, true: str = "y_true", score: str = "y_score") -> DataFrame:
     """The same area from ranks (average ranks for ties)."""
-    points = _points(df, keys, true, score)
-    w = Window.partitionBy(*keys).orderBy("score")
     both = F.col("p") + F.col("n")
-    rank = F.sum(both).over(w) - (both - 1) / 2.0
-    d = points.withColumn("rank", rank).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
+    rank = F.col("all_p") + F.col("all_n") - F.col("tps") - F.col("fps") + both - (both - 1) / 2.0  # from the smallest score up
+    d = _curve(df, keys, true, score).groupBy(*keys).agg(F.sum(rank * F.col("p")).alias("r"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
     return d.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("n"), F.lit(0.0)), 6)).alias("auc"))
 
 
 def average_precision(df: DataFrame, *keys: str, true: str = "y_true", score: str = "y_score") -> DataFrame:
     """Sum of precision times the step in recall, from the largest score down."""
-    curve = precision_recall_curve(df, *keys, true=true, score=score)
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    return curve.withColumn("part", step * F.col("precision")).groupBy(*keys).agg(F.round(F.sum("part"), 6).alias("average_precision"))
+    part = _ratio(F.col("p"), F.col("all_p")) * _ratio(F.col("tps"), F.col("tps") + F.col("fps"))
+    return _curve(df, keys, true, score).groupBy(*keys).agg(F.round(F.sum(part), 6).alias("average_precision"))
 
 
 def precision_recall_curve(df: DataFrame, *keys: str, true: str = "y_true", score: str = "y_score") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.operators.evaluation import drop_intermediate, roc_curve
+from opinara.operators.evaluation import roc_curve
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -72,10 +72,8 @@ def calibrate_thresholds(df: DataFrame, mode: str = "equal_opportunity", *, attr
     """
     hit = F.col(score) >= 0.5
     goal = df.agg(_ratio(F.count_if(hit & (F.col(true) == 1)), F.count_if(F.col(true) == 1)).alias("goal_tpr"), _ratio(F.count_if(hit & (F.col(true) == 0)), F.count_if(F.col(true) == 0)).alias("goal_fpr"))
-    curve = roc_curve(df, attr, true=true, score=score)
+    curve = roc_curve(df, attr, true=true, score=score, corners=drop)
     positives = curve.groupBy(attr).agg(F.max("tps").alias("positives"))
-    if drop:
-        curve = drop_intermediate(curve, attr)
     curve = curve.crossJoin(F.broadcast(goal)).join(positives, attr)  # one row
     by_tpr, by_fpr = F.col("tpr") - F.col("goal_tpr"), F.col("fpr") - F.col("goal_fpr")
     distance = F.abs(by_tpr) if mode == "equal_opportunity" else F.sqrt(by_tpr * by_tpr + by_fpr * by_fpr)

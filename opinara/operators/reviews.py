@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.text import derive_overall_sentiment, sanitize_search
 from opinara.functions.vocab import POLARITIES
+from opinara.operators import ranges
 
 
 def list_reviews(df: DataFrame, *, user_id=None, product_name: str | None = None, sentiment: str | None = None, min_rating: int | None = None, max_rating: int | None = None, search: str | None = None) -> DataFrame:
@@ -117,15 +118,22 @@ def sort_products(products: DataFrame, by: str = "last_created", descending: boo
     return products.orderBy(c.desc_nulls_first() if descending else c.asc_nulls_last(), "product_name")
 
 
+def _review_order(by: str, descending: bool) -> list[Column]:
+    c = F.col(by if by in ("created_at", "rating", "sentiment_score", "review_date") else "created_at")
+    return [c.desc_nulls_first() if descending else c.asc_nulls_last(), F.asc("id")]
+
+
 def sort_reviews(df: DataFrame, by: str = "created_at", descending: bool = True) -> DataFrame:
     """Nulls first in descending order and last in ascending order; ties by id."""
-    c = F.col(by if by in ("created_at", "rating", "sentiment_score", "review_date") else "created_at")
-    return df.orderBy(c.desc_nulls_first() if descending else c.asc_nulls_last(), "id")
+    return df.orderBy(*_review_order(by, descending))
+
 
+def page(df: DataFrame, skip: int, limit: int, by: str = "created_at", descending: bool = True) -> DataFrame:
+    """A page of the reviews in the order of sort_reviews; page number skip // limit + 1.
 
-def page(df: DataFrame, skip: int, limit: int) -> DataFrame:
-    """A page of a table in total order; page number skip // limit + 1."""
-    return df.offset(skip).limit(limit).withColumn("page", F.lit(skip // limit + 1))
+    However far behind it lies, only the range of the order that holds the page is sorted.
+    """
+    return ranges.page(df, _review_order(by, descending), skip, limit).withColumn("page", F.lit(skip // limit + 1))
 
 
 def top_reviews(df: DataFrame, k: int = 10, sentiment: str | None = None, min_rating: int | None = None) -> DataFrame:

@@ -198,7 +198,7 @@ def _(spark, sf):
 
 @C.query("srt3_page", f"{RV} SELECT id, review_date, 5 AS page FROM reviews ORDER BY review_date ASC NULLS LAST, id LIMIT 20 OFFSET 80")
 def _(spark, sf):
-    return R.page(R.sort_reviews(rv(spark, sf), "review_date", descending=False), 80, 20).select("id", "review_date", "page")
+    return R.page(rv(spark, sf).select("id", "review_date"), 80, 20, "review_date", descending=False).select("id", "review_date", "page")
 
 
 @C.query("srt4_jobs_by_time", f"WITH {A.JOB_UPDATES} SELECT event_id, job_id, ts FROM job_updates ORDER BY ts DESC, event_id")

@@ -167,7 +167,7 @@ def test_null_order_and_pages(spark):
     df = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.9)], "id int, sentiment_score double")
     assert [r.id for r in R.sort_reviews(df, "sentiment_score").collect()] == [2, 3, 1]
     assert [r.id for r in R.sort_reviews(df, "sentiment_score", descending=False).collect()] == [1, 3, 2]
-    got = R.page(R.sort_reviews(df, "sentiment_score"), 1, 1).collect()
+    got = R.page(df, 1, 1, "sentiment_score").collect()
     assert [(r.id, r.page) for r in got] == [(3, 2)]
 
 
