@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.text import content_hash, sanitize_html
 from opinara.functions.vocab import DOMAINS, MARKUP_PATTERNS, NON_TECHNICAL, SQL_PATTERNS, URL_PATTERN
+from opinara.operators import hash_log
 
 
 def label_corpus(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -96,36 +97,31 @@ def new_reviews(batch: DataFrame, stored: DataFrame, order: str) -> DataFrame:
     return fresh.join(first, ["content_hash", order], "left_semi")
 
 
-def ingest_reviews(batch: DataFrame, store: str, *, order: str, score: Callable[[DataFrame], DataFrame] | None = None, digits: int = 2) -> dict[str, int]:
+def ingest_reviews(batch: DataFrame, store: str, *, order: str, score: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
     """Hashes a batch, drops what the store (a Parquet folder) has or the batch repeats, scores the rest and appends it.
 
-    Duplicates count over all users. Running a batch again stores nothing. The store is partitioned by the first `digits`
-    digits of the hash: a batch reads the hashes of the partitions that it can be in, and no other. What is created is
-    counted before it is written, so another writer's rows don't count.
+    Duplicates count over all users. Running a batch again stores nothing. What the store has is looked up in its log of hashes (see
+    hash_log), so what is read for a batch grows with the batch and not with the store.
     """
     spark = batch.sparkSession
-    hashed = with_hash(batch).withColumn("hash_prefix", F.concat(F.lit("h"), F.left("content_hash", F.lit(digits)))).persist()  # hashed once
-    per_prefix = hashed.groupBy("hash_prefix").count().collect()  # 16 ** digits rows at most
-    scraped = sum(r["count"] for r in per_prefix)
-    fresh = new_reviews(hashed, stored_hashes(spark, store, [r.hash_prefix for r in per_prefix]), order)
-    fresh = (score(fresh) if score else fresh).persist()
-    created = fresh.count()
-    if created:
-        fresh.repartition("hash_prefix").write.mode("append").partitionBy("hash_prefix").parquet(store)
-    fresh.unpersist()
-    hashed.unpersist()
-    return {"scraped": scraped, "created": created, "duplicates": scraped - created}
-
-
-def stored_hashes(spark: SparkSession, store: str, prefixes: list[str]) -> DataFrame:
-    """(content_hash) of the store's partitions with these prefixes; none before the store's first batch."""
+    hash_log.recover(spark, store)
+    hashed = with_hash(batch).persist()  # hashed once
+    fresh = None
     try:
-        stored = spark.read.parquet(store)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return spark.createDataFrame([], "content_hash string")
-    return stored.where(F.col("hash_prefix").isin(prefixes)).select("content_hash")
+        scraped = hashed.count()
+        known = hash_log.found(hashed.select("content_hash").distinct(), store)
+        fresh = new_reviews(hashed, known, order)
+        fresh = (score(fresh) if score else fresh).persist()
+        created = fresh.count()
+        if created:
+            run = hash_log.prepare(spark, store, fresh.select("content_hash"), created)
+            fresh.write.mode("append").parquet(store)
+            hash_log.commit(spark, store, run)
+    finally:
+        hashed.unpersist()
+        if fresh is not None:
+            fresh.unpersist()
+    return {"scraped": scraped, "created": created, "duplicates": scraped - created}
 
 
 def first_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:

@@ -200,8 +200,10 @@ def _(spark, sf):
 SELECT min(doc_id) AS doc_id, h AS content_hash FROM hashed WHERE doc_id % 4 <> 0 AND h NOT IN (SELECT h FROM stored) GROUP BY h""")
 def _(spark, sf):
     d = docs(spark, sf, "lang", "text").select("doc_id", F.col("lang").alias("product_name"), F.col("text").alias("review_text"), F.lit(None).cast("date").alias("review_date"))
-    stored = I.with_hash(d.where("doc_id % 4 = 0")).select("content_hash")
-    return I.new_reviews(I.with_hash(d.where("doc_id % 4 <> 0")), stored, order="doc_id").select("doc_id", "content_hash")
+    store = L.shared_path(spark, "store")
+    for batch in ("doc_id % 4 = 0", "doc_id % 4 <> 0"):
+        I.ingest_reviews(d.where(batch), store, order="doc_id")
+    return spark.read.parquet(store).where("doc_id % 4 <> 0").select("doc_id", "content_hash")
 
 
 @C.query("jn5_dedupe_against_store", """WITH hashed AS (SELECT doc_id, sha256(lower(lang) || '|' || lower(trim(text, ' ' || chr(9) || chr(10) || chr(13)))) AS h FROM documents)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.functions.vocab import ASPECT_NAMES
+from opinara.operators import hash_log
 from opinara.operators import ingest as I
 from opinara.operators import models as M
 from opinara.plans import registry
@@ -113,12 +114,64 @@ def test_deeply_nested_pages_are_read(spark):
     assert [(r.page_id, r.product_name, r.review_text) for r in rows] == [(1, "Phone", "a review that is long enough to be one")]
 
 
-def test_a_batch_reads_only_the_partitions_of_its_hashes(spark, tmp_path):
+@pytest.fixture
+def small_cells(monkeypatch):
+    monkeypatch.setattr(hash_log, "CELL", 16)
+
+
+def numbered(spark, lo, hi):
+    return spark.range(lo, hi).selectExpr("id as n", "'A' as product_name", "concat('text ', id) as review_text", "cast(null as timestamp) as review_date")
+
+
+def files_read(hashes, store):
+    return sum(len(part.inputFiles()) for run in hash_log.runs(hashes.sparkSession, store) if (part := hash_log._read(hashes, run)) is not None)
+
+
+def test_files_read_grow_with_the_batch_and_not_with_the_store(spark, tmp_path, small_cells):
+    few, many = f"{tmp_path}/few", f"{tmp_path}/many"
+    assert I.ingest_reviews(numbered(spark, 0, 400), few, order="n")["created"] == 400
+    assert I.ingest_reviews(numbered(spark, 0, 12_000), many, order="n")["created"] == 12_000
+    of = lambda n: I.with_hash(numbered(spark, 0, n)).select("content_hash").distinct()
+    assert files_read(of(5), few) <= 5 and files_read(of(5), many) <= 5
+    assert 5 < files_read(of(40), many) <= 40
+    assert hash_log.found(of(40), many).count() == 40
+    assert hash_log.found(I.with_hash(numbered(spark, 20_000, 20_040)).select("content_hash"), many).count() == 0
+
+
+def test_runs_are_merged_and_nothing_is_stored_twice(spark, tmp_path, small_cells):
+    store = f"{tmp_path}/store"
+    for k in range(9):
+        assert I.ingest_reviews(numbered(spark, 10 * k, 10 * k + 20), store, order="n") == {"scraped": 20, "created": 20 if k == 0 else 10, "duplicates": 0 if k == 0 else 10}
+    assert [(r.first, r.last) for r in hash_log.runs(spark, store)] == [(1, 8), (9, 9)]
+    assert sorted(r.n for r in spark.read.parquet(store).collect()) == list(range(100))
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_a_batch_that_broke_off_is_taken_up_again(spark, tmp_path, monkeypatch, stored):
     store = f"{tmp_path}/store"
-    df = spark.range(400).selectExpr("id as n", "'A' as product_name", "concat('text ', id) as review_text", "cast(null as timestamp) as review_date")
-    assert I.ingest_reviews(df, store, order="n")["created"] == 400
-    one = I.with_hash(df.where("n = 7")).first().content_hash
-    plan = I.stored_hashes(spark, store, [f"h{one[:2]}"])._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(hash_prefix" in plan and "ReadSchema: struct<content_hash:string>" in plan
-    assert I.stored_hashes(spark, store, [f"h{one[:2]}"]).count() < 30
-    assert I.ingest_reviews(df.where("n < 9"), store, order="n") == {"scraped": 9, "created": 0, "duplicates": 9}
+    I.ingest_reviews(numbered(spark, 0, 10), store, order="n")
+
+    def lost(*_):
+        raise RuntimeError("the driver is lost")
+
+    with monkeypatch.context() as m:
+        if stored:
+            m.setattr(hash_log, "commit", lost)
+            score = None
+        else:
+            true = hash_log.prepare
+            m.setattr(hash_log, "prepare", lambda *a: (true(*a), lost()))
+            score = None
+        with pytest.raises(RuntimeError):
+            I.ingest_reviews(numbered(spark, 5, 20), store, order="n", score=score)
+    assert I.ingest_reviews(numbered(spark, 5, 20), store, order="n")["created"] == (0 if stored else 10)
+    assert sorted(r.n for r in spark.read.parquet(store).collect()) == list(range(20))
+
+
+def test_a_failing_scorer_leaves_nothing_cached(spark, tmp_path):
+    def score(df):
+        raise ValueError("no model")
+
+    with pytest.raises(ValueError, match="no model"):
+        I.ingest_reviews(numbered(spark, 0, 5), f"{tmp_path}/store", order="n", score=score)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
