@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Normalizer, UnivariateFeatureSelector, VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from opinara.functions.text import derive_overall_sentiment, ngrams
 from opinara.operators.features import words
 
 
+#: Between the words or grams of a row that goes to an external model.
+_BETWEEN = "\n"
+
+
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, weight): n / (k n_class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -85,6 +91,67 @@ def score(model: PipelineModel, df: DataFrame, name: str, labels: Sequence[str]
     return out.withColumns({"predicted_label": F.element_at(F.array(*(F.lit(x) for x in labels)), (F.col("prediction") + 1).cast("int")), "confidence": F.array_max("p"), "prob_negative": F.col("p")[0], "prob_positive": F.col("p")[1], "model_used": F.lit(name)}).drop("p")
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Writes a fitted pipeline, in place of what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def score_external(df: DataFrame, column: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], name: str, labels: Sequence[str] = ("negative", "positive"), *, batch_size: int = 256) -> DataFrame:
+    """The columns of `score`, by a model from outside of Spark.
+
+    `load` is called once in each Python worker and returns a function from a batch of the column's values to an array of
+    shape (values, labels) of probabilities. Values are text, numbers or arrays of numbers; an array of words or grams comes as one text, a
+    newline between them. Batches have `batch_size` rows and come by Arrow. Null values are not scored: their label and probabilities are null.
+    """
+
+    def make():
+        model = load()
+        return lambda values: np.asarray(model(values), dtype=np.float64)
+
+    words_ = dict(df.dtypes)[column] == "array<string>"
+    value = F.array_join(column, _BETWEEN, "") if words_ else F.col(column)
+    known = F.col(column).isNotNull()
+    default = {"string": F.lit("")}.get("string" if words_ else dict(df.dtypes)[column], F.col(column))
+    out = df.withColumn("p", F.when(known, predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size)(F.coalesce(value, default))))
+    best = F.array_position("p", F.array_max("p")).cast("int")
+    label = F.when(F.col("p").isNotNull(), F.element_at(F.array(*(F.lit(x) for x in labels)), best))
+    return out.withColumns({"predicted_label": label, "confidence": F.array_max("p"), "prob_negative": F.col("p")[0], "prob_positive": F.col("p")[1], "model_used": F.lit(name)}).drop("p")
+
+
+def word_weights(df: DataFrame, label: str, grams: str = "grams", size: int = 1 << 14) -> DataFrame:
+    """(gram, weight): the log odds of the label for the `size` grams in most documents, by document counts with one added to each."""
+    rows = df.select(F.explode(F.array_distinct(grams)).alias("gram"), F.col(label).alias("y"))
+    counts = rows.groupBy("gram").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).orderBy(F.desc(F.col("p") + F.col("n")), "gram").limit(size)
+    total = df.agg(F.count_if(F.col(label) == 1).alias("all_p"), F.count_if(F.col(label) == 0).alias("all_n"))
+    return counts.crossJoin(F.broadcast(total)).select("gram", F.log((F.col("p") + 1) / (F.col("all_p") + 2) / ((F.col("n") + 1) / (F.col("all_n") + 2))).alias("weight"))  # one row
+
+
+class WordWeights:
+    """A scorer for score_external: called, it loads a written table of word_weights, and scores rows of grams."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self) -> Callable[[np.ndarray], np.ndarray]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.path) if ":/" in self.path else (fs.LocalFileSystem(), self.path)
+        table = pq.read_table(path, filesystem=system).to_pydict()
+        weights = dict(zip(table["gram"], table["weight"], strict=True))
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            margin = np.array([sum(weights.get(g, 0.0) for g in set(t.split(_BETWEEN))) for t in texts])
+            positive = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+            return np.stack([1 - positive, positive], axis=1)
+
+        return predict
+
+
 def aspect_baselines(pairs: DataFrame, aspects: Sequence[str], *, kind: str = "logistic", label: str = "label_id", features: list | None = None, iterations: int = 20) -> dict[str, PipelineModel]:
     """One four-class model per aspect, rows weighted so that classes count alike. pairs: aspect, label, grams."""
     models = {}

@@ -196,7 +196,16 @@ def _(spark, sf):
 def _(spark, sf):
     train, _ = halves(labelled(spark, sf))
     model, _ = M.grid_search(train, train, "logistic", [{"C": 1.0}])
-    return M.score(model, M.with_grams(A.table(spark, sf, "documents").select("doc_id", "text"), "text"), "lr").select(SCORED)
+    M.save_model(model, path := L.shared_path(spark, "model"))
+    return M.score(M.load_model(path), M.with_grams(A.table(spark, sf, "documents").select("doc_id", "text"), "text"), "lr").select(SCORED)
+
+
+@C.query("mdl6_external_scorer")
+def _(spark, sf):
+    train, _ = halves(labelled(spark, sf))
+    M.word_weights(train, "label").write.parquet(path := L.shared_path(spark, "weights"))
+    docs = M.with_grams(A.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return M.score_external(docs, "grams", M.WordWeights(path), "word-weights").select(SCORED)
 
 
 @C.query("mdl7_grid_results")
@@ -258,7 +267,18 @@ def _(spark, sf):
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@C.query("st4_rate_limit_stream")
+#: Event by event of every user: the admitted times of the last six hours, three at most.
+ADMITTED = """WITH RECURSIVE numbered AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+judged(user_id, event_id, k, admitted, recent) AS (
+  SELECT user_id, event_id, k, true, [us] FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT n.user_id, n.event_id, n.k, len(list_filter(j.recent, lambda x: x > n.us - 21600000000)) < 3,
+    CASE WHEN len(list_filter(j.recent, lambda x: x > n.us - 21600000000)) < 3 THEN list_append(list_filter(j.recent, lambda x: x > n.us - 21600000000), n.us) ELSE j.recent END
+  FROM judged j JOIN numbered n ON n.user_id = j.user_id AND n.k = j.k + 1)
+SELECT user_id, event_id, admitted FROM judged"""
+
+
+@C.query("st4_rate_limit_stream", ADMITTED)
 def _(spark, sf):
     return J.run_available(J.admitted_stream(review_stream(spark, sf), "user_id", ORDER, 21600, 3), "append")
 
@@ -268,7 +288,7 @@ def _(spark, sf):
     return J.request_rate(A.table(spark, sf, "events"), "user_id", "ts", 21600, 3).select("event_id", "recent", "flagged")
 
 
-@C.query("win7_admitted")
+@C.query("win7_admitted", ADMITTED)
 def _(spark, sf):
     return J.admitted(A.table(spark, sf, "events"), "user_id", "ts", ORDER, 21600, 3).select("user_id", "event_id", "admitted")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opinara.operators.ingest import ingest_reviews
+from opinara.operators.ranges import running_sums
 from opinara.sources.files import shared_path
 
 TERMINAL = ["completed", "failed", "cancelled"]
@@ -64,13 +65,18 @@ def latest_status(updates: DataFrame, job: str = "job_id", time: str = "ts", ord
     return live.groupBy(job).agg(F.max_by("status", F.struct(time, order)).alias("status"), F.max(time).alias(time), F.count(F.lit(1)).alias("updates"))
 
 
-def latest_status_stream(stream: DataFrame) -> DataFrame:
+def latest_status_stream(stream: DataFrame, delay: str = "60 days", keep_hours: int = 24) -> DataFrame:
     """The same as a stream of (job_id, event_id, status, ts): state per job is its latest update, and whether it has ended.
 
-    Updates of one micro-batch are put in order; those that come in a later batch than a terminal one are ignored.
+    Updates of one micro-batch are put in order; those that come in a later batch than a terminal one are ignored, as long as
+    the job is remembered: state goes when the watermark, `delay` behind the newest update, has passed the job's latest one by `keep_hours`.
+    Updates later than the watermark are dropped.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         status, at, n, ended = state.get if state.exists else (None, None, 0, False)
         pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         for row in pdf.itertuples():
@@ -79,9 +85,10 @@ def latest_status_stream(stream: DataFrame) -> DataFrame:
             status, at, n = row.status, row.ts, n + 1
             ended = status in TERMINAL
         state.update((status, at, n, ended))
+        state.setTimeoutTimestamp(max(int(pdf["ts"].max().timestamp() * 1000) + keep_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "ts": [at], "updates": [n]})
 
-    return stream.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, ts timestamp, updates long", "status string, ts timestamp, updates long, ended boolean", "update", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, ts timestamp, updates long", "status string, ts timestamp, updates long, ended boolean", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def job_transitions(updates: DataFrame, job: str = "job_id", time: str = "ts", order: str = "event_id") -> DataFrame:
@@ -107,18 +114,30 @@ def request_rate(events: DataFrame, key: str, time: str, seconds: int, limit: in
     return events.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("flagged", F.col("recent") > limit)
 
 
+def pieces(events: DataFrame, key: str, time: str, order: str, seconds: int) -> DataFrame:
+    """The events with `at` (microseconds) and `piece`: the key's gaps of `seconds` or more before them are counted.
+
+    What stands before an event, and how many gaps do, is found by ranges of (key, time), so no key is one task.
+    """
+    rows = events.withColumn("at", F.unix_micros(F.col(time).cast("timestamp")))
+    rows = running_sums(rows, [key], [F.desc("at"), F.desc(order)], {}, ahead={"before": "at"}, name="gaps")
+    gap = F.coalesce(F.col("at") - F.col("before") >= seconds * 1_000_000, F.lit(False)).cast("long")
+    return running_sums(rows.withColumn("gap", gap).drop("before"), [key], [F.asc("at"), F.asc(order)], {"piece": "gap"}, name="pieces").drop("gap")
+
+
 def admitted(events: DataFrame, key: str, time: str, order: str, seconds: int, limit: int) -> DataFrame:
     """(key, time, order, admitted): an event is refused if `limit` admitted ones lie in the last `seconds`; refused ones don't count.
 
-    Each key is one pass in order of time. Keys are sorted within partitions and read as a stream, with `limit` times kept:
-    a key with very many events takes time, but no memory.
+    Where a key has no event for `seconds`, nothing is left to remember: there its history is cut, and the pieces are judged
+    apart, so a key of many events is spread over tasks. Pieces are sorted within partitions and read as a stream, with `limit` times kept: one
+    without such a gap takes time, but no memory.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, recent = object(), deque()
         for pdf in frames:
             flags = []
-            for k, at in zip(pdf[key], pdf["at"], strict=True):
+            for k, at in zip(zip(pdf[key], pdf["piece"], strict=True), pdf["at"], strict=True):
                 if k != current:
                     current, recent = k, deque()
                 while recent and recent[0] <= at - seconds * 1_000_000:
@@ -126,17 +145,24 @@ def admitted(events: DataFrame, key: str, time: str, order: str, seconds: int, l
                 flags.append(len(recent) < limit)
                 if flags[-1]:
                     recent.append(at)
-            yield pdf.drop(columns="at").assign(admitted=flags)
+            yield pdf.drop(columns=["at", "piece"]).assign(admitted=flags)
 
-    rows = events.select(key, time, order, F.unix_micros(F.col(time).cast("timestamp")).alias("at")).repartition(key).sortWithinPartitions(key, "at", order)
+    rows = pieces(events.select(key, time, order), key, time, order, seconds).repartition(key, "piece").sortWithinPartitions(key, "piece", "at", order)
     kinds = dict(events.dtypes)
     return rows.mapInPandas(run, f"{key} {kinds[key]}, {time} {kinds[time]}, {order} {kinds[order]}, admitted boolean")
 
 
-def admitted_stream(stream: DataFrame, key: str, order: str, seconds: int, limit: int) -> DataFrame:
-    """The same as a stream with a column ts: state per key is the admitted times of the last `seconds`, `limit` at most."""
+def admitted_stream(stream: DataFrame, key: str, order: str, seconds: int, limit: int, delay: str = "60 days") -> DataFrame:
+    """The same as a stream with a column ts: state per key is the admitted times of the last `seconds`, `limit` at most.
+
+    State goes when the watermark, `delay` behind the newest event, has passed its last admitted time by `seconds`: a key that stays away
+    costs nothing. Events later than the watermark are dropped. Of a key, a micro-batch's times are put in order together, 16 bytes each; the source's limit on files bounds them.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = deque(state.get[0]) if state.exists else deque()
         pdf = pd.concat(list(frames)).sort_values(["at", order])
         flags = []
@@ -147,10 +173,11 @@ def admitted_stream(stream: DataFrame, key: str, order: str, seconds: int, limit
             if flags[-1]:
                 recent.append(int(at))
         state.update((list(recent),))
+        state.setTimeoutTimestamp(max((recent[-1] if recent else int(at)) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], order: pdf[order], "admitted": flags})
 
-    rows = stream.select(key, order, F.unix_micros("ts").alias("at"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, admitted boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark("ts", delay).select(key, order, "ts", F.unix_micros("ts").alias("at"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, admitted boolean", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_metrics(stream: DataFrame, time: str, delay: str, length: str = "1 day") -> DataFrame:

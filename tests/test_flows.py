@@ -1,8 +1,11 @@
 """Ingest, checkpoints, models and streams."""
 
+import os
+import random
 from collections import deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +90,65 @@ def test_admission(spark):
     assert got == want
 
 
+def test_a_hot_key_is_admitted_in_many_tasks(spark):
+    t, rng = datetime(2024, 1, 1), random.Random(4)
+    at, rows = t, []
+    for n in range(3000):  # bursts, with gaps between
+        at += timedelta(seconds=rng.choice([1, 2, 20, 59, 60, 61, 400]))
+        rows.append((1 if n % 3 else n, at, n))
+    rows += [(None, t, 5000), (None, t + timedelta(seconds=59), 5001), (2, t, 5002), (2, t, 5003), (2, t, 5004)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long")
+    cut = J.pieces(df, "user_id", "ts", "event_id", 60)
+    assert cut.where("user_id = 1").select("piece").distinct().count() > 100
+    got = J.admitted(df, "user_id", "ts", "event_id", 60, 2)
+    assert {r.event_id: r.admitted for r in got.collect()} == expected_admission([(-1 if u is None else u, at, n) for u, at, n in rows], 60, 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert got.where("user_id = 1").groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_state_of_keys_that_stay_away_goes(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    for day, users in enumerate(([1, 2, 3], [4], [4], [4])):
+        spark.createDataFrame([(u, 10 * day + u, "pending", t + timedelta(days=day)) for u in users], "user_id long, event_id long, status string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{day}")
+    left = {}
+    for name, make in (("admitted", lambda s: J.admitted_stream(s, "user_id", "event_id", 60, 2, delay="1 second")), ("status", lambda s: J.latest_status_stream(s.withColumnRenamed("user_id", "job_id"), delay="1 second", keep_hours=1))):
+        stream = spark.readStream.schema("user_id long, event_id long, status string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        query = make(stream).writeStream.outputMode("append" if name == "admitted" else "update").format("noop").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        left[name] = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert all(max(x) >= 3 and x[-1] <= 1 for x in left.values())
+
+
+def test_external_models_are_loaded_once_in_each_worker(spark, tmp_path):
+    def load():
+        with open(f"{tmp_path}/loads-{os.getpid()}", "a") as f:
+            f.write("x")
+        return lambda texts: np.array([[0.25, 0.75] if "good" in t else [1.0, 0.0] for t in texts])
+
+    df = spark.range(4000).selectExpr("id", "case when id % 7 = 0 then null when id % 2 = 0 then 'a good one' else 'bad' end as text").repartition(4)
+    out = M.score_external(df, "text", load, "outside", batch_size=16)
+    assert {(r.predicted_label, r.confidence, r.prob_positive, r.model_used) for r in out.collect()} == {("positive", 0.75, 0.75, "outside"), ("negative", 1.0, 0.0, "outside"), (None, None, None, "outside")}
+    assert out.where("text is null and predicted_label is not null").count() == 0
+    assert all(len(p.read_text()) <= 2 for p in tmp_path.glob("loads-*"))  # once for each of the two runs
+
+
+def test_a_loaded_model_scores_as_the_saved_one(spark, tmp_path):
+    rows = [(i, "good fine nice " * (1 + i % 3) if i % 2 else "bad poor awful " * (1 + i % 3), float(i % 2)) for i in range(60)]
+    df = M.with_grams(spark.createDataFrame(rows, "doc_id long, text string, label double"), "text").coalesce(1)
+    model, _ = M.grid_search(df, df, "svm", [{"C": 1.0}], features=M.text_features(64), iterations=5)
+    model = M.calibrated(model, df)
+    M.save_model(model, f"{tmp_path}/m")
+    M.save_model(model, f"{tmp_path}/m")
+    first, again = (sorted(map(str, M.score(m, df, "svm").collect())) for m in (model, M.load_model(f"{tmp_path}/m")))
+    assert first == again
+    M.word_weights(df, "label").write.parquet(f"{tmp_path}/w")
+    out = M.score_external(df, "grams", M.WordWeights(f"{tmp_path}/w"), "w")
+    assert out.where((F.col("predicted_label") == "positive") == (F.col("label") == 1)).count() == 60
+
+
 def test_dedupe_stream_keeps_one_of_each(spark):
     e = spark.read.parquet(f"{SF}/events.parquet")
     assert registry.QUERIES["st2_dedupe_stream"](spark, SF).count() == e.select("user_id", "event_type").distinct().count()
