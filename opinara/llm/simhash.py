@@ -152,14 +152,37 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of rows (u, root, s: distinct hashes) all pairs of different roots whose sets can be as similar as asked for.
+
+    Hashes are ordered by how many sets hold them, the rarest first. Of two similar sets, the smaller one's first hashes (so many that the
+    others are too few, if the larger one is as small) and the larger one's (so many that the others are too few for any) share one. Hashes that stand
+    in sets of one root only are left out before the join. What members of a crowd have in common is frequent, so it is behind these first ones unless they
+    are similar. Lengths and the places of the shared hash bound the rest.
+    """
+    rows = members.select("u", "root", F.size("s").alias("size"), F.explode("s").alias("h"))
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    line = rows.join(counts, "h").groupBy("u", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("line"))  # a text's hashes
+    beyond = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9).cast("int") + 1
+    first = written(line.select("u", "root", "size", beyond(2 * similarity / (1 + similarity)).alias("few"), F.posexplode(F.slice("line", F.lit(1), F.greatest(F.lit(1), beyond(similarity)))).alias("place", "x")).select("u", "root", "size", "few", "place", F.col("x.h").alias("h")), "rare")
+    shared = first.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    first = first.join(shared, "h", "left_semi")
+    a, b = (first.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("u", "root", "size", "few", "place"))) for x in "ab")
+    smaller = F.struct("size_a", "u_a") < F.struct("size_b", "u_b")
+    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    both = a.where("place_a < few_a").join(b, "h").where(smaller & (F.col("root_a") != F.col("root_b")) & (F.col("size_a") >= similarity * F.col("size_b") - 1e-9) & (rest >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-9))
+    return both.select(*_pair("u_a", "u_b")).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprints: int = 3, fingerprint_shingle: int = 2, radius: int = 4, seed: int = 42, pair_limit: int = 64, keep: list[str] | None = None) -> DataFrame:
     """Every document with component_id: the smallest id that links reach.
 
     Two texts link if they have the same words, or if the sets of their shingles of `shingle` words have a Jaccard
     similarity of `similarity` or more, computed over their 64-bit hashes, and covering LSH brings them together: they share a bucket of one of
     `fingerprints` SimHashes over shingles of `fingerprint_shingle` words, which is certain within `radius` bits and likely
-    some bits beyond. In a bucket each member is compared with the smallest one; then, in buckets of up to `pair_limit` members, with every
-    other that it is not yet linked to over some links, in larger ones with two. So links are exact, and which are found is not certain for texts of a similarity near the least.
+    some bits beyond. A text is compared with the smallest one of its buckets; then, in buckets of up to `pair_limit` members, with every
+    other that it is not yet linked to over some links. In larger ones a similarity join over rarest shingles finds all that
+    are similar and not yet linked, so no bucket's size costs a link. Links are exact, and which are found is not certain for texts of a similarity near the least, as SimHash may not bring them together.
 
     Words are as in op8: A-Z lower, six ASCII spaces between. Null texts and texts without words are equal. Repeated rows
     link. A null id is larger than any other; component_id is null if no id in its component isn't. Other columns are
@@ -184,7 +207,6 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     marked_ = written(base.mapInArrow(mark, T.StructType([*base.schema.fields[:2], T.StructField("same", T.BinaryType()), T.StructField("fps", T.ArrayType(T.LongType()))])), "fingerprints")
     points = written(marked_.groupBy("same").agg(F.min("row").alias("u"), F.min("id").alias("least"), F.first("fps").alias("fps")), "points")
     buckets = _buckets(points.select("u", "fps"), radius)
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 4 * radius
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
@@ -202,23 +224,25 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         both = F.size(F.array_intersect("s_a", "s_b"))
         return written(pairs.distinct().join(x, "a").join(y, "b").where(both >= similarity * (F.size("s_a") + F.size("s_b") - both)).select("a", "b"), "links")
 
-    # first each member with its bucket's smallest, a fingerprint after the other; then pairs that these links have not
-    # brought together. What earlier links have joined needs no further pair
-    links, roots = None, None
+    # first each text with the smallest one of all its buckets, so that large groups are joined by as many pairs as texts; then
+    # pairs of small buckets that these links have not brought together, and in crowds each member with three others; then what
+    # is still apart in a crowd, by its rarest shingles
     root = lambda df, u, name: df.join(roots.select(F.col("node").alias(u), F.col("root").alias(name)), u, "left").withColumn(name, F.coalesce(name, u))
-    for t in range(fingerprints):
-        stars = buckets.where((F.col("t") == t) & (F.col("u") != F.col("first.u")) & near("fp", "first.fp")).select("u", F.col("first.u").alias("c"))
-        if roots is not None:
-            stars = root(root(stars, "u", "root"), "c", "other").where("root <> other")
-        found = linked(stars.select(*_pair("u", "c")))
-        links = found if links is None else links.union(found)
-        roots = connected_components(links)
-    left = written(root(buckets.select("k", "u", "fp", "n", "second", "third"), "u", "root"), "buckets")
-    x, y = (left.where(F.col("n") <= pair_limit).select("k", F.col("u").alias(i), F.col("fp").alias(f"fp_{i}"), F.col("root").alias(f"root_{i}")) for i in "ab")
-    pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near("fp_a", "fp_b")).select("a", "b")
-    crowds = root(left.where(F.col("n") > pair_limit).select("u", "root", F.explode(F.array("second", "third")).alias("c")), "c", "other").where(F.col("root") != F.col("other"))
+    links = linked(buckets.groupBy("u").agg(F.min("first.u").alias("c")).where("u <> c").select(*_pair("u", "c")))
+    roots = connected_components(links)
+    left = written(root(buckets.select("k", "u", "n", F.col("first.u").alias("first"), "second", "third"), "u", "root"), "buckets")
+    x, y = (left.where(F.col("n") <= pair_limit).select("k", F.col("u").alias(i), F.col("root").alias(f"root_{i}")) for i in "ab")
+    pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b")
+    crowds = root(left.where(F.col("n") > pair_limit).select("u", "root", F.explode(F.array("first", "second", "third")).alias("c")), "c", "other").where(F.col("root") != F.col("other"))
     links = links.union(linked(pairs.union(crowds.select(*_pair("u", "c")))))
-    roots = connected_components(links).withColumnRenamed("node", "u")
+    roots = connected_components(links)
+    apart = root(left.where(F.col("n") > pair_limit).select("k", "u"), "u", "root")
+    mixed = apart.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    members = written(apart.join(mixed, "k", "left_semi").select("u", "root").distinct(), "crowds")
+    if not members.isEmpty():
+        links = links.union(linked(_rare_pairs(members.join(sets, "u"), similarity)))
+        roots = connected_components(links)
+    roots = roots.withColumnRenamed("node", "u")
     classes = written(points.join(roots, "u", "left").select("same", "least", F.coalesce("root", "u").alias("root")), "classes")
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("same", "component_id")
     found = marked_.join(named, "same").select("row", "component_id")

@@ -137,8 +137,40 @@ def test_near_duplicates_by_shingles(spark, documents, odd_documents, no_documen
         others = [j for j, d in out.items() if d == c and j != i]
         assert not others or max(jaccard(text[i], text[j]) for j in others) >= 0.8
     some = simhash.near_duplicate_groups(df, keep=["doc_id"], pair_limit=1)
-    crowd = {r.doc_id: r.component_id for r in some.collect()}
-    assert sum(crowd[a] == crowd[b] for a, b in linked) > 0.8 * len(linked)
+    assert {r.doc_id: r.component_id for r in some.collect()} == out  # no bucket's size costs a link
     odd = simhash.near_duplicate_groups(odd_documents)
     assert odd.count() == odd_documents.count() and set(odd.columns) == set(odd_documents.columns)
     assert simhash.near_duplicate_groups(no_documents).count() == 0
+
+
+def test_pairs_by_rarest_shingles_are_all_pairs(spark):
+    chance = random.Random(5)
+    sets = [set(chance.sample(range(60), chance.randint(1, 40))) for _ in range(80)]
+    sets += [set(chance.sample(sorted(s), max(1, len(s) * 9 // 10))) | {100 + chance.randrange(9)} for s in sets]
+    rows = [(i, i // 2, sorted(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "u long, root long, s array<long>")
+    for similarity in (0.5, 0.8):
+        got = {(r.a, r.b) for r in simhash._rare_pairs(df, similarity).collect()}
+        want = {(a, b) for a, ra, x in rows for b, rb, y in rows if a < b and ra != rb and len({*x} & {*y}) >= similarity * len({*x} | {*y})}
+        assert want and want <= got and all(rows[a][1] != rows[b][1] for a, b in got)
+
+
+def test_a_crowd_under_a_template_loses_no_pair_for_its_size(spark):
+    """Texts that share most words with all others (similarity under 0.8), with a near copy of each planted among them."""
+    chance = random.Random(6)
+    template = [f"t{i}" for i in range(300)]
+    rows, want = [], []
+    for n in range(150):
+        own = [f"o{n}x{i}" for i in range(50)]
+        a = template + own
+        b = list(a)
+        b[-1] = f"c{n}"
+        rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+        want.append((2 * n, 2 * n + 1))
+    assert 0.7 < jaccard(rows[0][1], rows[2][1]) < 0.8 and jaccard(rows[0][1], rows[1][1]) > 0.95
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    full = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df, keep=["doc_id"], pair_limit=1 << 20).collect()}
+    crowd = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df, keep=["doc_id"], pair_limit=4).collect()}
+    assert crowd == full
+    assert all(a // 2 == b // 2 for a, b in crowd.items())  # each pair by itself
+    assert sum(crowd[a] == crowd[b] for a, b in want) >= 0.99 * len(want)
