@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -9,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +111,16 @@ class Codes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def give_back() -> None:
+    """Returns memory that Python and Arrow hold but no longer use: a driver that goes on for long doesn't keep the largest step's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+
 def in_process(name: str, make):
     """What `make` returns, made once in each Python process and then kept under `name`."""
     store = sys.modules.setdefault("_opinara_in_process", types.ModuleType("_opinara_in_process"))

@@ -229,7 +229,9 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     # is still apart in a crowd, by its rarest shingles
     root = lambda df, u, name: df.join(roots.select(F.col("node").alias(u), F.col("root").alias(name)), u, "left").withColumn(name, F.coalesce(name, u))
     links = linked(buckets.groupBy("u").agg(F.min("first.u").alias("c")).where("u <> c").select(*_pair("u", "c")))
-    roots = connected_components(links)
+    # each text has one such link at most, to a smaller one: two steps along them label most groups, and equal labels are linked
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    roots = written(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root")), "labels")
     left = written(root(buckets.select("k", "u", "n", F.col("first.u").alias("first"), "second", "third"), "u", "root"), "buckets")
     x, y = (left.where(F.col("n") <= pair_limit).select("k", F.col("u").alias(i), F.col("root").alias(f"root_{i}")) for i in "ab")
     pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b")
