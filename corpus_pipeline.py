@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm._shared import remove, settled, written_path
+from opinara.llm._shared import give_back, remove, settled, written_path
 from opinara.llm.decontam import decontaminate
 from opinara.llm.mixing import mix_sources
 from opinara.llm.quality import score_quality
@@ -46,6 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias(own["doc_id"]), F.col("quality").alias("__quality"))
     # all columns pass through, renamed: the text needs no second reading
     scored = score_quality(docs.withColumnsRenamed(own), labels, id_col=own["doc_id"], text_col=own["text"], label_col="__quality")
+    give_back()  # the sample that the classifier was fitted on
     return scored.where("predicted = 1").select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
