@@ -99,11 +99,19 @@ def threshold_aspects(scores: DataFrame, stars: DataFrame, threshold: float = 0.
 def score_topic_words(words: DataFrame, keywords: DataFrame) -> DataFrame:
     """(topic_id, aspect, n): the aspect with the most words that hold, or are part of, one of its keywords.
 
-    words: (topic_id, word); keywords: (aspect, ord, keyword), a parameter of a few hundred rows. The first of equal
-    aspects wins; a topic without any is GENERAL.
+    words: (topic_id, word); keywords: (aspect, ord, keyword). Each distinct word's pieces of the keywords' lengths, of which the driver learns the
+    distinct ones, meet equal keywords, and keywords' pieces meet equal words: joins of equal strings, for any number of keywords. The
+    first of equal aspects wins; a topic without any is GENERAL.
     """
-    hits = words.select("topic_id", "word").distinct().join(F.broadcast(keywords), F.col("word").contains(F.col("keyword")) | F.col("keyword").contains(F.col("word")))
-    counts = hits.groupBy("topic_id", "aspect", "ord").agg(F.countDistinct("word").alias("n"))
+    lengths = sorted(r[0] for r in keywords.select(F.char_length("keyword")).where("keyword is not null").distinct().collect())
+    wanted = words.select("topic_id", "word").where("word is not null").distinct()
+    vocabulary = wanted.select("word").distinct()
+    of = lambda text, n: F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda at: F.substr(text, at, n))
+    pieces = lambda text, sizes: F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.char_length(text)), lambda n: of(text, n))))
+    inside = vocabulary.select("word", F.explode(pieces(F.col("word"), F.array(*(F.lit(n) for n in lengths)).cast("array<int>"))).alias("keyword")).join(keywords, "keyword")
+    around = keywords.select("aspect", "ord", F.explode(pieces(F.col("keyword"), F.sequence(F.lit(0), F.char_length("keyword")))).alias("word")).join(vocabulary, "word")
+    hits = inside.select("word", "aspect", "ord").union(around.select("word", "aspect", "ord")).distinct().join(wanted, "word")
+    counts = hits.groupBy("topic_id", "aspect", "ord").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("topic_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "ord", "aspect")).alias("b")).select("topic_id", "b.aspect", (-F.col("b.less")).alias("n"))
     return words.select("topic_id").distinct().join(best, "topic_id", "left").select("topic_id", F.coalesce("aspect", F.lit("GENERAL")).alias("aspect"), F.coalesce("n", F.lit(0)).alias("n"))
 

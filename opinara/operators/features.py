@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinara.operators.ranges import running_sums
+
 
 def words(text: Column) -> Column:
     """Lower-case words between white space."""
@@ -28,9 +30,20 @@ def word_frequency(df: DataFrame, text: str, n: int, *keys: str) -> DataFrame:
 
 
 def length_stats(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    d = df.select(*keys, F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("chars"), F.size(words(F.col(text))).alias("words"))
-    stats = [f(c).alias(f"{n}_{c}") for c in ("chars", "words") for n, f in (("mean", lambda c: F.round(F.avg(c), 6)), ("median", lambda c: F.round(F.median(c), 6)), ("min", F.min), ("max", F.max))]
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *stats)
+    """n, and mean, median, min and max of the texts' characters and words.
+
+    All are exact and taken from counts by length; medians are where running sums of these counts, by ranges of the length, pass
+    the middle. So nothing holds the lengths of a group.
+    """
+    sizes = F.array(F.struct(F.lit("chars").alias("what"), F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("size")), F.struct(F.lit("words").alias("what"), F.size(words(F.col(text))).alias("size")))
+    points = df.select(*keys, F.explode(sizes).alias("s")).groupBy(*keys, "s.what", "s.size").agg(F.count(F.lit(1)).alias("rows"))
+    line = running_sums(points, [*keys, "what"], [F.asc("size")], {"upto": "rows"}, totals={"all_rows": "rows"}, name="lengths")
+    stats = []
+    for c in ("chars", "words"):
+        size = F.when(F.col("what") == c, F.col("size"))
+        low, high = (F.min(F.when(F.col("upto") * 2 >= F.col("all_rows") + more, size)) for more in (0, 1))
+        stats += [F.round(F.sum(size * F.col("rows")) / F.max(F.when(F.col("what") == c, F.col("all_rows"))), 6).alias(f"mean_{c}"), F.round((low + high) / 2, 6).alias(f"median_{c}"), F.min(size).alias(f"min_{c}"), F.max(size).alias(f"max_{c}")]
+    return line.groupBy(*keys).agg(F.coalesce(F.max("all_rows"), F.lit(0)).alias("n"), *stats)
 
 
 def doc_frequency(tf: DataFrame, min_df: int, max_df: float, n_docs: int) -> DataFrame:

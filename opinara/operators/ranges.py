@@ -29,18 +29,18 @@ def running_sums(df: DataFrame, keys: list[str], by: list[Column], sums: dict[st
     next row of the key, null in its last. A window holds one range's rows of a key. Null keys are a group.
     """
     totals, ahead = totals or {}, ahead or {}
-    df = df.withColumns({f"key_{i}": F.struct(k) for i, k in enumerate(keys)})  # a struct is not null where its field is
-    own = [f"key_{i}" for i in range(len(keys))]
-    rows = ranged(df, own, by, name).withColumn("part", part())
-    ranges = rows.groupBy(*own, "part").agg(*(F.sum(c).alias(f"sum_{n}") for n, c in (sums | totals).items()), *(F.min_by(c, "range_at").alias(f"next_{n}") for n, c in ahead.items()), F.count(F.lit(1)).alias("rows"))
+    df = df.withColumns({f"range_key_{i}": F.struct(k) for i, k in enumerate(keys)})  # a struct is not null where its field is
+    own = [f"range_key_{i}" for i in range(len(keys))]
+    rows = ranged(df, own, by, name).withColumn("range_part", part())
+    ranges = rows.groupBy(*own, "range_part").agg(*(F.sum(c).alias(f"range_sum_{n}") for n, c in (sums | totals).items()), *(F.min_by(c, "range_at").alias(f"range_next_{n}") for n, c in ahead.items()))
     whole = Window.partitionBy(*own)
-    line = whole.orderBy("part")  # a row for each range
-    before = {f"before_{n}": F.coalesce(F.sum(f"sum_{n}").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n in sums}
-    ranges = ranges.select(*own, "part", "rows", *(c.alias(n) for n, c in before.items()), *(F.sum(f"sum_{n}").over(whole).alias(n) for n in totals), *(F.lead(f"next_{n}").over(line).alias(f"next_{n}") for n in ahead))
-    local = Window.partitionBy(*own, "part").orderBy("range_at")
-    rows = rows.withColumns({**{f"local_{n}": F.sum(c).over(local) for n, c in sums.items()}, **{f"local_{n}": F.lead(c).over(local) for n, c in ahead.items()}, "last": F.lead("part").over(local).isNull()})
-    joined = rows.join(ranges, [*own, "part"])
-    new = {**{n: F.col(f"local_{n}") + F.col(f"before_{n}") for n in sums}, **{n: F.col(n) for n in totals}, **{n: F.when(F.col("last"), F.col(f"next_{n}")).otherwise(F.col(f"local_{n}")) for n in ahead}}
+    line = whole.orderBy("range_part")  # a row for each range
+    before = {f"range_before_{n}": F.coalesce(F.sum(f"range_sum_{n}").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n in sums}
+    ranges = ranges.select(*own, "range_part", *(c.alias(n) for n, c in before.items()), *(F.sum(f"range_sum_{n}").over(whole).alias(f"range_all_{n}") for n in totals), *(F.lead(f"range_next_{n}").over(line).alias(f"range_next_{n}") for n in ahead))
+    local = Window.partitionBy(*own, "range_part").orderBy("range_at")
+    rows = rows.withColumns({**{f"range_local_{n}": F.sum(c).over(local) for n, c in sums.items()}, **{f"range_local_{n}": F.lead(c).over(local) for n, c in ahead.items()}, "range_last": F.lead("range_part").over(local).isNull()})
+    joined = rows.join(ranges, [*own, "range_part"])
+    new = {**{n: F.col(f"range_local_{n}") + F.col(f"range_before_{n}") for n in sums}, **{n: F.col(f"range_all_{n}") for n in totals}, **{n: F.when(F.col("range_last"), F.col(f"range_next_{n}")).otherwise(F.col(f"range_local_{n}")) for n in ahead}}
     return joined.select(*(c for c in df.columns if c not in own), *(c.alias(n) for n, c in new.items()))
 
 

@@ -1,10 +1,13 @@
 import math
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
+from opinara.operators import annotation as N
 from opinara.operators import evaluation as E
 from opinara.operators import fairness as Y
+from opinara.operators import features as T
 from opinara.operators import ranges as R
 
 
@@ -37,7 +40,7 @@ def test_millions_of_distinct_scores_in_one_class(spark):
     n = 2_000_000
     df = spark.range(n).select((F.col("id") % 1000 == 0).cast("int").alias("g"), ((F.xxhash64("id") % 3) == 0).cast("int").alias("y_true"), ((F.xxhash64("id") % 9_999_991) / 1e7 + F.col("id") * 1e-9).alias("y_score"))
     curve = E._curve(df, ("g",), "y_true", "y_score")
-    assert windows(curve) and all("range_at#" in w or "sum(sum_" in w for w in windows(curve)), "a window holds one range, or a row for each range"
+    assert windows(curve) and all("range_at#" in w or "sum(range_sum_" in w for w in windows(curve)), "a window holds one range, or a row for each range"
     auc = {r.g: r.auc for r in E.roc_auc(df, "g").collect()}
     assert auc == {r.g: r.auc for r in E.rank_auc(df, "g").collect()} and set(auc) == {0, 1}
     found = {r.g: r.average_precision for r in E.average_precision(df, "g").collect()}
@@ -67,3 +70,37 @@ def test_pages_sort_one_range_only(spark):
             assert [r.v for r in R.page(df, [F.asc("v")], skip, limit).collect()] == list(range(5000))[skip : skip + limit]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_medians_are_exact_and_hold_no_group(spark):
+    rng = random.Random(8)
+    rows = [(g, "x " * rng.randrange(40)) for g in ("a", "b") for _ in range(rng.choice([200, 301]))] + [("c", "one two"), ("d", None), ("d", "a b c"), (None, "x")]
+    df = spark.createDataFrame(rows, "g string, t string")
+    got = {r.g: r for r in T.length_stats(df, "t", "g").collect()}
+    for g in ("a", "b", "c", "d", None):
+        for what, f in (("chars", len), ("words", lambda t: len(t.split()))):
+            own = [f(t or "") for k, t in rows if k == g]
+            r = got[g]
+            assert (r.n, r[f"median_{what}"], r[f"min_{what}"], r[f"max_{what}"]) == (len(own), statistics.median(own), min(own), max(own))
+            assert math.isclose(r[f"mean_{what}"], statistics.mean(own), abs_tol=1e-6)
+    assert T.length_stats(df.limit(0), "t", "g").count() == 0
+    assert T.length_stats(df, "t").first().n == len(rows)
+
+
+def test_topic_words_meet_thousands_of_keywords_by_equal_strings(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    words = [(k % 5, text(rng.randrange(0, 9))) for k in range(300)] + [(7, "zzz"), (1, None)]
+    keywords = [(f"A{k % 10}", k % 10, text(rng.randrange(3, 8))) for k in range(10_000)]
+    out = N.score_topic_words(spark.createDataFrame(words, "topic_id int, word string"), spark.createDataFrame(keywords, "aspect string, ord int, keyword string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {r.topic_id: (r.aspect, r.n) for r in out.collect()}
+    by = {}
+    for a, o, k in keywords:
+        by.setdefault((o, a), set()).add(k)
+    for topic in (0, 1, 2, 3, 4, 7):
+        own = {w for t, w in words if t == topic and w is not None}
+        n = {key: sum(any(k in w or w in k for k in ks) for w in own) for key, ks in by.items()}
+        best = min(n, key=lambda key: (-n[key], key[0]))
+        assert got[topic] == ((best[1], n[best]) if n[best] else ("GENERAL", 0))
