@@ -24,6 +24,11 @@ from opinara.llm.components import connected_components
 
 _ADDED = ("n_links", "component_id", "kept")
 
+#: A block compares so many vectors at a time, and judges so many pairs, that what it holds for either stays within this.
+_SLICE_BYTES = 1 << 24
+#: A side of a block holds no more bytes of vectors in double precision than this, whatever their size.
+_BLOCK_BYTES = 1 << 25
+
 
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length one in double precision, safe for very large and very small components."""
@@ -49,6 +54,12 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
+def _joined(label: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The labels of all nodes once the links between `left` and `right` nodes, a matrix, are in the forest too."""
+    a, b = np.nonzero(linked & (label[left][:, None] != label[right]))  # links within a tree change nothing
+    return _forest(label[left[a]], label[right[b]], len(label))[label] if len(a) else label
+
+
 def embedding_groups(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, pivots: int | None = None, max_pivots: int = 4096, block_rows: int = 32768, keep: list[str] | None = None) -> DataFrame:
     """Every vector with n_links, component_id (the smallest id that links reach) and kept (it is its own component's id).
 
@@ -59,8 +70,9 @@ def embedding_groups(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
 
     Pivots are vectors drawn by a hash, at most `max_pivots` for a size of vector: that bounds what is broadcast. How many
     are used (`pivots`: so many) is a matter of speed alone and estimated over 2048 vectors. Vectors within half the radius of their pivot all link with each other; such a crowd,
-    however large, is counted and not compared pair by pair. Links are counted where they are found; what leaves a block
-    are counts and one edge for each vector, never all pairs.
+    however large, is counted and not compared pair by pair. Links are counted where they are found and folded into a forest, a slice
+    of a block at a time; a block holds its vectors and one slice's pairs, however many link, and what leaves it are counts and one
+    edge for each vector. A side of a block has at most `block_rows` vectors and 32 MB of them, so very long vectors mean smaller blocks.
     """
     spark = vectors.sparkSession
     columns = kept(vectors, keep, _ADDED)
@@ -116,6 +128,7 @@ def _cost(sample: np.ndarray, pivots: np.ndarray, radius: float, n: int, block:
 def _join(spark, points: DataFrame, size: int, n: int, threshold: float, k: int | None, most: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(u, n): links by number; (a, b): edges that give the same components as all links."""
     radius = math.sqrt(2 - 2 * threshold)
+    block = max(1, min(block, _BLOCK_BYTES // (8 * size)))
     # max_pivots vectors and 2048 more at most
     drawn = points.select("v", F.xxhash64("u").alias("h")).orderBy("h", "v").limit(min(most, k or max(1, n // 64)) + 2048).collect()
     drawn = unit(np.array([r.v for r in drawn], np.float64))
@@ -166,32 +179,26 @@ def _compare(size: int, threshold: float):
         u, many, home, inner = (table.column(c).to_numpy() for c in ("u", "many", "home", "inner"))
         lefts, rights = np.flatnonzero(side), np.flatnonzero(~side)
         small = x.astype(np.float32)
-        count = np.zeros(len(x), np.int64)
-        a_all, b_all = [], []
-        slack = 1e-5 + size * 1e-6  # single precision only picks what double precision then judges
-        for at in range(0, len(lefts), 512):
-            some = lefts[at : at + 512]
-            a, b = np.nonzero(small[some] @ small[rights].T >= threshold - slack)
-            a, b = some[a], rights[b]
-            ok = (~home[b] | (u[a] < u[b])) & ~(inner[a] & inner[b])  # pairs at home once; a crowd's own pairs are known
-            a, b = a[ok], b[ok]
-            for lo in range(0, len(a), 1 << 17):
-                c, d = a[lo : lo + (1 << 17)], b[lo : lo + (1 << 17)]
-                hit = np.einsum("ij,ij->i", x[c], x[d]) >= threshold
-                a_all.append(c[hit])
-                b_all.append(d[hit])
-        if not a_all:
-            return empty
-        a, b = np.concatenate(a_all), np.concatenate(b_all)
-        np.add.at(count, a, many[b])
-        np.add.at(count, b, many[a])
-        _, node = np.unique(u, return_inverse=True)  # a vector stands on both sides: one node
-        label = _forest(node[a], node[b], int(node.max()) + 1 if len(node) else 0)
-        of = np.zeros(len(label), np.int64)
-        of[node] = u
+        nodes, node = np.unique(u, return_inverse=True)  # a vector stands on both sides: one node
+        count, label = np.zeros(len(x), np.int64), np.arange(len(nodes))
+        slack = 1e-5 + size * 1e-6  # what single precision may miss by; pairs that are nearer to the threshold are judged in double precision
+        rows, pairs = max(1, _SLICE_BYTES // (8 * len(rights))), max(1, _SLICE_BYTES // (8 * size))
+        for at in range(0, len(lefts), rows):
+            some = lefts[at : at + rows]
+            cosine = small[some] @ small[rights].T
+            # pairs at home once; a crowd's own pairs are known
+            asked = (~home[rights] | (u[some][:, None] < u[rights])) & ~(inner[some][:, None] & inner[rights])
+            linked = asked & (cosine >= threshold + slack)
+            a, b = np.nonzero(asked & ~linked & (cosine >= threshold - slack))
+            for lo in range(0, len(a), pairs):
+                c, d = a[lo : lo + pairs], b[lo : lo + pairs]
+                linked[c, d] = np.einsum("ij,ij->i", x[some[c]], x[rights[d]]) >= threshold
+            count[some] += linked @ many[rights]
+            count[rights] += many[some] @ linked
+            label = _joined(label, node[some], node[rights], linked)
         tied = np.flatnonzero(label != np.arange(len(label)))
-        linked = np.flatnonzero(count)
-        return pa.table({"a": pa.array(np.r_[u[linked], of[tied]]), "b": pa.array([None] * len(linked) + of[label[tied]].tolist(), pa.int64()), "n": pa.array(np.r_[count[linked], np.zeros(len(tied), np.int64)])})
+        some = np.flatnonzero(count)
+        return pa.table({"a": pa.array(np.r_[u[some], nodes[tied]]), "b": pa.array([None] * len(some) + nodes[label[tied]].tolist(), pa.int64()), "n": pa.array(np.r_[count[some], np.zeros(len(tied), np.int64)])})
 
     return compare
 

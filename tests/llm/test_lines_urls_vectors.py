@@ -2,10 +2,12 @@ import hashlib
 import math
 import os
 import random
+import tracemalloc
 from datetime import datetime
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +152,43 @@ def test_vectors_brute_force(spark):
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0 and embedding_dedup.embedding_groups(df.where("vec_id = 4000")).count() == 1
 
 
+def test_a_dense_block_holds_no_pairs():
+    """Of n vectors that nearly all link with each other a block holds the vectors and a slice of pairs."""
+    random_, peaks = np.random.default_rng(9), []
+    for n in (1000, 4000):
+        v = random_.normal(size=32) + random_.normal(0, 0.28, (n, 32))
+        u, many = random_.permutation(n), random_.integers(1, 4, n)
+        twice = {"u": np.r_[u, u], "many": np.r_[many, many], "v": pa.ListArray.from_arrays(np.arange(0, 2 * v.size + 1, 32, dtype=np.int32), np.r_[v, v].ravel())}
+        table = pa.table({"left": np.arange(2 * n) < n, "home": np.ones(2 * n, bool), "inner": np.zeros(2 * n, bool), **twice})
+        tracemalloc.start()
+        out = embedding_dedup._compare(32, 0.9)(table).to_pylist()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        x = embedding_dedup.unit(v)
+        linked = (np.einsum("id,jd->ij", x, x) >= 0.9) & ~np.eye(n, dtype=bool)
+        assert 0.2 < linked.mean() < 0.99
+        counts = np.zeros(n, np.int64)
+        for r in out:
+            if r["b"] is None:
+                counts[r["a"]] += r["n"]
+        want = np.zeros(n, np.int64)
+        want[u] = linked @ many
+        assert (counts == want).all()
+        label, edges = np.arange(n), [(r["a"], r["b"]) for r in out if r["b"] is not None]
+        for a, b in sorted(edges):
+            assert b < a and label[a] == a
+            label[a] = label[b]
+        assert len(edges) < n and (label == embedding_dedup._forest(*(u[i] for i in np.nonzero(linked)), n)).all()
+    assert peaks[1] < 200 << 20 and peaks[1] < 6 * peaks[0]
+
+
+def test_long_vectors_go_in_small_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 5 == k) + 0.01 * (i % 3) for k in range(6)]) for i in range(60)]
+    monkeypatch.setattr(embedding_dedup, "_BLOCK_BYTES", 8 * 6 * 7)  # seven vectors
+    got = embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=1).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == brute_vectors(rows)
+
+
 def test_pivots_are_used_where_they_pay():
     random_ = np.random.default_rng(7)
     flat = embedding_dedup.unit(random_.normal(size=(4096, 64)))
