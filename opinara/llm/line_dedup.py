@@ -37,8 +37,9 @@ def chunk_ends(digests: Column, divisor: int) -> Column:
     later = F.slice(marks, 2, F.greatest(n - 1, F.lit(0)))
     cuts = F.concat(F.array(F.lit(False)), F.zip_with(F.slice(marks, 1, F.greatest(n - 1, F.lit(0))), later, lambda a, b: F.pmod(b * 31 + a * 17, F.lit(65537)) * divisor < 65537))
     firsts = F.zip_with(cuts, F.concat(F.array(F.lit(False)), F.slice(cuts, 1, F.greatest(n - 1, F.lit(0)))), lambda c, before: c & ~before)
-    ends = F.transform(firsts, lambda c, i: F.when((c & (i + 2 != n)) | (i + 1 == n), i + 1))
-    return F.filter(ends, lambda i: i.isNotNull())
+    # neither the last line's mark nor the one before counts; the text's end does. No lambda asks for `digests`, which would be computed for each line
+    inner = F.filter(F.transform(F.slice(firsts, 1, F.greatest(n - 2, F.lit(0))), lambda c, i: F.when(c, i + 1)), lambda i: i.isNotNull())
+    return F.concat(inner, F.array(n))
 
 
 def _later(rows: DataFrame, name: str) -> DataFrame:
@@ -70,19 +71,22 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     digest = lambda x: F.substring(F.unhex(F.sha2(x, 256)), 1, 16)
     marked = written(base.select("row", F.col("id").isNotNull().alias("has"), "id", F.transform(lines_of(F.col("text")), digest).alias("d")), "digests")
 
-    def key(start: Column, n: Column | int) -> Column:
-        return F.aggregate(F.slice("d", start, n), F.lit("").cast("binary"), lambda a, x: F.concat(a, x))
-
-    bounds = marked.withColumn("ends", chunk_ends(F.col("d"), divisor))
-    bounds = bounds.select("row", "has", "id", "d", F.explode(F.zip_with(F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)), "ends", lambda a, b: F.struct((a + 1).alias("start"), b.alias("end")))).alias("b"))
-    chunks = bounds.where(F.col("b.end") - F.col("b.start") + 1 >= least_lines).select("row", "has", "id", "b.start", "b.end", digest(key(F.col("b.start"), F.col("b.end") - F.col("b.start") + 1)).alias("key"))
+    # places and keys are made inside the arrays and leave them alone: no exploded row carries its document
+    ends = chunk_ends(F.col("d"), divisor)
+    spans = marked.select("row", "has", "id", "d", ends.alias("ends")).withColumn("spans", F.zip_with(F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)), "ends", lambda a, b: F.struct((a + 1).alias("start"), b.alias("end"))))
+    joined = lambda s: F.aggregate(F.slice("d", s["start"], s["end"] - s["start"] + 1), F.lit("").cast("binary"), lambda x, y: F.concat(x, y))
+    long = F.filter("spans", lambda s: s["end"] - s["start"] + 1 >= least_lines)
+    chunks = spans.select("row", "has", "id", F.explode(F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), digest(joined(s)).alias("key")))).alias("c")).select("row", "has", "id", "c.*")
     whole = written(_later(chunks, "chunks").select("row", F.struct("start", "end").alias("w")), "whole")
 
     # windows that no removed chunk holds: what the chunks found needs no second look, nor can it be the first of anything
     left = marked.join(whole.groupBy("row").agg(F.collect_list("w").alias("whole")), "row", "left")
     starts = F.when(F.size("d") >= least_lines, F.sequence(F.lit(1), F.size("d") - (least_lines - 1)))
-    inside = lambda i: F.exists("whole", lambda w: (w["start"] <= i) & (w["end"] >= i + (least_lines - 1)))
-    windows = left.select("row", "has", "id", "d", F.explode(F.when(F.col("whole").isNull(), starts).otherwise(F.filter(starts, lambda i: ~inside(i)))).alias("start")).select("row", "has", "id", "start", key(F.col("start"), least_lines).alias("key"))
+    # chunks have `least_lines` lines or more, and none shares a line with another
+    held = F.flatten(F.transform("whole", lambda w: F.sequence(w["start"], w["end"] - (least_lines - 1))))
+    window = lambda i: F.concat(*(F.element_at("d", i + k) for k in range(least_lines)))
+    asked = F.when(F.col("whole").isNull(), starts).otherwise(F.array_except(starts, held))
+    windows = left.select("row", "has", "id", F.explode(F.transform(asked, lambda i: F.struct(i.alias("start"), window(i).alias("key")))).alias("w")).select("row", "has", "id", "w.*")
     later = _later(windows, "windows")
     # what a window shares with its own first occurrence stays
     begin = F.when(F.col("first.row") == F.col("row"), F.greatest("start", F.col("first.start") + least_lines)).otherwise(F.col("start"))
@@ -91,7 +95,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = whole.union(edges).groupBy("row").agg(F.collect_list("w").alias("gone"))
     full = base.join(gone, "row", "left").withColumn("lines", lines_of(F.col("text")))
     full = full.withColumn("gone", F.array_distinct(F.flatten(F.transform(F.coalesce("gone", F.array().cast("array<struct<start:int,end:int>>")), lambda w: F.sequence(w["start"], w["end"])))))
-    full = full.withColumns({"stays": F.array_except(F.sequence(F.lit(1), F.size("lines")), "gone"), "ends": chunk_ends(F.transform("lines", digest), divisor)})
+    full = full.withColumns({"stays": F.array_except(F.sequence(F.lit(1), F.size("lines")), "gone"), "d": F.transform("lines", digest)}).withColumn("ends", chunk_ends(F.col("d"), divisor))
     text = F.array_join(F.transform("stays", lambda i: F.element_at("lines", i)), "\n")
     # sorted together, a chunk's end stands right behind a line that stays only if the chunk has one
     marks = F.array_sort(F.concat(F.transform("stays", lambda i: i * 2), F.transform("ends", lambda e: e * 2 + 1)))

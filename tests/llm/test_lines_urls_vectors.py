@@ -95,6 +95,17 @@ def test_op3_removes_short_passages_among_foreign_lines(spark, tmp_path):
         assert out[40 + n].n_removed_lines == 2 + n % 5 and out[40 + n].kept_sha256 == hashlib.sha256(f"new {n}\nother {n}".encode()).hexdigest()
 
 
+def test_a_document_of_many_lines(spark):
+    """Work grows with a document's lines, not with their square, repeated chunks and places between them included."""
+    n = 60_000
+    lines = [f"line {i * 7919 % 1000003}" for i in range(n)]
+    other = [x for i, x in enumerate(lines) for x in ([x, f"foreign {i}"] if i % 50 == 0 else [x])]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(other))], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    want = [r[1] for r in brute_passages([(1, "\n".join(lines)), (2, "\n".join(other))])]
+    assert [out[i].n_removed_lines for i in (1, 2)] == want and want[0] == 0 and out[2].n_lines == n + n // 50
+
+
 def test_url_rules_in_force(spark):
     day = lambda m, d=1: datetime(2024, m, d)
     changes = [("d:example.com", day(1), "add"), ("d:example.com", day(3), "remove"), ("d:example.com", day(5), "add"), ("p:a.org/x", day(2), "add"), ("p:a.org/x", day(2), "remove"), ("d:bad", day(1), "other"), (None, day(1), "add"), ("d:b.org", None, "add"), ("d:late.org", day(12), "add"), ("d:example.com", day(1), "add")]
