@@ -3,9 +3,8 @@
 A rolling hash over the hashes of two neighbouring lines decides where a chunk ends, so an inserted or deleted line moves
 the borders beside it and no others, and the same passage is cut alike wherever it stands.
 
-1. Every line gets a digest, 128 bits of its SHA-256; from here on lines stand for themselves by these, and no text is
-   shuffled to compare it.
-2. Chunks of several lines that occur earlier, in this or another document, go whole.
+1. Every line gets a digest, 128 bits of its SHA-256, by which chunks and windows are looked up.
+2. Chunks of several lines that occur earlier, in this or another document, go whole, once their bytes have been compared.
 3. A repeated passage seldom ends where chunks end. At its two ends, and where it is shorter than a chunk, it lies among
    foreign lines in chunks that stayed: there, and only there, windows of `least_lines` lines are looked up line by line.
 """
@@ -53,13 +52,27 @@ def _later(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(first, "key").where(place > F.col("first"))
 
 
+def _equal(base: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Of chunks (row, start, end, key, first) those whose text is byte by byte that of the key's first one.
+
+    Only texts of repeated chunks move: documents cut out what is asked of them, the first chunk of a key once.
+    """
+    firsts = repeated.groupBy("key").agg(F.min("first").alias("first"), F.min(F.col("end") - F.col("start")).alias("n")).select("first.row", "first.start", (F.col("first.start") + F.col("n")).alias("end"), "key", F.lit(True).alias("leads"))
+    places = repeated.select("row", "start", "end", "key", F.lit(False).alias("leads")).union(firsts)
+    asked = places.groupBy("row").agg(F.collect_list(F.struct("start", "end", "key", "leads")).alias("asked"))
+    lined = base.select("row", lines_of(F.col("text")).alias("lines")).join(asked, "row")
+    cut = F.transform("asked", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["key"].alias("key"), a["leads"].alias("leads"), F.array_join(F.slice("lines", a["start"], a["end"] - a["start"] + 1), "\n").cast("binary").alias("bytes")))
+    texts = written(lined.select("row", F.explode_outer(cut).alias("c")).select("row", "c.*"), "bytes")
+    return texts.where("not leads").join(texts.where("leads").select("key", F.col("bytes").alias("of")), "key").where(F.col("bytes") == F.col("of"))
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, least_lines: int = 2, keep: list[str] | None = None) -> DataFrame:
     """Every document with n_lines, n_chunks, n_removed_chunks, n_removed_lines and kept_text.
 
     Lines are what stands between newlines. A line goes where it lies in a passage of `least_lines` lines or more that stands
     earlier, by id (null first) and place, in this or another document. Of a passage that overlaps its own first occurrence, as in a
     run of one line, that occurrence stays whole; so each line that goes has an equal one before it that stays.
-    n_removed_chunks counts the chunks whose lines all go. The divisor sets how long chunks are, not which lines go.
+    n_removed_chunks counts the chunks whose lines all go. Very long texts cost time and memory in proportion to their lines. The divisor sets how long chunks are, not which lines go.
 
     Repeated rows are told apart by their place in the input, which has to be the same each time it is read, as a table's
     is: of two equal documents one keeps its lines. Null and empty texts are one empty line. A document whose lines all go
@@ -77,7 +90,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     joined = lambda s: F.aggregate(F.slice("d", s["start"], s["end"] - s["start"] + 1), F.lit("").cast("binary"), lambda x, y: F.concat(x, y))
     long = F.filter("spans", lambda s: s["end"] - s["start"] + 1 >= least_lines)
     chunks = spans.select("row", "has", "id", F.explode(F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), digest(joined(s)).alias("key")))).alias("c")).select("row", "has", "id", "c.*")
-    whole = written(_later(chunks, "chunks").select("row", F.struct("start", "end").alias("w")), "whole")
+    whole = written(_equal(base, written(_later(chunks, "chunks"), "repeated")).select("row", F.struct("start", "end").alias("w")), "whole")
 
     # windows that no removed chunk holds: what the chunks found needs no second look, nor can it be the first of anything
     left = marked.join(whole.groupBy("row").agg(F.collect_list("w").alias("whole")), "row", "left")
