@@ -186,16 +186,21 @@ def _compare(size: int, threshold: float):
         for at in range(0, len(lefts), rows):
             some = lefts[at : at + rows]
             cosine = small[some] @ small[rights].T
+            close = cosine >= threshold - slack
+            if not close.any():
+                continue
+            i, j = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+            some, there, cosine = some[i], rights[j], cosine[np.ix_(i, j)]
             # pairs at home once; a crowd's own pairs are known
-            asked = (~home[rights] | (u[some][:, None] < u[rights])) & ~(inner[some][:, None] & inner[rights])
+            asked = (~home[there] | (u[some][:, None] < u[there])) & ~(inner[some][:, None] & inner[there])
             linked = asked & (cosine >= threshold + slack)
             a, b = np.nonzero(asked & ~linked & (cosine >= threshold - slack))
             for lo in range(0, len(a), pairs):
                 c, d = a[lo : lo + pairs], b[lo : lo + pairs]
-                linked[c, d] = np.einsum("ij,ij->i", x[some[c]], x[rights[d]]) >= threshold
-            count[some] += linked @ many[rights]
-            count[rights] += many[some] @ linked
-            label = _joined(label, node[some], node[rights], linked)
+                linked[c, d] = np.einsum("ij,ij->i", x[some[c]], x[there[d]]) >= threshold
+            count[some] += linked @ many[there]
+            count[there] += many[some] @ linked
+            label = _joined(label, node[some], node[there], linked)
         tied = np.flatnonzero(label != np.arange(len(label)))
         some = np.flatnonzero(count)
         return pa.table({"a": pa.array(np.r_[u[some], nodes[tied]]), "b": pa.array([None] * len(some) + nodes[label[tied]].tolist(), pa.int64()), "n": pa.array(np.r_[count[some], np.zeros(len(tied), np.int64)])})
