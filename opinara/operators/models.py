@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Normalizer, UnivariateFeatureSelector, VectorSlicer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -44,28 +47,47 @@ def _accuracy(model, df: DataFrame, label: str) -> dict[str, float]:
     return {"val_accuracy": float(m.accuracy or 0), "val_f1": 2 * m.tp / max(1, 2 * m.tp + m.wrong)}
 
 
-def grid_search(train: DataFrame, val: DataFrame, kind: str, settings: Sequence[dict], *, label: str = "label", features: list | None = None, iterations: int = 50) -> tuple[PipelineModel, DataFrame]:
+def _at_once(spark: SparkSession, tasks: Sequence[Callable], parallel: int) -> list:
+    """What the tasks return, in their order. Up to `parallel` run at a time: a fit is many small jobs, which leave cores to others."""
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(lambda t: t(), [inheritable_thread_target(spark)(t) for t in tasks]))
+
+
+def grid_search(train: DataFrame, val: DataFrame, kind: str, settings: Sequence[dict], *, label: str = "label", features: list | None = None, iterations: int = 50, parallel: int = 4, rungs: Sequence[float] = ()) -> tuple[PipelineModel, DataFrame]:
     """The pipeline with the best validation accuracy (the first of equal ones) and a row for each setting.
 
     kind: logistic (setting C, as L2 strength 1 / (C n)), svm (C) or trees (maxIter, maxDepth, stepSize, subsamplingRate).
+    `parallel` settings are fitted at a time, over one cached table. rungs: growing shares of the training rows, chosen by a hash of
+    their features, on which settings are tried first; each stops the worse half, whose rows keep what they reached there, and
+    its share as train_share. Without rungs every setting sees all rows.
     """
     prepared = Pipeline(stages=features or text_features()).fit(train)
     a, b = prepared.transform(train).select(label, "features").persist(), prepared.transform(val).select(label, "features").persist()
-    n, tried = a.count(), []
-    for s in settings:
+
+    def fit(s: dict, rows: DataFrame, n: int):
         if kind == "logistic":
             estimator = LogisticRegression(labelCol=label, regParam=1.0 / (s["C"] * n), standardization=False, maxIter=iterations)
         elif kind == "svm":
             estimator = LinearSVC(labelCol=label, regParam=1.0 / (s["C"] * n), standardization=False, maxIter=iterations)
         else:
             estimator = GBTClassifier(labelCol=label, seed=42, **s)
-        model = estimator.fit(a)
-        tried.append((s, model, _accuracy(model, b, label)))
-    best = max(tried, key=lambda t: t[2]["val_accuracy"])
-    rows = [(kind, str(sorted(s.items())), m["val_accuracy"], m["val_f1"]) for s, _, m in tried]
-    a.unpersist()
-    b.unpersist()
-    return PipelineModel(stages=[*prepared.stages, best[1]]), train.sparkSession.createDataFrame(rows, "model string, setting string, val_accuracy double, val_f1 double")
+        model = estimator.fit(rows)
+        return model, _accuracy(model, b, label)
+
+    try:
+        left, reached = list(range(len(settings))), {}
+        for share in (*rungs, 1.0):
+            rows = a if share == 1 else a.where(F.pmod(F.xxhash64("features"), F.lit(10_000)) < share * 10_000)
+            n = max(1, rows.count())
+            for i, r in zip(left, _at_once(train.sparkSession, [lambda s=settings[i]: fit(s, rows, n) for i in left], parallel), strict=True):
+                reached[i] = (share, *r)
+            ranked = sorted(left, key=lambda i: -reached[i][2]["val_accuracy"])  # stable: the first of equal ones
+            left = sorted(ranked[: (len(ranked) + 1) // 2])
+    finally:
+        a.unpersist()
+        b.unpersist()
+    lines = [(kind, str(sorted(s.items())), m["val_accuracy"], m["val_f1"], share) for s, (share, _, m) in ((s, reached[i]) for i, s in enumerate(settings))]
+    return PipelineModel(stages=[*prepared.stages, reached[ranked[0]][1]]), train.sparkSession.createDataFrame(lines, "model string, setting string, val_accuracy double, val_f1 double, train_share double")
 
 
 def calibrated(model: PipelineModel, train: DataFrame, label: str = "label", folds: int = 3, key: str = "doc_id") -> PipelineModel:
@@ -185,3 +207,40 @@ def cluster_documents(df: DataFrame, vector: str, k: int, seed: int = 42) -> Dat
     """topic_id of each row by k-means on its vector."""
     rows = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="topic_id").fit(rows).transform(rows).drop("features")
+
+
+def choose_clusters(df: DataFrame, vector: str, most: int = 32, *, seed: int = 42, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The rows with a topic_id, for which nobody says how many topics there are, and a row (k, method, silhouette) for each clustering tried.
+
+    K-means and bisecting k-means are fitted with numbers of clusters that grow by half, up to `most`, then with those between the
+    best one's neighbours, until none is left there; `parallel` fits run at a time, over one cached table. The largest
+    silhouette wins (by squared distances to clusters' sums: two passes, no pairs), of equal ones the smaller k. So some 4 log2(most) + 8 fits
+    are made, however many rows there are. A null vector has a null topic. With fewer than two different vectors all are topic 0.
+    """
+    known = df.where(F.col(vector).isNotNull()).withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    rest = df.where(F.col(vector).isNull()).withColumn("topic_id", F.lit(None).cast("int"))
+    rows, tried = known.select("features").persist(), {}
+
+    def fit(k: int, method: str) -> None:
+        kind = BisectingKMeans(minDivisibleClusterSize=2.0) if method == "bisecting" else KMeans()
+        model = kind.setK(k).setSeed(seed).setFeaturesCol("features").setPredictionCol("topic_id").fit(rows)
+        apart = sum(n > 0 for n in model.summary.clusterSizes) > 1
+        tried[k, method] = (ClusteringEvaluator(featuresCol="features", predictionCol="topic_id").evaluate(model.transform(rows)) if apart else -1.0, model)
+
+    try:
+        if rows.distinct().limit(2).count() < 2:
+            return known.drop("features").withColumn("topic_id", F.lit(0)).unionByName(rest), df.sparkSession.createDataFrame([], "k int, method string, silhouette double")
+        ks = [2]
+        while ks[-1] < most:
+            ks.append(min(most, max(ks[-1] + 1, ks[-1] * 3 // 2)))
+        while ks:
+            _at_once(df.sparkSession, [lambda k=k, m=m: fit(k, m) for k in ks for m in ("kmeans", "bisecting")], parallel)
+            best = min(tried, key=lambda t: (-tried[t][0], *t))
+            seen = sorted({k for k, _ in tried})
+            at = seen.index(best[0])
+            between = [k for k in range(seen[max(0, at - 1)] + 1, seen[min(at + 1, len(seen) - 1)]) if k not in seen]
+            ks = between[:: -(-len(between) // (2 * parallel)) or 1]
+    finally:
+        rows.unpersist()
+    out = tried[best][1].transform(known).drop("features").unionByName(rest)
+    return out, df.sparkSession.createDataFrame([(*t, v[0]) for t, v in sorted(tried.items())], "k int, method string, silhouette double")

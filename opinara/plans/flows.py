@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from opinara.functions.vocab import ASPECT_NAMES, FURNITURE_PARTS, FURNITURE_STARTS, MONTHS, MONTHS_RO
@@ -77,6 +79,41 @@ def _(spark, sf):
     return H.extract_reviews(A.table(spark, sf, "pages"), F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'"), blocks=[("below_tag", "article")])
 
 
+#: Eight documents a page, as the reviews of two shops and of a site of its own, with each shop's ways to say a rating and a date.
+SHOPS = f"""WITH blocks AS (
+  SELECT doc_id // 8 AS page_id, doc_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) - 1 AS pos, doc_id // 8 AS h, coalesce(source, '') AS title, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS body,
+    CASE doc_id // 8 % 3 WHEN 0 THEN 'emag' WHEN 1 THEN 'cel' ELSE 'generic' END AS site FROM documents
+), judged AS (SELECT *, CASE WHEN site = 'emag' AND body = '' THEN title ELSE body END AS t FROM blocks)
+SELECT page_id, CAST(pos AS INT) AS pos, 'Product ' || page_id AS product_name, CASE WHEN site = 'emag' AND body <> '' THEN nullif(title, '') END AS review_title, sha256(t) AS review_text,
+  CAST(CASE site WHEN 'cel' THEN least(5, greatest(1, h % 8)) WHEN 'generic' THEN 3 ELSE CASE doc_id % 4 WHEN 0 THEN least(5, greatest(1, h % 7)) WHEN 1 THEN least(5, 1 + h % 7) WHEN 2 THEN least(5, greatest(1, h % 60 // 10)) ELSE h % 10 END END AS INT) AS rating,
+  CASE WHEN site = 'emag' THEN make_date(2018 + h % 7, 1 + h % 12, 1 + doc_id % 28) ELSE DATE '2024-01-31' END AS review_date, site AS source
+FROM judged WHERE CASE site WHEN 'cel' THEN length(t) >= 10 WHEN 'generic' THEN length(t) BETWEEN 10 AND 1000
+  ELSE length(t) >= 20 AND contains(t, ' ') AND NOT ({' OR '.join([*(f"starts_with(t, '{s}')" for s in FURNITURE_STARTS), *(f"contains(t, '{p}')" for p in FURNITURE_PARTS)])}) AND NOT regexp_matches(t, '^[0-9]+%') AND NOT regexp_matches(t, '^[0-9]+\\s*stele?\\(') END"""
+
+
+def shop_pages(spark, sf):
+    """(page_id, url, html): a page of eight documents at most, in the shops' own markup."""
+    escaped = lambda c: reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")), F.coalesce(F.col(c), F.lit("")))
+    h, n = F.expr("doc_id DIV 8"), F.col("doc_id")
+    month = F.element_at(F.array(*(F.when(h % 2 == 0, F.lit(a)).otherwise(F.lit(b)) for a, b in zip(MONTHS, MONTHS_RO, strict=True))), (h % 12 + 1).cast("int"))
+    stars = F.when(n % 4 == 0, F.concat(F.lit('<div class="star-rating rated-'), h % 7, F.lit('"></div>'))).when(n % 4 == 1, F.expr("repeat('<i class=\"star-filled\"></i>', CAST(1 + doc_id DIV 8 % 7 AS INT))"))
+    stars = stars.when(n % 4 == 2, F.concat(F.lit('<i data-rating="'), h % 60 / 10, F.lit('"></i>'))).otherwise(F.concat(F.lit("<p>Nota "), h % 10, F.lit(" din 5</p>")))
+    emag = F.concat(F.lit('<div class="product-review-item"><h3 class="product-review-title">'), escaped("source"), F.lit("</h3><p>Publicat pe "), n % 28 + 1, F.lit(" "), month, F.lit(" "), h % 7 + 2018, F.lit("</p>"), stars, F.lit('<div class="js-review-body">'), escaped("text"), F.lit("</div></div>"))
+    cel = F.concat(F.lit('<div class="review"><span class="star">'), h % 8, F.lit('</span><p class="review-text">'), escaped("text"), F.lit("</p></div>"))
+    block = F.when(h % 3 == 0, emag).when(h % 3 == 1, cel).otherwise(F.concat(F.lit('<div class="comment">'), escaped("text"), F.lit("</div>")))
+    pages = A.table(spark, sf, "documents").select(h.alias("page_id"), n, block.alias("block")).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "block"))).alias("blocks"))  # eight ids a page
+    k = F.col("page_id") % 3
+    url = F.concat(F.when(k == 0, "https://www.emag.ro/p/").when(k == 1, "https://cel.ro/p/").otherwise("https://shop.example.org/p/"), "page_id")
+    name = F.when(k == 0, '<h1 class="page-title">').when(k == 1, '<h1 class="product_title">').otherwise("<h1>")
+    return pages.select("page_id", url.alias("url"), F.concat(F.lit("<html><body>"), name, F.lit("Product "), "page_id", F.lit("</h1>"), F.array_join("blocks.block", ""), F.lit("</body></html>")).alias("html"))
+
+
+@C.query("src5_shop_reviews", SHOPS)
+def _(spark, sf):
+    out = H.extract_reviews(shop_pages(spark, sf), F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'"))
+    return out.withColumns({"review_text": F.sha2("review_text", 256), "review_date": F.col("review_date").cast("date")})
+
+
 @C.query("src6_detect_site", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'emag' WHEN page_id % 5 = 1 THEN 'cel' WHEN page_id % 5 = 2 THEN 'emag' ELSE 'generic' END AS site FROM pages")
 def _(spark, sf):
     p = A.table(spark, sf, "pages")
@@ -227,6 +264,12 @@ def _(spark, sf):
     return M.cluster_documents(A.table(spark, sf, "embeddings").where("embedding is not null"), "embedding", 10).select("vec_id", "topic_id")
 
 
+@C.query("ann6_chosen_clusters")
+def _(spark, sf):
+    # no number of topics is given
+    return M.choose_clusters(A.table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 16)[0].select("vec_id", "topic_id")
+
+
 # streams and jobs
 
 

@@ -67,6 +67,52 @@ def test_models_learn(spark):
             assert out.where("abs(prob_negative + prob_positive - 1) > 1e-9 or confidence < 0.5").count() == 0
 
 
+def test_settings_at_once_choose_as_one_by_one(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "bad", "poor"] if rng.random() < 0.4 else (["good", "fine"] if i % 2 else ["bad", "poor"])) for _ in range(12)), float(i % 2)) for i in range(240)]
+    df = M.with_grams(spark.createDataFrame(rows, "doc_id long, text string, label double"), "text")
+    train, val = df.where("doc_id < 160"), df.where("doc_id >= 160")
+    settings = [{"C": c} for c in (0.001, 0.1, 1.0, 5.0)]
+    found = [M.grid_search(train, val, "logistic", settings, features=M.text_features(256), iterations=10, parallel=p) for p in (1, 4)]
+    one, four = ([tuple(r) for r in g.collect()] for _, g in found)
+    assert one == four and len(one) == 4 and all(r[4] == 1.0 for r in one)
+    assert str(found[0][0].stages[-1].coefficients) == str(found[1][0].stages[-1].coefficients)
+    # a rung stops the worse half, and what goes on sees all rows
+    model, grid = M.grid_search(train, val, "logistic", settings, features=M.text_features(256), iterations=10, rungs=[0.5])
+    shares = [r.train_share for r in grid.collect()]
+    assert sorted(shares) == [0.5, 0.5, 1.0, 1.0]
+    assert M.score(model, val, "lr").where(F.col("predicted_label") == F.when(F.col("label") == 1, "positive").otherwise("negative")).count() > 60
+
+
+def test_settings_are_let_go_when_a_fit_fails(spark):
+    df = M.with_grams(spark.createDataFrame([(0, "a b", 0.0), (1, "b c", 1.0)], "doc_id long, text string, label double"), "text")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with pytest.raises(KeyError):
+        M.grid_search(df, df, "logistic", [{"D": 1.0}], features=M.text_features(16))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+@pytest.mark.parametrize("k", [3, 7])
+def test_the_number_of_clusters_is_found(spark, k):
+    rng = np.random.default_rng(k)
+    centres = rng.normal(0, 10, (k, 8))
+    rows = [(i, [float(x) for x in centres[i % k] + rng.normal(0, 0.5, 8)]) for i in range(60 * k)]
+    df = spark.createDataFrame([*rows, (-1, None)], "vec_id long, embedding array<float>").repartition(4)
+    out, tried = M.choose_clusters(df, "embedding", 12)
+    topics = {r.vec_id: r.topic_id for r in out.collect()}
+    assert topics.pop(-1) is None and len(topics) == 60 * k
+    assert len(set(topics.values())) == k and all(topics[i] == topics[i % k] for i in topics)
+    best = max(tried.collect(), key=lambda r: r.silhouette)
+    assert best.k == k and best.silhouette > 0.9
+
+
+def test_vectors_without_difference_are_one_topic(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None)], "vec_id long, embedding array<double>")
+    out, tried = M.choose_clusters(df, "embedding", 4)
+    assert sorted((r.vec_id, r.topic_id) for r in out.collect()) == [(0, 0), (1, 0), (2, None)] and tried.count() == 0
+    assert M.choose_clusters(df.limit(0), "embedding", 4)[0].count() == 0
+
+
 def expected_admission(rows, seconds, limit):
     out, recent = {}, {}
     for user, ts, n in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
