@@ -18,6 +18,14 @@ def terms(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def document_terms(df: DataFrame, tokens: Column, key: str) -> DataFrame:
+    """(key, term, tf) where a key is a document: whole texts are dealt by it, and counting shuffles no row for each term.
+
+    Rows of one key are counted together, in one task; where many rows share a key, as a class, `terms` is the way.
+    """
+    return df.repartition(F.col(key)).select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def top_terms(counts: DataFrame, n: int, *keys: str, by: str = "tf") -> DataFrame:
     """The n largest per key, ties by term. Spark cuts each partition to n before it shuffles."""
     w = Window.partitionBy(*keys).orderBy(F.desc(by), "term")

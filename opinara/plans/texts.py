@@ -24,7 +24,7 @@ def docs(spark, sf, *cols):
 
 
 def tf(spark, sf):
-    return T.terms(docs(spark, sf), T.words(F.col("text")), "doc_id")
+    return T.document_terms(docs(spark, sf), T.words(F.col("text")), "doc_id")
 
 
 @C.query("str1_content_hash", "SELECT doc_id, sha256(lower(lang) || '|' || lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))) || CASE WHEN doc_id % 2 = 0 THEN '|2024-01-05' ELSE '' END) AS content_hash FROM documents")

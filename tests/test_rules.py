@@ -9,6 +9,7 @@ from opinara.functions import text as X
 from opinara.operators import annotation as N
 from opinara.operators import evaluation as E
 from opinara.operators import fairness as Y
+from opinara.operators import features as T
 from opinara.operators import ingest as I
 from opinara.operators import reviews as R
 from opinara.operators import sampling as S
@@ -187,3 +188,14 @@ def test_samples_are_exact_disjoint_and_repeat(spark):
     assert a == b and len(a) == 300 and sum(x % 10 == 0 for x in a) == 150
     capped = S.quota_sample(df.where("id < 100"), ["label"], S.balanced_quotas(df.where("id < 100"), None, "label", 300))
     assert capped.groupBy("label").count().agg(F.min("count").alias("a"), F.max("count").alias("b")).first() == (10, 10)
+
+
+def test_terms_of_documents_are_counted_without_a_second_shuffle(spark):
+    rows = [(1, "a b a"), (1, "b"), (2, None), (3, ""), (4, "x " * 5000 + "y"), (None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("term", F.lit("other"))
+    tokens = T.words(F.col("text"))
+    got, plain = T.document_terms(df, tokens, "doc_id"), T.terms(df, tokens, "doc_id")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.term)
+    assert sorted(got.collect(), key=key) == sorted(plain.collect(), key=key) and got.count() == 5
+    plan = T.document_terms(df, tokens, "doc_id")._jdf.queryExecution().executedPlan().toString()  # not run, so it stands there once
+    assert plan.count("Exchange") == 1 and "hashpartitioning(doc_id#" in plan and "Scan ExistingRDD[doc_id" in plan
