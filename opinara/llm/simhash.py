@@ -11,11 +11,13 @@ same tables for its candidates and compares the texts of each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from pyspark.sql import types as T
 from opinara.llm._shared import Codes, kept, q, written
 from opinara.llm.components import connected_components
 
+_TALLY_BITS = 18
+
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     """64 bits; a bit is 1 if set in over half of the shingles' hashes. No words: zero."""
@@ -152,19 +156,81 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column of longs without nulls."""
+    ends = column.offsets.to_numpy()
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[1:-1] - ends[0]) if len(column) else []
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (_mixed(hashes.view(np.uint64)) >> np.uint64(64 - _TALLY_BITS)).astype(np.int64)
+
+
+def _tally(sets: DataFrame) -> np.ndarray:
+    """For each of 262,144 slots, how many hashes of the sets `s` fall into it: 1 MB, however many there are."""
+    pieces = 64
+    each = (1 << _TALLY_BITS) // pieces
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << _TALLY_BITS, np.int64)
+        for batch in batches:
+            n += np.bincount(_slots(batch.column(0).flatten().to_numpy(zero_copy_only=False)), minlength=len(n))
+        for p in np.unique(np.flatnonzero(n) // each).tolist():
+            part = n[p * each : (p + 1) * each]
+            at = np.flatnonzero(part)
+            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([at.astype("<i4").tobytes()]), pa.array([part[at].tobytes()])], ["piece", "slot", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        n = np.zeros(each, np.int64)
+        for at, part in zip(table["slot"].to_pylist(), table["n"].to_pylist(), strict=True):
+            n[np.frombuffer(at, "<i4")] += np.frombuffer(part, np.int64)
+        return pa.table({"piece": table["piece"].slice(0, 1), "n": pa.array([np.minimum(n, (1 << 32) - 1).astype("<u4").tobytes()])})
+
+    parts = sets.select("s").mapInArrow(count, "piece long, slot binary, n binary").groupBy("piece").applyInArrow(add, "piece long, n binary")
+    out = np.zeros(1 << _TALLY_BITS, np.uint32)
+    for r in parts.collect():
+        out[r.piece * each : (r.piece + 1) * each] = np.frombuffer(r.n, "<u4")
+    return out
+
+
+def _rarest(members: DataFrame, similarity: float) -> DataFrame:
+    """(u, root, size, few, place, h) of rows (u, root, s: distinct hashes): the first hashes of each, the rarest ones.
+
+    They are ordered by how many sets hold them, as a table of 262,144 counters (`_tally`) tells: any order of all hashes gives the
+    same similar pairs, a worse one after more comparisons. Of two similar sets, the smaller one's first `few` (so many that the others are too few,
+    if the larger one is as small) and the larger one's (so many that the others are too few for any) share one. Only these become rows.
+    """
+    counts = _tally(members)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = []
+            for s in _lists(batch.column(2)):
+                most = max(1, len(s) - math.ceil(len(s) * similarity - 1e-9) + 1)
+                lines.append(s[np.lexsort((s, counts[_slots(s)]))[:most]])
+            ends = pa.array(np.cumsum([0, *map(len, lines)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.list_value_length(batch.column(2)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *lines])))], ["u", "root", "size", "line"])
+
+    line = members.select("u", "root", "s").mapInArrow(rarest, T.StructType([*members.select("u", "root").schema.fields, T.StructField("size", T.IntegerType()), T.StructField("line", T.ArrayType(T.LongType()))]))
+    few = F.col("size") - F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-9).cast("int") + 1
+    return written(line.select("u", "root", "size", few.alias("few"), F.posexplode("line").alias("place", "h")), "rare")
+
+
+def _centres(first: DataFrame) -> DataFrame:
+    """(a, b): each row of _rarest with the one of another root in which their shared hash is nearest the front, the set with the fewest
+    hashes of its own: what most of a crowd are similar to. As many pairs as rows at most."""
+    centre = first.groupBy("h").agg(F.min(F.struct("place", "u", "root")).alias("c"))
+    return first.join(centre, "h").where(F.col("root") != F.col("c.root")).select(F.least("u", "c.u").alias("a"), F.greatest("u", "c.u").alias("b")).distinct()
+
+
+def _rare_pairs(members: DataFrame, similarity: float, first: DataFrame | None = None) -> DataFrame:
     """(a, b): of rows (u, root, s: distinct hashes) all pairs of different roots whose sets can be as similar as asked for.
 
-    Hashes are ordered by how many sets hold them, the rarest first. Of two similar sets, the smaller one's first hashes (so many that the
-    others are too few, if the larger one is as small) and the larger one's (so many that the others are too few for any) share one. Hashes that stand
+    They share a hash of _rarest's rows (`first`, if these are at hand: then `members` needs no s, and its roots count). Hashes that stand
     in sets of one root only are left out before the join. What members of a crowd have in common is frequent, so it is behind these first ones unless they
     are similar. Lengths and the places of the shared hash bound the rest.
     """
-    rows = members.select("u", "root", F.size("s").alias("size"), F.explode("s").alias("h"))
-    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    line = rows.join(counts, "h").groupBy("u", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("line"))  # a text's hashes
-    beyond = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9).cast("int") + 1
-    first = written(line.select("u", "root", "size", beyond(2 * similarity / (1 + similarity)).alias("few"), F.posexplode(F.slice("line", F.lit(1), F.greatest(F.lit(1), beyond(similarity)))).alias("place", "x")).select("u", "root", "size", "few", "place", F.col("x.h").alias("h")), "rare")
+    first = _rarest(members, similarity) if first is None else first.drop("root").join(members.select("u", "root"), "u")
     shared = first.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     first = first.join(shared, "h", "left_semi")
     a, b = (first.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("u", "root", "size", "few", "place"))) for x in "ab")
@@ -181,7 +247,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     similarity of `similarity` or more, computed over their 64-bit hashes, and covering LSH brings them together: they share a bucket of one of
     `fingerprints` SimHashes over shingles of `fingerprint_shingle` words, which is certain within `radius` bits and likely
     some bits beyond. A text is compared with the smallest one of its buckets; then, in buckets of up to `pair_limit` members, with every
-    other that it is not yet linked to over some links. In larger ones a similarity join over rarest shingles finds all that
+    other that it is not yet linked to over some links. Among all texts of larger ones a similarity join over rarest shingles, and no pairs, finds all that
     are similar and not yet linked, so no bucket's size costs a link. Links are exact, and which are found is not certain for texts of a similarity near the least, as SimHash may not bring them together.
 
     Words are as in op8: A-Z lower, six ASCII spaces between. Null texts and texts without words are equal. Repeated rows
@@ -226,24 +292,31 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     # first each text with the smallest one of all its buckets, so that large groups are joined by as many pairs as texts; then
     # pairs of small buckets that these links have not brought together, and in crowds each member with three others; then what
-    # is still apart in a crowd, by its rarest shingles
+    # is still apart among the texts of crowds, by its rarest shingles
     root = lambda df, u, name: df.join(roots.select(F.col("node").alias(u), F.col("root").alias(name)), u, "left").withColumn(name, F.coalesce(name, u))
     links = linked(buckets.groupBy("u").agg(F.min("first.u").alias("c")).where("u <> c").select(*_pair("u", "c")))
     # each text has one such link at most, to a smaller one: two steps along them label most groups, and equal labels are linked
     up = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
     roots = written(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root")), "labels")
     left = written(root(buckets.select("k", "u", "n", F.col("first.u").alias("first"), "second", "third"), "u", "root"), "buckets")
-    x, y = (left.where(F.col("n") <= pair_limit).select("k", F.col("u").alias(i), F.col("root").alias(f"root_{i}")) for i in "ab")
-    pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b")
-    crowds = root(left.where(F.col("n") > pair_limit).select("u", "root", F.explode(F.array("first", "second", "third")).alias("c")), "c", "other").where(F.col("root") != F.col("other"))
+    crowd = left.where(F.col("n") > pair_limit)
+    mixed = crowd.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    # texts of crowds that hold several groups: the similarity join finds all links among them, so small buckets pair none of these with each other
+    dense = written(crowd.join(mixed, "k", "left_semi").select("u").distinct(), "dense")
+    small = left.where(F.col("n") <= pair_limit).join(dense.withColumn("dense", F.lit(True)), "u", "left")
+    x, y = (small.select("k", F.col("u").alias(i), F.col("root").alias(f"root_{i}"), F.coalesce("dense", F.lit(False)).alias(f"dense_{i}")) for i in "ab")
+    pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & ~(F.col("dense_a") & F.col("dense_b"))).select("a", "b")
+    crowds = root(crowd.select("u", "root", F.explode(F.array("first", "second", "third")).alias("c")), "c", "other").where(F.col("root") != F.col("other"))
     links = links.union(linked(pairs.union(crowds.select(*_pair("u", "c")))))
     roots = connected_components(links)
-    apart = root(left.where(F.col("n") > pair_limit).select("k", "u"), "u", "root")
-    mixed = apart.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    members = written(apart.join(mixed, "k", "left_semi").select("u", "root").distinct(), "crowds")
-    if not members.isEmpty():
-        links = links.union(linked(_rare_pairs(members.join(sets, "u"), similarity)))
-        roots = connected_components(links)
+    if not dense.isEmpty():
+        # again first as many pairs as rows: of texts that are similar to many, only what no link reaches is compared with all that it can be near
+        first = _rarest(root(dense, "u", "root").join(sets, "u"), similarity)
+        for search in (lambda: _centres(first), lambda: _rare_pairs(root(dense, "u", "root"), similarity, first)):
+            found = linked(search())
+            if not found.isEmpty():
+                links = links.union(found)
+                roots = connected_components(links)
     roots = roots.withColumnRenamed("node", "u")
     classes = written(points.join(roots, "u", "left").select("same", "least", F.coalesce("root", "u").alias("root")), "classes")
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("same", "component_id")

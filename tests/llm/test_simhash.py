@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -174,3 +175,47 @@ def test_a_crowd_under_a_template_loses_no_pair_for_its_size(spark):
     assert crowd == full
     assert all(a // 2 == b // 2 for a, b in crowd.items())  # each pair by itself
     assert sum(crowd[a] == crowd[b] for a, b in want) >= 0.99 * len(want)
+
+
+def test_a_crowd_of_near_copies_costs_no_pairs(spark, monkeypatch):
+    """Copies of one text with one to twelve changed words: some similar to nearly all others, some to none. Small buckets hold many of the same pairs."""
+    chance = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for n in range(500):
+        t = list(base)
+        for _ in range(chance.randint(1, 12)):
+            t[chance.randrange(len(t))] = f"e{chance.randrange(10**6)}"
+        rows.append((n, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    compared = []
+    write = simhash.written
+    monkeypatch.setattr(simhash, "_rare_pairs", lambda *a, keep=simhash._rare_pairs: compared.append(keep(*a)) or compared[-1])
+    sizes = []
+
+    def spy(out, name, **more):
+        out = write(out, name, **more)
+        if name in ("dense", "rare"):
+            sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "written", spy)
+    crowd = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df, keep=["doc_id"], pair_limit=8).collect()}
+    assert dict(sizes)["dense"] > 300 and dict(sizes)["rare"] < 0.3 * 146 * 500  # only the first shingles become rows
+    assert sum(p.count() for p in compared) < 5 * len(rows)
+    monkeypatch.undo()
+    full = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df, keep=["doc_id"], pair_limit=1 << 20).collect()}
+    groups = lambda x: sorted(sorted(k for k in x if x[k] == c) for c in set(x.values()))
+    assert [g for g in groups(full) if len(g) > 1] and all(any(set(g) <= set(h) for h in groups(crowd)) for g in groups(full))  # no link is lost
+    text = dict(rows)
+    for g in groups(crowd):
+        assert len(g) == 1 or all(any(jaccard(text[a], text[b]) >= 0.8 for b in g if b != a) for a in g)
+
+
+def test_tally_counts_each_hash(spark):
+    chance = random.Random(3)
+    sets = [sorted({chance.randrange(40) - 20 for _ in range(9)}) for _ in range(60)]
+    df = spark.createDataFrame([(s,) for s in sets], "s array<long>").repartition(5)
+    want = np.bincount(simhash._slots(np.concatenate([np.array(s) for s in sets])), minlength=1 << 18)
+    assert (simhash._tally(df) == want).all()
+    assert not simhash._tally(df.limit(0)).any()
