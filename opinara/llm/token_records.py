@@ -40,6 +40,8 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 #: Where none of these is in a text, white space is single spaces and newlines.
 _UNEVEN = ["\0", "  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+#: A letter and an ASCII sign after it.
+_STEM = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-/:-@\\[-`{-~])"
 _HAS_ID, _SHORT, _PACKED = 1, 2, 4
 
 
@@ -70,12 +72,14 @@ class Encoder:
         self.special = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
+        names = map(self.library.id_to_token, range(self.library.get_vocab_size()))
+        self.begins = np.fromiter(((name or "").startswith("\u0120") for name in names), bool)  # ids that begin with a space
         self.pieces: dict[str, bytes] = {}
         self.most, self.held = most, 0
 
     def _remember(self, pieces: list[str], ids: list[bytes]) -> None:
         self.pieces.update(zip(pieces, ids, strict=True))
-        self.held += sum(map(self._size, pieces, ids))
+        self.held += 200 * len(pieces) + sum(map(len, pieces)) + sum(map(len, ids))
 
     @staticmethod
     def _size(piece: str, ids: bytes) -> int:
@@ -87,41 +91,64 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [self._packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Pieces without white space but for one leading space: many in one text, a newline between them."""
+    def _learn(self, words: list[str]) -> None:
+        """Pieces without white space but for one leading space: many in one text. Each space begins a new id, and
+        where it stands at the head of every piece it tells them apart; else a newline is put between them."""
+        spaced = [w for w in words if w[0] == " "]
+        self._remember(spaced, self._cut(spaced, ""))
+        bare = [w for w in words if w[0] != " "]
+        self._remember(bare, self._cut(bare, "\n"))
+
+    def _cut(self, words: list[str], between: str) -> list[bytes]:
         out: list[bytes] = []
-        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for group, encoded in zip(groups, self.library.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, f"<u{self.width}")
-            cuts = np.flatnonzero(ids == self.newline[0])
-            if len(self.newline) != 1 or len(cuts) != len(group) - 1:
+        groups, w = [words[i : i + 256] for i in range(0, len(words), 256)], self.width
+        for group, encoded in zip(groups, self.library.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, f"<u{w}")
+            cuts = np.flatnonzero(ids == self.newline[0]) if between else np.flatnonzero(self.begins[ids])
+            if between and (len(self.newline) != 1 or len(cuts) != len(group) - 1) or not between and (len(cuts) != len(group) or cuts[0]):
                 out += self._each(group)
                 continue
-            data, w = ids.tobytes(), self.width
-            out += [data[a:b] for a, b in zip([0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(data)], strict=True)]
+            data, at = ids.tobytes(), (cuts * w).tolist()
+            starts, ends = ([0, *(a + w for a in at)], [*at, len(data)]) if between else (at, [*at[1:], len(data)])
+            out += [data[a:b] for a, b in zip(starts, ends, strict=True)]
         return out
 
+    @staticmethod
+    def _split(texts: list[str]) -> pa.LargeListArray:
+        """Units of texts whose white space is single spaces and newlines: they begin with a space, are a newline, or begin with
+        an ASCII sign after a letter, where the pattern always cuts. So most words are one unit whatever sign follows them."""
+        marked = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 "), "\n", "\0\n\0")
+        marked = pc.replace_substring_regex(marked, _STEM, "\\1\0\\2")
+        return pc.split_pattern(marked, "\0")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        words: set[str] = set()
-        others = {"", " ", "\n"}
-        for text in texts:
-            if not text or any(s in text for s in self.special):
-                cut.append(None)
-                continue
-            uneven = any(c in text for c in _UNEVEN)
-            units = _UNITS.findall(text) if uneven else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            (others if uneven else words).update(units)
-            cut.append(units)
+        out: list[bytes] = [b""] * len(texts)
+        even, uneven, whole = [], [], []
+        for i, text in enumerate(texts):
+            if text:
+                (whole if any(s in text for s in self.special) else uneven if any(c in text for c in _UNEVEN) else even).append(i)
+        cut = [_UNITS.findall(texts[i]) for i in uneven]
+        others = {"", " ", "\n"}.union(*cut)
+        lists = self._split([texts[i] for i in even])
+        flat = lists.flatten().dictionary_encode()
+        units = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words = set(units)
         if self.held > self.most:  # the older half goes, but not what is needed now
             for k in [k for k in islice(self.pieces, len(self.pieces) // 2) if k not in words and k not in others]:
                 self.held -= self._size(k, self.pieces.pop(k))
         new = list(others.difference(self.pieces))
         self._remember(new, self._each(new))
-        new = list(words.difference(self.pieces))
-        self._remember(new, self._words(new))
-        whole = iter(self._each([t for t, units in zip(texts, cut, strict=True) if units is None and t]))
-        out = [b"".join(map(self.pieces.__getitem__, units)) if units is not None else next(whole) if text else b"" for text, units in zip(texts, cut, strict=True)]
+        self._learn(list(words.difference(self.pieces, others)))
+        for i, ids in zip(whole, self._each([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        for i, parts in zip(uneven, cut, strict=True):
+            out[i] = b"".join(map(self.pieces.__getitem__, parts))
+        if even:
+            taken = pa.array(map(self.pieces.__getitem__, units), pa.large_binary(), size=len(units)).take(flat.indices)
+            ends = np.frombuffer(taken.buffers()[1], np.int64)[lists.offsets.to_numpy()].tolist()
+            data = memoryview(taken.buffers()[2] or b"")
+            for i, a, b in zip(even, ends, ends[1:], strict=False):
+                out[i] = data[a:b].tobytes()
         for k in [k for part in (words, others) for k in part if len(k) > 64]:
             self.held -= self._size(k, self.pieces.pop(k))
         return out
@@ -162,7 +189,7 @@ def write_token_records(docs: DataFrame, path: str, *, tokenizer: str, id_col: s
         records = ids = offset = 0
         with system.open_output_stream(f"{folder}/{name}.bin") as out, system.open_output_stream(f"{folder}/{name}.idx") as index:
             for batch in batches:
-                for part in _few(batch, 64, 1 << 20):  # texts can be long
+                for part in _few(batch, 512, 1 << 20):  # texts can be long
                     for key, tokens in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                         tokens += end
                         packed = pack(tokens)

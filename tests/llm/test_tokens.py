@@ -70,3 +70,17 @@ def test_shards_follow_bytes(spark, documents):
     size = sum(len((r.text or "").encode()) for r in documents.select("text").collect())
     manifest = token_records.write_token_records(documents, path, tokenizer=PATH, shard_bytes=size // 20)
     assert manifest.count() > 12
+
+
+@pytest.mark.parametrize("text", ["word, word. word! word's word'", "l'été, d'où; naïve-té.", "don't,won't.(a) x_y _z a1,b2 3.4 ß. ĀƏ, β, ñ.", "'s 's, a'sb 've.d", ", . a ,b .c Ġ Ġa aĠ. ̀á, ª. ², Ⅷ.", "a,\nb.\n", " a", "a ", "\n", "\na\n"])
+def test_signs_after_letters_are_pieces(text):
+    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    encoder = token_records.Encoder(PATH)
+    assert encoder.encode([None, text, "", text + " and more."])[1] == struct.pack(f"<{len(ids)}H", *ids)
+    assert encoder.encode([text])[0] == struct.pack(f"<{len(ids)}H", *ids)
+
+
+def test_a_word_is_encoded_once_whatever_sign_follows():
+    encoder = token_records.Encoder(PATH)
+    encoder.encode(["strange, strange. strange! and strange; strange"])
+    assert sum("strange" in p for p in encoder.pieces) == 2  # with a space before it, and without
