@@ -111,9 +111,11 @@ class Codes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def give_back() -> None:
-    """Returns memory that Python and Arrow hold but no longer use: a driver that goes on for long doesn't keep the largest step's."""
+def give_back(spark: SparkSession) -> None:
+    """Returns memory that Python, Arrow and the JVM hold but no longer use: a driver that goes on for long doesn't keep the largest step's.
+    Spark removes the shuffle files and broadcasts of ended steps when the driver's garbage is collected, else up to half an hour later."""
     gc.collect()
+    spark.sparkContext._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it

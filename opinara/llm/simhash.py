@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.llm._shared import Codes, kept, q, written
+from opinara.llm._shared import Codes, bitmap, give_back, kept, marked, q, written
 from opinara.llm.components import connected_components
 
 _TALLY_BITS = 18
@@ -273,22 +273,28 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     marked_ = written(base.mapInArrow(mark, T.StructType([*base.schema.fields[:2], T.StructField("same", T.BinaryType()), T.StructField("fps", T.ArrayType(T.LongType()))])), "fingerprints")
     points = written(marked_.groupBy("same").agg(F.min("row").alias("u"), F.min("id").alias("least"), F.first("fps").alias("fps")), "points")
     buckets = _buckets(points.select("u", "fps"), radius)
+    give_back(docs.sparkSession)  # here and below: each step's shuffles go before the next one's come
+
+    # the texts are read in place: a bitmap tells which rows are asked for, and the few others that it lets pass are in no pair
+    asked = bitmap(buckets.select(F.xxhash64("u").alias("hash")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
+            batch = batch.take(pa.array(marked(batch.column(2).to_numpy().view(np.uint64), asked)))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [np.unique(_shingle_hashes(codes.of((t or b"").lower().split()), shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["u", "s"])
 
-    asked = buckets.select(F.col("u").alias("row")).distinct()
-    sets = written(base.join(asked, "row", "left_semi").select("row", "text").mapInArrow(cut, "u long, s array<long>"), "shingles")
+    sets = written(base.select("row", "text", F.xxhash64("row")).mapInArrow(cut, "u long, s array<long>"), "shingles")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, sets: DataFrame = sets) -> DataFrame:
         x, y = (sets.select(F.col("u").alias(n), F.col("s").alias(f"s_{n}")) for n in "ab")
         both = F.size(F.array_intersect("s_a", "s_b"))
-        return written(pairs.distinct().join(x, "a").join(y, "b").where(both >= similarity * (F.size("s_a") + F.size("s_b") - both)).select("a", "b"), "links")
+        links = written(pairs.distinct().join(x, "a").join(y, "b").where(both >= similarity * (F.size("s_a") + F.size("s_b") - both)).select("a", "b"), "links")
+        give_back(docs.sparkSession)
+        return links
 
     # first each text with the smallest one of all its buckets, so that large groups are joined by as many pairs as texts; then
     # pairs of small buckets that these links have not brought together, and in crowds each member with three others; then what
@@ -309,14 +315,17 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     crowds = root(crowd.select("u", "root", F.explode(F.array("first", "second", "third")).alias("c")), "c", "other").where(F.col("root") != F.col("other"))
     links = links.union(linked(pairs.union(crowds.select(*_pair("u", "c")))))
     roots = connected_components(links)
+    give_back(docs.sparkSession)
     if not dense.isEmpty():
         # again first as many pairs as rows: of texts that are similar to many, only what no link reaches is compared with all that it can be near
-        first = _rarest(root(dense, "u", "root").join(sets, "u"), similarity)
+        own_sets = written(dense.join(sets, "u"), "shingles")
+        first = _rarest(root(dense, "u", "root").join(own_sets, "u"), similarity)
         for search in (lambda: _centres(first), lambda: _rare_pairs(root(dense, "u", "root"), similarity, first)):
-            found = linked(search())
+            found = linked(search(), own_sets)
             if not found.isEmpty():
                 links = links.union(found)
                 roots = connected_components(links)
+                give_back(docs.sparkSession)
     roots = roots.withColumnRenamed("node", "u")
     classes = written(points.join(roots, "u", "left").select("same", "least", F.coalesce("root", "u").alias("root")), "classes")
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("same", "component_id")

@@ -1,11 +1,13 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
 
 from opinara.llm import simhash
+from opinara.llm._shared import give_back
 
 
 def brute_fingerprint(text):
@@ -219,3 +221,31 @@ def test_tally_counts_each_hash(spark):
     want = np.bincount(simhash._slots(np.concatenate([np.array(s) for s in sets])), minlength=1 << 18)
     assert (simhash._tally(df) == want).all()
     assert not simhash._tally(df.limit(0)).any()
+
+
+def test_texts_are_cut_in_place(spark, documents, monkeypatch):
+    """No text is shuffled for its shingles, and rows that the bitmap lets pass in vain change nothing."""
+    plans, write, want = [], simhash.written, None
+    monkeypatch.setattr(simhash, "written", lambda df, name: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), write(df, name))[1])
+    for bits in (simhash.bitmap, lambda hashes: np.full(1 << 21, 255, np.uint8)):
+        monkeypatch.setattr(simhash, "bitmap", bits)
+        got = sorted(map(tuple, simhash.near_duplicate_groups(documents, keep=["doc_id"]).collect()))
+        assert want is None or got == want
+        want = got
+    cut = [plan for name, plan in plans if name == "shingles" and "text" in plan]
+    assert len(cut) == 2
+    assert not any("Join" in plan for plan in cut)
+
+
+def test_shuffles_of_ended_steps_go(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    give_back(spark)
+    time.sleep(1)
+    before = files().size()
+    spark.range(100_000).repartition(7).groupBy("id").count().collect()
+    assert files().size() > before
+    until = time.time() + 20
+    while files().size() > before and time.time() < until:  # Spark's listeners and its cleaner work aside
+        give_back(spark)
+        time.sleep(0.2)
+    assert files().size() <= before
