@@ -53,7 +53,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = L.shared_path(spark, "csv")
     L.write_table(A.table(spark, sf, "documents").select("doc_id", "lang", "text"), path, csv=True)
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', schema="doc_id long, lang string, text string")
+    return L.read_table(spark, path, "doc_id long, lang string, text string")
 
 
 @C.query("snk2_json_stats", "SELECT count(*) AS total, count(DISTINCT lang) AS languages FROM documents")

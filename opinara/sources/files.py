@@ -73,7 +73,16 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def write_table(df: DataFrame, path: str, *, csv: bool = False, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite")
     w = w.partitionBy(*partition_by) if partition_by else w
-    w.csv(path, header=True, escape='"') if csv else w.parquet(path)
+    w.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) if csv else w.parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that write_table wrote as CSV, as they were: a field without quotes is null, an empty one in quotes is an empty text.
+
+    Spark reads both as its option nullValue, so that is a word drawn anew, which no file can hold. Without charToEscapeQuoteEscaping
+    zero bytes between quotes are lost.
+    """
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', charToEscapeQuoteEscaping='"', lineSep="\n", nullValue=f"null-{uuid.uuid4().hex}", schema=schema)
 
 
 def write_stats(stats: DataFrame, path: str) -> None:

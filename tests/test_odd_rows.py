@@ -8,8 +8,8 @@ import pytest
 from opinara.plans import registry
 
 ODD = [
-    None, "", " ", " x ", "\tx\t", "\n\nx\r\n", "a\r\nb", "a\rb", "\r", "\r\n", "\n", " x ", "\x0bx\x0c", "\x1cx\x1f", " x ", "　x", "\x00x\x00", "\x00", "﻿x﻿", "x\x85", "\x1a", "é", "😀",
-    '"', '""', '"x"', 'x"', '"x', 'a"b', "a,b", ",", "\\", '\\"', "x\\", "\\N", "\\N ", "x\\\n", 'x\n"y"\nz', '"\n"', "null", "NULL", "#x", "doc_id,lang,text", "x x  x\ny X", "a b a b a",
+    None, "", " ", " x ", "\tx\t", "\n\nx\r\n", "a\r\nb", "a\rb", "\r", "\r\n", "\n", "\u00a0x\u00a0", "\x0bx\x0c", "\x1cx\x1f", "\u2028x\u2029", "\u3000x", "\x00x\x00", "\x00", "\ufeffx\ufeff", "x\x85", "\x1a", "e\u0301", "\U0001f600",
+    '"', '""', '"\x00a"\x00,', '"x"', 'x"', '"x', 'a"b', "a,b", ",", "\\", '\\"', "x\\", "\\N", "\\N ", "x\\\n", 'x\n"y"\nz', '"\n"', "null", "NULL", "#x", "doc_id,lang,text", "x x  x\ny X", "a b a b a",
 ]
 
 
@@ -35,3 +35,8 @@ def both(spark, path, name):
 def test_built_texts_follow_the_sql(spark, odd_tables):
     got, wanted = both(spark, odd_tables, "str11_build_text")
     assert got == wanted
+
+
+def test_texts_come_back_from_csv_as_they_were(spark, odd_tables):
+    got, wanted = both(spark, odd_tables, "snk1_csv_round_trip")
+    assert got == wanted
