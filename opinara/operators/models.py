@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from os.path import commonprefix
 
 import numpy as np
 from pyspark import inheritable_thread_target
@@ -34,7 +35,8 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_grams(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("grams", ngrams(words(F.col(text))))
+    split = df.withColumn("_words", words(F.col(text)))  # a column of its own: grams name it several times
+    return split.withColumn("grams", ngrams(F.col("_words"))).drop("_words")
 
 
 def text_features(size: int = 1 << 14) -> list:
@@ -174,26 +176,50 @@ class WordWeights:
         return predict
 
 
-def aspect_baselines(pairs: DataFrame, aspects: Sequence[str], *, kind: str = "logistic", label: str = "label_id", features: list | None = None, iterations: int = 20) -> dict[str, PipelineModel]:
-    """One four-class model per aspect, rows weighted so that classes count alike. pairs: aspect, label, grams."""
-    models = {}
-    for a in aspects:
-        rows = pairs.where(F.col("aspect") == a)
-        weighted = rows.join(F.broadcast(balanced_weights(rows, label)), label)  # a row per class
+def term_counts(df: DataFrame, size: int = 1 << 10) -> DataFrame:
+    """The hashed counts of the grams, as `counts`."""
+    return HashingTF(inputCol="grams", outputCol="counts", numFeatures=size).transform(df)
+
+
+def aspect_baselines(docs: DataFrame, aspects: Sequence[str], *, kind: str = "logistic", label: str = "label_id", iterations: int = 20, held: int = 1 << 30) -> dict[str, PipelineModel]:
+    """One four-class model of `counts` per aspect, rows weighted so that classes count alike.
+
+    docs: a written table of counts (term_counts) and `pairs`, an array of (aspect, label). Terms are hashed and document frequencies are
+    counted once for all aspects, whose models begin with the same stages. Each fit keeps its rows; as many run at a time as keep
+    some `held` bytes, one to four.
+    """
+    spark = docs.sparkSession
+    pairs = docs.select(F.explode("pairs").alias("p")).select("p.aspect", f"p.{label}").where(F.col(label).isNotNull())
+    sizes: dict[str, dict[int, int]] = {}
+    for r in pairs.groupBy("aspect", label).count().where(F.col("aspect").isin(list(aspects))).collect():  # a row per aspect and class
+        sizes.setdefault(r.aspect, {})[r[label]] = r["count"]
+
+    def fit(a: str) -> PipelineModel:
+        n, k = sum(sizes.get(a, {}).values()), len(sizes.get(a, {}))
+        weights = F.create_map(*(F.lit(x) for y, m in sizes.get(a, {}).items() for x in (y, n / (k * m))))
+        rows = docs.select("counts", F.explode(F.filter("pairs", lambda p: (p["aspect"] == a) & p[label].isNotNull())).alias("p")).select("counts", F.col(f"p.{label}").alias(label))
+        weighted = rows.withColumn("weight", F.element_at(weights, F.col(label)))
         one = LogisticRegression(labelCol=label, weightCol="weight", family="multinomial", maxIter=iterations) if kind == "logistic" else OneVsRest(classifier=LinearSVC(maxIter=iterations), labelCol=label, weightCol="weight")
-        models[a] = Pipeline(stages=[*(features or text_features(1 << 10)), one]).fit(weighted)
-    return models
+        return Pipeline(stages=[*prepared.stages, one]).fit(weighted)
+
+    prepared = Pipeline(stages=text_features()[1:]).fit(docs)
+    size = docs.select("counts").first()
+    row = 8 * (size.counts.size if size else 1)
+    most = max((sum(x.values()) for x in sizes.values()), default=0)
+    parallel = min(4, max(1, held // max(1, row * most)))
+    return dict(zip(aspects, _at_once(spark, [lambda a=a: fit(a) for a in aspects], parallel), strict=True))
 
 
-def score_aspects(models: dict[str, PipelineModel], df: DataFrame, key: str) -> DataFrame:
-    """(key, aspects, overall): a map aspect -> polarity of what isn't none, and the overall sentiment."""
+def score_aspects(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
+    """df with aspects and overall: a map aspect -> polarity, and the overall sentiment of what isn't none. All models score a row in one pass."""
     words_ = F.array(*(F.lit(x) for x in ("none", "positive", "negative", "neutral")))
-    parts = [m.transform(df).select(key, F.lit(a).alias("aspect"), F.element_at(words_, (F.col("prediction") + 1).cast("int")).alias("polarity")) for a, m in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    folded = out.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("aspect", "polarity"))).alias("aspects"))  # ten entries
-    return folded.withColumn("overall", derive_overall_sentiment(F.col("aspects")))
+    shared = len(commonprefix([[s.uid for s in m.stages] for m in models.values()]))  # stages that all begin with
+    out = PipelineModel(stages=next(iter(models.values())).stages[:shared]).transform(df)
+    for i, m in enumerate(models.values()):
+        out = PipelineModel(stages=m.stages[shared:]).transform(out).select(*out.columns, F.element_at(words_, (F.col("prediction") + 1).cast("int")).alias(f"polarity_{i}"))
+    aspects = F.create_map(*(x for i, a in enumerate(models) for x in (F.lit(a), F.col(f"polarity_{i}"))))
+    out = out.select(*df.columns, aspects.alias("aspects"))
+    return out.withColumn("overall", derive_overall_sentiment(F.col("aspects")))
 
 
 def select_features(df: DataFrame, k: int, label: str = "label", vocabulary: int = 1 << 14) -> DataFrame:

@@ -217,16 +217,21 @@ def _(spark, sf):
 
 
 def pair_rows(spark, sf):
+    """(doc_id, pairs, counts): a row for each document, written once."""
     pairs = N.to_sentence_pairs(A.annotations(spark, sf), "a0", A.aspects(spark))
-    texts = M.with_grams(A.table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "grams")
-    return pairs.join(texts, "doc_id")
+    pairs = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("aspect", "label_id")).alias("pairs"))  # ten aspects
+    texts = A.table(spark, sf, "documents").select("doc_id", "text")
+    rows = M.term_counts(M.with_grams(texts.join(pairs, "doc_id"), "text"))
+    return L.once(rows.select("doc_id", "pairs", "counts"), "pairs")
 
 
 @C.query("mdl4_aspect_baselines")
 def _(spark, sf):
     rows = pair_rows(spark, sf)
     models = M.aspect_baselines(rows, ASPECT_NAMES)
-    return M.score_aspects(models, rows.select("doc_id", "grams").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", F.map_entries("aspects").alias("aspects"), "overall.label", "overall.score")
+    scored = M.score_aspects(models, rows).select("doc_id", F.map_entries("aspects").alias("aspects"), "overall.label", "overall.score")
+    one = F.min(F.struct("aspects", "label", "score")).alias("one")  # of documents that share their id
+    return scored.groupBy("doc_id").agg(one).select("doc_id", "one.*")
 
 
 @C.query("mdl6_batch_scoring")

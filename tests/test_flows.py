@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from opinara.functions.vocab import ASPECT_NAMES
@@ -214,6 +216,28 @@ def test_aspect_baselines_cover_every_aspect(spark):
     assert rows and all(sorted(e["key"] for e in r.aspects) == sorted(ASPECT_NAMES) for r in rows)
 
 
+def test_aspect_baselines_read_each_document_once(spark):
+    df = registry.QUERIES["mdl4_aspect_baselines"](spark, SF)
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert not [f for f in df.inputFiles() if f.startswith(f"file://{SF}")]
+
+
+def test_aspect_baselines_equal_a_pipeline_of_each_aspect(spark, tmp_path):
+    docs = M.with_grams(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "text")
+    names, label = ASPECT_NAMES[:2], lambda i: F.when(F.col("doc_id") % (5 + i) < 2, 0).otherwise(F.col("doc_id") % 4).cast("int")
+    docs = docs.withColumn("pairs", F.array(*(F.struct(F.lit(a).alias("aspect"), label(i).alias("label_id")) for i, a in enumerate(names))))
+    M.term_counts(docs).select("doc_id", "pairs", "counts").write.parquet(f"{tmp_path}/docs")
+    rows = spark.read.parquet(f"{tmp_path}/docs")
+    got = {r.doc_id: r.aspects for r in M.score_aspects(M.aspect_baselines(rows, names, iterations=5), rows).collect()}
+    words = ["none", "positive", "negative", "neutral"]
+    for i, a in enumerate(names):
+        alone = docs.withColumn("label_id", label(i))
+        alone = alone.join(M.balanced_weights(alone, "label_id"), "label_id")
+        one = LogisticRegression(labelCol="label_id", weightCol="weight", family="multinomial", maxIter=5)
+        wanted = {r.doc_id: words[int(r.prediction)] for r in Pipeline(stages=[*M.text_features(1 << 10), one]).fit(alone).transform(alone).collect()}
+        assert len(wanted) == len(got) and {k: v[a] for k, v in got.items()} == wanted
+
+
 def test_deeply_nested_pages_are_read(spark):
     deep = "<div>" * 3000 + "<p>a review that is long enough to be one</p>" + "</div>" * 3000
     page = f'<h1>Phone</h1><div class="review-item">{deep}</div>'
