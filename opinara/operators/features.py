@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinara.functions.text import ngrams
 from opinara.operators.ranges import running_sums
 
 
@@ -26,6 +27,31 @@ def document_terms(df: DataFrame, tokens: Column, key: str) -> DataFrame:
     return df.repartition(F.col(key)).select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def counted(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
+    """(keys, term, tf) of each row by itself, without a shuffle: its tokens are sorted, and equal neighbours are counted."""
+    rows = df.select(*keys, F.sort_array(tokens).alias("sorted"))
+    n = F.size("sorted")
+    first = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1))))
+    rows = rows.select(*keys, "sorted", first.alias("first"))
+    after = F.slice(F.concat("first", F.array(n)), 2, F.size("first"))
+    runs = F.zip_with("first", after, lambda a, b: F.struct(F.get("sorted", a).alias("term"), (b - a).cast("long").alias("tf")))
+    return rows.select(*keys, F.inline(runs))
+
+
+def document_grams(df: DataFrame, text: str, key: str, most: int = 2) -> DataFrame:
+    """(key, term, tf) of the 1- to `most`-grams, where a key is a document.
+
+    A document's grams are counted inside its row, so no row for each gram is shuffled or sorted. Only the grams of rows that share
+    their key are added up after a shuffle, by key and gram.
+    """
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("text")).where("text is not null")
+    again = texts.groupBy("_key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("_key").alias("_again"))
+    shared = F.col("_key").eqNullSafe(F.col("_again"))
+    alone, rest = (counted(texts.join(again, shared, how).select("_key", words(F.col("text")).alias("words")), ngrams(F.col("words"), most), "_key") for how in ("left_anti", "left_semi"))
+    both = alone.unionByName(rest.groupBy("_key", "term").agg(F.sum("tf").alias("tf")))
+    return both.withColumnRenamed("_key", key)
+
+
 def top_terms(counts: DataFrame, n: int, *keys: str, by: str = "tf") -> DataFrame:
     """The n largest per key, ties by term. Spark cuts each partition to n before it shuffles."""
     w = Window.partitionBy(*keys).orderBy(F.desc(by), "term")

@@ -40,3 +40,15 @@ def test_built_texts_follow_the_sql(spark, odd_tables):
 def test_texts_come_back_from_csv_as_they_were(spark, odd_tables):
     got, wanted = both(spark, odd_tables, "snk1_csv_round_trip")
     assert got == wanted
+
+
+def test_grams_of_shared_ids_are_added_up(spark, odd_tables):
+    got, wanted = both(spark, odd_tables, "str13_ngrams")
+    assert got == wanted and got[(None, "at all", 2)] == 1 and got[(3, "x x", 2)] == 1
+
+
+def test_no_gram_is_shuffled_where_ids_are_unique(spark):
+    df = registry.QUERIES["str13_ngrams"](spark, "/root/testdata/sf0.01")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    assert any("Generate" in line for line in plan) and not any("Exchange" in line and ("gram" in line or "term" in line) for line in plan)
